@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.ngram_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.quality import score_quality
 
@@ -42,6 +49,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.media import text_media
 
@@ -49,7 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op10_media_columns)
+    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op8_simhash_neighbours, op10_media_columns)
 }
 
 ORACLE_SQL: dict[str, str] = {}
