@@ -56,6 +56,12 @@ def op8_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.suffix_dedup import dedup_suffixes
+
+    return dedup_suffixes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.media import text_media
 
@@ -63,7 +69,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op8_simhash_neighbours, op10_media_columns)
+    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op8_simhash_neighbours, op9_suffix_dedup, op10_media_columns)
 }
 
 ORACLE_SQL: dict[str, str] = {}
