@@ -49,6 +49,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.pieces import encode_samples
+
+    return encode_samples(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.simhash import near_duplicates
 
@@ -69,7 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op8_simhash_neighbours, op9_suffix_dedup, op10_media_columns)
+    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op7_sampled_pieces, op8_simhash_neighbours, op9_suffix_dedup, op10_media_columns)
 }
 
 ORACLE_SQL: dict[str, str] = {}
