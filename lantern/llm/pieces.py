@@ -31,31 +31,60 @@ from lantern.llm.words import chunks, mixed, prefix_hashes, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF = 10.0
 MOST_UNIT = 512
+MOST_EDGES = 6_000_000
+NOISE = 23.0  # above -log(-log(u)) for the largest u below 1 that uniform() gives
+MARGIN = 3.0
 SAMPLES = 2
 
 
+class HashTable:
+    """Distinct non-zero uint64 keys to int64 values, by open addressing over whole arrays."""
+
+    def __init__(self, size: int) -> None:
+        self.keys = np.zeros(1 << max(4, (2 * size - 1).bit_length()), np.uint64)
+        self.values = np.full(len(self.keys), -1, np.int64)
+        self.held = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value."""
+        mask = len(self.keys) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        found = self.keys[at]
+        on = np.flatnonzero((found != keys) & (found != 0))
+        while len(on):
+            at[on] = (at[on] + 1) & mask
+            here = self.keys[at[on]]
+            found[on] = here
+            on = on[(here != keys[on]) & (here != 0)]
+        return found == keys, self.values[at]
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            old, old_values = self.keys, self.values
+            HashTable.__init__(self, 2 * (self.held + len(keys)))
+            self.add(old[old != 0], old_values[old != 0])
+        mask = len(self.keys) - 1
+        self.held += len(keys)
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        on = np.arange(len(keys))
+        while len(on):
+            free = self.keys[at[on]] == 0
+            self.keys[at[on[free]]] = keys[on[free]]
+            placed = self.keys[at[on]] == keys[on]
+            self.values[at[on[placed]]] = values[on[placed]]
+            on = on[~placed]
+            at[on] = (at[on] + 1) & mask
+
+
 @dataclass
 class Vocabulary:
-    """Pieces as bytes (blanks as blanks), log-probabilities, and a hash table of all piece prefixes (id -1: no piece itself)."""
+    """Pieces as bytes (blanks as blanks), log-probabilities, and all piece prefixes (id -1: no piece itself)."""
 
     pieces: list[bytes]
     log_prob: np.ndarray
     byte_ids: np.ndarray
-    slots: np.ndarray
-    slot_ids: np.ndarray
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is a prefix, and its piece id."""
-        mask = np.uint64(len(self.slots) - 1)
-        at = (hashes & mask).astype(np.int64)
-        found = self.slots[at]
-        open_ = np.flatnonzero((found != hashes) & (found != 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & int(mask)
-            here = self.slots[at[open_]]
-            found[open_] = here
-            open_ = open_[(here != hashes[open_]) & (here != 0)]
-        return found == hashes, self.slot_ids[at]
+    prefixes: HashTable
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -83,14 +112,9 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     data = b"".join(table)
     ends = np.cumsum([len(p) for p in table])
     hashes = span_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), np.concatenate(([0], ends[:-1])), ends)
-    slots = np.zeros(1 << (4 * len(table)).bit_length(), np.uint64)
-    slot_ids = np.full(len(slots), -1, np.int32)
-    for h, piece in zip(hashes.tolist(), table.values(), strict=True):
-        at = h & (len(slots) - 1)
-        while slots[at]:
-            at = (at + 1) & (len(slots) - 1)
-        slots[at], slot_ids[at] = h, piece
-    return Vocabulary(pieces, log_prob, byte_ids, slots, slot_ids)
+    prefixes = HashTable(2 * len(table))
+    prefixes.add(hashes, np.array(list(table.values())))
+    return Vocabulary(pieces, log_prob, byte_ids, prefixes)
 
 
 def unit_spans(data: np.ndarray, text_start: np.ndarray, most: int = MOST_UNIT) -> np.ndarray:
@@ -150,7 +174,7 @@ def build_lattice(units: list[bytes], vocabulary: Vocabulary) -> Lattice:
         if not len(alive):
             break
         h = span_hashes(prefix, alive, alive + length)
-        hit, ids = vocabulary.look_up(h)
+        hit, ids = vocabulary.prefixes.find(h)
         alive, ids = alive[hit], ids[hit]
         whole = ids >= 0
         sources.append(alive[whole])
@@ -189,11 +213,52 @@ def build_lattice(units: list[bytes], vocabulary: Vocabulary) -> Lattice:
     return Lattice(first, target, piece, log_cond, np.where(np.arange(len(last)) == last, np.inf, inside), start[:-1], is_end)
 
 
+class LatticeCache:
+    """The lattices of the units met so far in a task, in growing arrays; begun anew beyond MOST_EDGES."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.units = HashTable(1 << 15)
+        self.n = self.edges = 0
+        self.first, self.is_end = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        self.target, self.piece, self.log_cond, self.cumulative = (np.zeros(1 << 17, t) for t in (np.int32, np.int32, np.float32, np.float32))
+
+    def _room(self, name: str, size: int) -> np.ndarray:
+        have = getattr(self, name)
+        if len(have) < size:
+            have = np.concatenate((have, np.zeros(max(size - len(have), len(have)), have.dtype)))
+            setattr(self, name, have)
+        return have
+
+    def starts(self, joined_text: bytes, data: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """The lattice position at which each unit of the text starts; new units are built and kept."""
+        if self.edges > MOST_EDGES:
+            self.clear()
+        keys = span_hashes(prefix_hashes(data), at[:-1], at[1:]) | np.uint64(1)
+        known, value = self.units.find(keys)
+        if not known.all():
+            new, first_seen = np.unique(keys[~known], return_index=True)
+            index = np.flatnonzero(~known)[first_seen].tolist()
+            built = build_lattice([joined_text[at[i] : at[i + 1]] for i in index], vocabulary)
+            n, e = len(built.is_end), len(built.piece)
+            self._room("first", self.n + n + 1)[self.n : self.n + n + 1] = built.first + self.edges
+            self._room("is_end", self.n + n + 1)[self.n : self.n + n] = built.is_end
+            self._room("target", self.edges + e)[self.edges : self.edges + e] = built.target + self.n
+            for name in ("piece", "log_cond", "cumulative"):
+                self._room(name, self.edges + e)[self.edges : self.edges + e] = getattr(built, name)
+            self.units.add(new, built.start + self.n)
+            self.n, self.edges = self.n + n, self.edges + e
+            value = self.units.find(keys)[1]
+        return value
+
+
 def uniform(key: np.ndarray, part: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from hashes of the key and the part."""
     with np.errstate(over="ignore"):
         key = mixed(key + np.asarray(part, np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((key >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32
 
 
 @dataclass
@@ -207,7 +272,7 @@ class _Round:
     key: np.ndarray
 
 
-def _complete(lattice: Lattice, text_of: np.ndarray, token: np.ndarray, position: np.ndarray, key: np.ndarray) -> _Round:
+def _complete(lattice: LatticeCache, text_of: np.ndarray, token: np.ndarray, position: np.ndarray, key: np.ndarray) -> _Round:
     """Sample an edge at every node on the way from each token's position to its unit's end. key: one per token."""
     nodes, step = [], 0
     while len(token):
@@ -218,7 +283,7 @@ def _complete(lattice: Lattice, text_of: np.ndarray, token: np.ndarray, position
             pick[behind] += 1
             behind = behind[u[behind] > lattice.cumulative[pick[behind]]]
         nodes.append((token, position, pick, key))
-        position = lattice.target[pick]
+        position = lattice.target[pick].astype(np.int64)
         on = np.flatnonzero(~lattice.is_end[position])
         token, position, key = token[on], position[on], key[on]
         step += 1
@@ -228,7 +293,33 @@ def _complete(lattice: Lattice, text_of: np.ndarray, token: np.ndarray, position
     return _Round(text_of[token], token, position[order], pick[order], key[order])
 
 
-def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
+def _aside(lattice: LatticeCache, done: _Round, entry: np.ndarray, before: np.ndarray, own: np.ndarray, g: np.ndarray, nodes: np.ndarray, want: int) -> dict[int, list[tuple]]:
+    """For each text the `want` best (value, node, edge, log-probability) among the children that the nodes left aside."""
+    position = done.position[nodes]
+    first = lattice.first[position].astype(np.int64)
+    width = lattice.first[position + 1] - first
+    cells = np.repeat(np.arange(len(nodes)), width)
+    edge = np.arange(len(cells)) - np.repeat(np.cumsum(width) - width, width) + first[cells]
+    aside = edge != done.edge[nodes[cells]]
+    cells, edge = cells[aside], edge[aside]
+    node = nodes[cells]
+    child = before[node] + lattice.log_cond[edge]
+    u = uniform(done.key[node], edge - first[cells] + 64 * (1 + position[cells] - entry[done.unit[node]]))
+    owner = own[node]
+    value = child - np.log(np.exp(child - g[owner]) - np.log(u))
+    cuts = np.searchsorted(owner, np.arange(len(g) + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    found: dict[int, list[tuple]] = {j: [] for j in range(len(g))}
+    for _ in range(want if len(full) else 0):  # the largest of each text, then the next
+        most = np.maximum.reduceat(value, cuts[full])
+        at = np.flatnonzero((value == np.repeat(most, np.diff(cuts)[full])) & np.isfinite(value))
+        for j, c in zip(owner[at].tolist(), at.tolist(), strict=True):
+            found[j].append((float(value[c]), int(node[c]), int(edge[c]), float(child[c])))
+        value[at] = -np.inf
+    return found
+
+
+def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES, lattice: LatticeCache | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its up to k samples (ids, log_prob, inclusion score), best perturbed value first."""
     out: list[list[tuple[np.ndarray, float, float]]] = [[(np.zeros(0, np.int32), 0.0, 1.0)] if not t else [] for t in texts]
     some = [i for i, t in enumerate(texts) if t]
@@ -240,13 +331,11 @@ def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k
     joined_text = b"".join(bodies)
     data = np.frombuffer(joined_text, np.uint8)
     at = unit_spans(data, text_start)
-    h = span_hashes(prefix_hashes(data), at[:-1], at[1:])
-    _, first_seen, unit_of = np.unique(h, return_index=True, return_inverse=True)
-    lattice = build_lattice([joined_text[at[i] : at[i + 1]] for i in first_seen.tolist()], vocabulary)
+    lattice = lattice or LatticeCache()
+    entry = lattice.starts(joined_text, data, at, vocabulary)
     text_of = np.searchsorted(text_start, at[:-1], side="right") - 1
     token_start = np.searchsorted(text_of, np.arange(len(some) + 1))
     key = mixed(np.asarray(keys, np.uint64)[some], 21)
-    entry = lattice.start[unit_of]
     # state of each text's next path: where it leaves its parent, and the values there
     root = -np.log(-np.log(uniform(key, 0)))
     heaps: list[list[tuple]] = [[(-root[t], 0.0, -1, 0, int(token_start[t]), int(entry[token_start[t]]), -1)] for t in range(len(some))]
@@ -277,7 +366,7 @@ def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k
         own = slot[done.text]
         n_nodes = np.bincount(own, minlength=len(live))
         node_start = np.cumsum(n_nodes) - n_nodes
-        cond = lattice.log_cond[done.edge]
+        cond = lattice.log_cond[done.edge].astype(np.float64)
         running = np.cumsum(cond)
         before = running - cond - np.repeat((np.concatenate(([0.0], running))[node_start]), n_nodes) + np.repeat(phi, n_nodes)
         total = np.bincount(own, cond, len(live)) + phi
@@ -288,38 +377,25 @@ def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k
             if parent >= 0:
                 ids = np.concatenate((paths[t][parent][0][:keep], np.array([lead], np.int32), ids))
             paths[t].append((ids, float(total[j]), float(g[j]), keep + (parent >= 0)))
-        # children left aside, with their truncated Gumbel values; one more than still needed tells kappa
-        width = lattice.first[done.position + 1] - lattice.first[done.position]
-        cells = np.repeat(np.arange(len(width)), width)
-        edge = np.arange(len(cells)) - np.repeat(np.cumsum(width) - width, width) + lattice.first[done.position][cells]
-        aside = edge != done.edge[cells]
-        cells, edge = cells[aside], edge[aside]
-        child = before[cells] + lattice.log_cond[edge]
-        u = uniform(done.key[cells], edge - lattice.first[done.position][cells] + 64 * (1 + done.position[cells] - lattice.start[unit_of[done.unit[cells]]]))
-        value = child - np.log(np.exp(child - g[own[cells]]) - np.log(u))
-        owner = own[cells]
-        cuts = np.searchsorted(owner, np.arange(len(live) + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        best: list[int] = []
-        value_best: dict[int, float] = {}
-        for _ in range(k - r if len(full) else 0):  # the largest of each text, then the next
-            most = np.maximum.reduceat(value, cuts[full])
-            at_most = np.flatnonzero(value == np.repeat(most, np.diff(cuts)[full]))
-            at_most = at_most[np.isfinite(value[at_most])]
-            best += at_most.tolist()
-            value_best.update(zip(at_most.tolist(), value[at_most].tolist(), strict=True))
-            value[at_most] = -np.inf
-        for c in best:
-            node, e = int(cells[c]), int(edge[c])
-            j = int(own[node])
-            t = live[j]
-            target = int(lattice.target[e])
-            token_at = int(done.unit[node])
-            if lattice.is_end[target]:
-                token_at += 1
-                target = int(entry[token_at]) if token_at < token_start[t + 1] else -1
-            keep = paths[t][-1][3] + node - int(node_start[j])
-            heapq.heappush(heaps[t], (-value_best[c], float(child[c]), len(paths[t]) - 1, keep, token_at, target, int(lattice.piece[e])))
+        # Children left aside, with their truncated Gumbel values. Noise adds at most NOISE to a log-probability, and the
+        # path's falls from node to node, so nodes far below the values found can hold no better child.
+        want = k - r
+        near = before >= phi[own] - NOISE - MARGIN
+        found = _aside(lattice, done, entry, before, own, g, np.flatnonzero(near), want)
+        short = np.array([len(found[j]) < want or found[j][-1][0] < phi[j] - MARGIN for j in range(len(live))], bool)
+        short &= np.bincount(own[~near], minlength=len(live)) > 0
+        if short.any():
+            again = _aside(lattice, done, entry, before, own, g, np.flatnonzero(short[own]), want)
+            found.update((j, again[j]) for j in np.flatnonzero(short).tolist())
+        for j, t in enumerate(live):
+            for value, node, e, child in found[j]:
+                target = int(lattice.target[e])
+                token_at = int(done.unit[node])
+                if lattice.is_end[target]:
+                    token_at += 1
+                    target = int(entry[token_at]) if token_at < token_start[t + 1] else -1
+                keep = paths[t][-1][3] + node - int(node_start[j])
+                heapq.heappush(heaps[t], (-value, child, len(paths[t]) - 1, keep, token_at, target, int(lattice.piece[e])))
     for t, i in enumerate(some):
         kappa = -heaps[t][0][0] if heaps[t] else None
         out[i] = [(ids, lp, 1.0 if kappa is None else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for ids, lp, _, _ in paths[t]]
@@ -341,12 +417,12 @@ def encode_samples(documents: DataFrame, k: int = SAMPLES, seed: int = 0, model:
     shared = spark.sparkContext.broadcast(load_vocabulary(model))  # the vocabulary file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary, lattice = shared.value, LatticeCache()
         for batch, texts in chunks(batches, most=1 << 19):
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             keys = mixed(np.array(doc_id.fill_null(0).to_pylist(), np.int64).view(np.uint64), seed)
             rows = []
-            for i, (text, samples) in enumerate(zip(texts, sample_texts(texts, keys, vocabulary, k), strict=True)):
+            for i, (text, samples) in enumerate(zip(texts, sample_texts(texts, keys, vocabulary, k, lattice), strict=True)):
                 for rank, (ids, log_prob, inclusion) in enumerate(samples, 1):
                     rows.append((i, rank, ids, len(ids), log_prob, inclusion, decode(ids, vocabulary) == text))
             index, *columns = zip(*rows)
