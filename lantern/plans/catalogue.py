@@ -4,7 +4,517 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lantern.functions import dates, names
+from lantern.operators import archives, changes, duplicates, filters, library, places, relations, sessions, timeline, vectors
+from lantern.plans.bindings import FILES_SQL, event_files, event_locked, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- timeline and filters
+
+
+@query(f"WITH {FILES_SQL} SELECT CAST(taken_at AS DATE) AS day, count(*) AS count, round(sum(coalesce(width, 3) / CAST(coalesce(nullif(height, 0), 2) AS DOUBLE)), 3) AS ar FROM visible GROUP BY 1")
+def timeline_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.day_buckets(filters.apply_filter(filters.Catalog(event_files(spark, d), event_locked(spark, d))))
+
+
+@query(
+    f"""WITH {FILES_SQL}, motion AS (SELECT file_id, file_id + 1 AS video_file_id FROM files WHERE file_id % 10 = 4)
+ SELECT file_id, media_type, width, height, CAST(taken_at AS DATE) AS day, taken_at, file_id IN (SELECT file_id FROM motion) AS live FROM visible
+ WHERE file_id NOT IN (SELECT video_file_id FROM motion) ORDER BY taken_at DESC, file_id DESC LIMIT 200 OFFSET 50"""
+)
+def timeline_items_page(spark: SparkSession, d: str) -> DataFrame:
+    files = event_files(spark, d)
+    motion = files.where("file_id % 10 = 4").select("file_id", (F.col("file_id") + 1).alias("video_file_id"))
+    seen = filters.apply_filter(filters.Catalog(files, event_locked(spark, d), motion=motion))
+    return timeline.page(timeline.items(seen, motion), 200, 50)
+
+
+@query(
+    f"""WITH {FILES_SQL}, kinds AS (SELECT event_id AS file_id, CASE WHEN event_id % 3 = 0 THEN 'screenshot' ELSE 'photo' END AS kind FROM events WHERE event_id % 4 = 0)
+ SELECT file_id, media_type FROM visible WHERE file_id IN (SELECT file_id FROM kinds WHERE kind = 'screenshot') AND media_type = 'photo'
+ AND taken_at >= TIMESTAMP '2024-01-05' AND taken_at < TIMESTAMP '2024-01-06'"""
+)
+def filter_kind_day(spark: SparkSession, d: str) -> DataFrame:
+    files = event_files(spark, d)
+    kinds = files.where("file_id % 4 = 0").select("file_id", F.when(F.col("file_id") % 3 == 0, "screenshot").otherwise("photo").alias("kind"))
+    spec = filters.FilterSpec(kind="screenshot", media_type="photo", day="2024-01-05")
+    return filters.apply_filter(filters.Catalog(files, event_locked(spark, d), kinds=kinds), spec).select("file_id", "media_type")
+
+
+@query(
+    """WITH faces AS (SELECT l_orderkey AS file_id, CASE WHEN l_linenumber % 4 <> 0 THEN l_suppkey % 10 END AS person_id FROM lineitem)
+ SELECT o_orderkey AS file_id FROM orders WHERE o_orderkey IN (SELECT file_id FROM faces WHERE person_id = 3)
+ AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.file_id = o_orderkey AND f.person_id <> 3)"""
+)
+def filter_solo_member(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("active").alias("status"), F.col("o_orderdate").alias("taken_at"), F.lit("photo").alias("media_type"))
+    faces = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_suppkey") % 10).alias("person_id"))
+    return filters.apply_filter(filters.Catalog(files, faces=faces), filters.FilterSpec(person_id=3, solo=True)).select("file_id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def visible_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    big = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("file_id"))
+    return filters.without_row(table(spark, d, "customer").withColumnRenamed("c_custkey", "file_id"), big).select(F.col("file_id").alias("c_custkey"), "c_name")
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS has_finished FROM customer")
+def flag_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return relations.flagged(table(spark, d, "customer").select("c_custkey"), done, "c_custkey", "has_finished")
+
+
+@query(f"WITH {FILES_SQL} SELECT file_id, (file_id * 37) % 2000 / CAST(1 AS DOUBLE) AS sharpness FROM files WHERE (file_id * 37) % 2000 < 400 ORDER BY sharpness, file_id LIMIT 100")
+def soft_photos(spark: SparkSession, d: str) -> DataFrame:
+    files = event_files(spark, d)
+    quality = files.select("file_id", ((F.col("file_id") * 37) % 2000).cast("double").alias("sharpness"))
+    return filters.soft_photos(quality, files.select("file_id", "status"), "normal", 100).select("file_id", "sharpness")
+
+
+@query(
+    f"""WITH {FILES_SQL} SELECT file_id, lag(file_id) OVER (ORDER BY taken_at DESC, file_id DESC) AS prev_id, lead(file_id) OVER (ORDER BY taken_at DESC, file_id DESC) AS next_id FROM visible"""
+)
+def timeline_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.neighbours(filters.visible_files(event_files(spark, d), event_locked(spark, d)))
+
+
+# -- joins, covers, counts
+
+
+@query(
+    """WITH own AS (SELECT o_custkey AS person_id, o_orderkey AS file_id, o_orderdate AS ts FROM orders WHERE o_orderstatus <> 'P'),
+ stored AS (SELECT o_custkey AS person_id, min(o_orderkey) AS f FROM orders GROUP BY 1)
+ SELECT c_custkey AS person_id, coalesce((SELECT file_id FROM own WHERE file_id = s.f AND c_custkey % 3 = 0), b.best) AS cover
+ FROM customer LEFT JOIN stored s ON s.person_id = c_custkey
+ LEFT JOIN (SELECT person_id, arg_max(file_id, (ts, -file_id)) AS best FROM own GROUP BY 1) b ON b.person_id = c_custkey"""
+)
+def cover_top1_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("ts"), "o_orderstatus")
+    first = orders.groupBy("person_id").agg(F.min("file_id").alias("f"))
+    owners = table(spark, d, "customer").select(F.col("c_custkey").alias("person_id")).join(first, "person_id", "left").select("person_id", F.when(F.col("person_id") % 3 == 0, F.col("f")).alias("stored"))
+    visible = orders.where("o_orderstatus <> 'P'").select("file_id")
+    return relations.covers(owners, orders.select("person_id", "file_id", "ts"), visible, "person_id", "stored", F.col("ts"))
+
+
+@query("SELECT s_suppkey, s_name, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS photo_count FROM supplier")
+def distinct_member_count(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey")
+    return relations.counted(table(spark, d, "supplier").select("s_suppkey", "s_name"), members, "s_suppkey", "photo_count", "l_orderkey")
+
+
+@query("""SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1""")
+def latest_per_kind(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "events").select("event_type", F.struct("ts", "event_id").alias("at"))
+    return relations.latest_per(jobs.withColumn("x", F.col("at")), "event_type", "at").select("event_type", "x.event_id", "x.ts")
+
+
+@query(
+    """WITH c AS (SELECT event_id AS file_id, json_extract_string(props, '$.k') AS key FROM events WHERE event_type = 'view' OR event_id % 2 = 0),
+ t AS (SELECT json_extract_string(props, '$.k') AS key, max(event_id) AS target FROM events WHERE event_id % 5 = 0 GROUP BY 1),
+ claims AS (SELECT key, min(file_id) AS file_id, any_value(target) AS target FROM c JOIN t USING (key) GROUP BY key)
+ SELECT file_id, key, target FROM claims"""
+)
+def pair_claim_once(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("key"))
+    stills = e.where("event_type = 'view' or event_id % 2 = 0").select(F.col("event_id").alias("file_id"), "key", F.lit(0).alias("pos"))
+    return relations.claim_once(stills, e.where("event_id % 5 = 0").select("key", F.col("event_id").alias("target")), "key")
+
+
+@query(
+    """WITH c AS (SELECT 'doc/' || doc_id AS path, n_chars AS size, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(doc_id % 997 AS INTEGER) AS mtime FROM documents),
+ r AS (SELECT *, sum(size) OVER (ORDER BY mtime, path ROWS UNBOUNDED PRECEDING) - size AS freed, sum(size) OVER () AS total FROM c)
+ SELECT path, size, mtime FROM r WHERE total > 1000000 AND total - freed > 900000"""
+)
+def lru_evictions(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 997) * 3600).cast("timestamp_ntz").alias("mtime"))
+    return relations.evictions(cache, 1_000_000)
+
+
+# -- places
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS file_id, r_name AS country, CASE WHEN c_custkey % 9 <> 0 THEN n_name END AS city FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+ SELECT country, count(*) AS count, count(DISTINCT city) AS n_cities, (SELECT q.city FROM p q WHERE q.country = p.country AND q.city IS NOT NULL GROUP BY q.city ORDER BY count(*) DESC, q.city LIMIT 1) AS top_city FROM p GROUP BY country"""
+)
+def place_summary_two_level(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    located = c.select(F.col("c_custkey").alias("file_id"), F.col("r_name").alias("country"), F.when(F.col("c_custkey") % 9 != 0, F.col("n_name")).alias("city"), F.col("c_custkey").alias("taken_at"))
+    return places.place_summary(located).select("country", "count", F.size("cities").cast("long").alias("n_cities"), F.try_element_at("cities", F.lit(1))["city"].alias("top_city"))
+
+
+@query(
+    """SELECT round(CAST((c_custkey * 37 % 180) - 90 + 0.25 * (c_custkey % 4) AS DOUBLE), 1) AS lat, round(CAST((c_custkey * 91 % 360) - 180 + 0.5 * (c_custkey % 2) AS DOUBLE), 1) AS lon, count(*) AS count, min(c_mktsegment) AS city, min(c_name) AS country FROM customer GROUP BY 1, 2"""
+)
+def geo_grid_points(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    located = table(spark, d, "customer").select(((k * 37 % 180) - 90 + F.lit(0.25) * (k % 4)).alias("gps_lat"), ((k * 91 % 360) - 180 + F.lit(0.5) * (k % 2)).alias("gps_lon"), F.col("c_mktsegment").alias("city"), F.col("c_name").alias("country"))
+    return places.grid_points(located, 1)
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 140 - 70 AS DOUBLE) AS lat, CAST(c_custkey * 91 % 360 - 180 AS DOUBLE) AS lon FROM customer),
+ c AS (SELECT s_suppkey AS city_id, CAST(s_suppkey * 53 % 150 - 75 AS DOUBLE) + 0.5 AS clat, CAST(s_suppkey * 77 % 360 - 180 AS DOUBLE) + 0.25 AS clon FROM supplier),
+ x AS (SELECT id, city_id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) AS km FROM p, c)
+ SELECT id, arg_min(city_id, (round(km, 6), city_id)) AS city_id, round(min(km), 3) AS km FROM x GROUP BY id"""
+)
+def nearest_city(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 140 - 70).cast("double").alias("lat"), (k * 91 % 360 - 180).cast("double").alias("lon"))
+    cities = table(spark, d, "supplier").select(s.alias("city_id"), ((s * 53 % 150 - 75).cast("double") + 0.5).alias("lat"), ((s * 77 % 360 - 180).cast("double") + 0.25).alias("lon"))
+    return places.nearest_city(points, cities).select("id", "city_id", F.round("km", 3).alias("km"))
+
+
+# -- duplicates
+
+
+@query(
+    """SELECT content_hash, count(*) AS n, arg_max(doc_id, (n_chars, -doc_id)) AS keeper, CAST(sum(n_chars) - max(n_chars) AS BIGINT) AS reclaimable
+ FROM (SELECT md5(text) AS content_hash, doc_id, n_chars FROM documents) GROUP BY 1 HAVING count(*) > 1"""
+)
+def exact_dupes_keeper(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.md5("text").alias("content_hash"), F.col("doc_id").alias("file_id"), "n_chars")
+    return duplicates.exact_groups(files, "content_hash", [F.col("n_chars")], "n_chars")
+
+
+SIGNS = "(" + " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" for i in range(62)) + ")"
+
+
+def _signs(spark: SparkSession, d: str) -> DataFrame:
+    bits = F.lit(0).cast("long")
+    for i in range(62):
+        bits = bits + F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), bits.alias("h"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT CAST({SIGNS} AS BIGINT) AS h FROM embeddings) SELECT x.h AS a, y.h AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM s x JOIN s y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 20")
+def near_dupe_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_pairs(_signs(spark, d), 20)
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT vec_id AS file_id, CAST({SIGNS} AS BIGINT) AS h FROM embeddings),
+ e AS (SELECT x.file_id AS a, y.file_id AS b FROM s x JOIN s y ON x.file_id <> y.file_id AND bit_count(xor(x.h, y.h)) <= 17),
+ r AS (SELECT DISTINCT a AS file_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.file_id)
+ SELECT file_id, min(root) AS group_id FROM r GROUP BY 1"""
+)
+def near_dupe_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_groups(_signs(spark, d), 17)
+
+
+@query("SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey WHERE x.n_regionkey = 2 AND y.n_regionkey = 2")
+def dismiss_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return changes.dismissed_pairs(table(spark, d, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("file_id")), 2)
+
+
+# -- statistics
+
+
+@query(
+    f"""WITH {FILES_SQL}, f AS (SELECT *, file_id IN (SELECT file_id FROM locked) AS is_locked FROM files), g AS (SELECT *, status = 'active' AND NOT is_locked AS seen FROM f)
+ SELECT count(*) FILTER (seen AND media_type = 'photo') AS photos, count(*) FILTER (seen AND media_type = 'video') AS videos, CAST(coalesce(sum(size_bytes) FILTER (seen AND media_type = 'photo'), 0) AS BIGINT) AS photo_bytes,
+ CAST(coalesce(sum(size_bytes) FILTER (seen AND media_type = 'video'), 0) AS BIGINT) AS video_bytes, count(*) FILTER (seen AND taken_at IS NOT NULL) AS dated, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (is_locked) AS locked, count(*) AS total FROM g"""
+)
+def library_stats(spark: SparkSession, d: str) -> DataFrame:
+    return library.library_stats(event_files(spark, d), event_locked(spark, d))
+
+
+@query(f"WITH {FILES_SQL} SELECT count(*) AS n, max(file_id) AS max_id, count(*) FILTER (status = 'active') AS active, CAST(sum(mtime_ns % 1000000007) AS BIGINT) AS mtimes FROM files")
+def change_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return changes.fingerprint(event_files(spark, d))
+
+
+PATH_SQL = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit(0).alias("volume_id"), path.alias("rel_path"))
+
+
+@query(
+    f"""WITH f AS (SELECT page_id AS file_id, {PATH_SQL} AS p FROM pages), host AS (SELECT split_part(p, '/', 1) AS h FROM f ORDER BY file_id LIMIT 1),
+ d AS (SELECT file_id FROM f, host WHERE (p = h OR starts_with(p, h || '/')) AND NOT (p = h || '/en' OR starts_with(p, h || '/en/')))
+ SELECT count(*) FILTER (file_id % 2 = 0) AS photos, count(*) FILTER (file_id % 2 = 1) AS videos, CAST(coalesce(sum(file_id % 3), 0) AS BIGINT) AS faces, count(*) FILTER (file_id % 5 = 0) AS locked FROM d"""
+)
+def removal_preview(spark: SparkSession, d: str) -> DataFrame:
+    files = _paths(spark, d)
+    first = files.agg(F.min_by(F.split_part("rel_path", F.lit("/"), F.lit(1)), "file_id").alias("h"))
+    roots = first.select(F.explode(F.array(F.struct(F.lit(1).alias("root_id"), F.col("h").alias("rel_path")), F.struct(F.lit(2).alias("root_id"), F.concat("h", F.lit("/en")).alias("rel_path")))).alias("r")).select("r.root_id", F.lit(0).alias("volume_id"), "r.rel_path")
+    doomed = relations.doomed_files(files, roots, 1)
+    typed = files.withColumn("media_type", F.when(F.col("file_id") % 2 == 0, "photo").otherwise("video"))
+    faces = files.where("file_id % 3 > 0").select("file_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("file_id") % 3)).alias("face_id"))
+    return library.removal_preview(typed, doomed, faces, files.where("file_id % 5 = 0").select("file_id"))
+
+
+@query(f"WITH {FILES_SQL} SELECT count(*) FILTER (volume_id % 3 <> 0) AS count, CAST(coalesce(sum(size_bytes) FILTER (volume_id % 3 <> 0), 0) AS BIGINT) AS bytes, count(*) FILTER (volume_id % 3 = 0) AS offline FROM files WHERE file_id % 10 = 1")
+def export_totals(spark: SparkSession, d: str) -> DataFrame:
+    files = event_files(spark, d)
+    return library.export_totals(files, files.where("file_id % 10 = 1").select("file_id"), files.where("volume_id % 3 <> 0").select("volume_id"))
+
+
+# -- changes
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS size, o_orderkey % 7 = 0 AS miss FROM orders WHERE o_orderkey % 10 < 8),
+ n AS (SELECT o_orderkey AS k, o_custkey + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS size FROM orders WHERE o_orderkey % 10 > 1)
+ SELECT coalesce(o.k, n.k) AS id, CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL AND NOT miss THEN 'gone' WHEN n.k IS NULL THEN 'unchanged' WHEN o.size <> n.size THEN 'changed' WHEN o.k % 17 = 0 THEN 'incomplete' WHEN miss THEN 'resurrected' ELSE 'unchanged' END AS change
+ FROM o FULL JOIN n ON o.k = n.k"""
+)
+def scan_diff(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    old = o.where(k % 10 < 8).select(F.lit(1).alias("volume_id"), k.cast("string").alias("rel_path"), k.alias("file_id"), F.col("o_custkey").alias("size_bytes"), F.lit(0).alias("mtime_ns"), F.when(k % 17 != 0, "h").alias("content_hash"), F.when(k % 7 == 0, "missing").otherwise("active").alias("status"), F.lit(True).alias("has_thumb"))
+    new = o.where(k % 10 > 1).select(F.lit(1).alias("volume_id"), k.cast("string").alias("rel_path"), (F.col("o_custkey") + F.when(k % 13 == 0, 1).otherwise(0)).alias("size_bytes"), F.lit(0).alias("mtime_ns"))
+    return changes.scan_diff(old, new).select(F.col("rel_path").cast("long").alias("id"), "change")
+
+
+def _kv(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders")
+    old = o.where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    return old, o.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
+
+
+KV_SQL = "old AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), new AS (SELECT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_orderkey % 5 = 0)"
+
+
+@query(f"WITH {KV_SQL}, n AS (SELECT k, max(v) AS v FROM new GROUP BY 1) SELECT k, v FROM n UNION ALL SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM n)")
+def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return changes.upsert(*_kv(spark, d), ["k"], "v")
+
+
+@query(f"WITH {KV_SQL}, n AS (SELECT k, min(v) AS v FROM new GROUP BY 1) SELECT k, v FROM old UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM old)")
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    return changes.insert_or_ignore(*_kv(spark, d), ["k"], "v")
+
+
+@query(f"WITH {KV_SQL}, n AS (SELECT k, max(v) AS v FROM new GROUP BY 1), m AS (SELECT * FROM old WHERE v % 2 = 0) SELECT k, v FROM m UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM m)")
+def rebuild_keep_manual(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _kv(spark, d)
+    return changes.rebuilt(old, changes.last_of(new, ["k"], "v"), ["k"], F.col("v") % 2 == 0)
+
+
+@query(
+    """WITH i AS (SELECT o_custkey AS album_id, o_orderkey AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders WHERE o_orderkey % 2 = 0),
+ m AS (SELECT album_id, max(position) AS last FROM i GROUP BY 1),
+ n AS (SELECT o_custkey AS album_id, o_orderkey AS file_id, coalesce(last, -1) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders LEFT JOIN m ON album_id = o_custkey WHERE o_orderkey % 3 = 0)
+ SELECT * FROM i UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.album_id = n.album_id AND i.file_id = n.file_id)"""
+)
+def append_positions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("album_id"), F.col("o_orderkey").alias("file_id"))
+    items = o.where("file_id % 2 = 0").withColumn("position", F.row_number().over(Window.partitionBy("album_id").orderBy("file_id")).cast("long") - 1)
+    return changes.appended(items, o.where("file_id % 3 = 0").withColumn("pos", F.col("file_id")), "album_id")
+
+
+@query("SELECT o_orderkey AS file_id, o_custkey AS person_id FROM orders WHERE o_orderkey % 10 <> 3")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("person_id"))
+    return changes.cascade_delete(o.where("file_id % 10 = 3").select("file_id"), {"faces": o}, {})["faces"]
+
+
+# -- sessions
+
+SESSION_SQL = """e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+ g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 21600 THEN 0 ELSE 1 END AS new FROM e),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+ b AS (SELECT *, min(t) OVER (PARTITION BY user_id, k) AS session, count(*) OVER (PARTITION BY user_id, k) AS n, row_number() OVER (PARTITION BY user_id, k ORDER BY t, event_id) - 1 AS nth FROM s),
+ bounds AS (SELECT user_id, session, max(n) AS n, min(t) AS start_ts, max(t) AS end_ts, max(event_id) FILTER (nth = n // 2) AS cover FROM b WHERE n >= 3 GROUP BY 1, 2)"""
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("file_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
+    return sessions.gap_sessions(e, ["user_id"])
+
+
+@query(f"WITH {SESSION_SQL} SELECT * FROM bounds")
+def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_bounds(_sessions(spark, d), ["user_id"])
+
+
+@query("WITH e AS (SELECT event_id AS file_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_id % 50 = 0), g AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, file_id) <= 21600 THEN NULL ELSE t END AS s FROM e) SELECT file_id, max(s) OVER (ORDER BY t, file_id ROWS UNBOUNDED PRECEDING) AS session FROM g")
+def global_sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("file_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    return sessions.gap_sessions(e).select("file_id", "session")
+
+
+@query(
+    f"""WITH {SESSION_SQL}, p AS (SELECT b.user_id, b.session, event_type AS city, count(*) AS c FROM b JOIN events USING (event_id) WHERE event_type <> 'error' AND nth < 400 GROUP BY 1, 2, 3),
+ f AS (SELECT user_id, session, least(count(*), 400) AS m FROM b GROUP BY 1, 2), top AS (SELECT user_id, session, max((c, city)) AS x FROM p GROUP BY 1, 2),
+ named AS (SELECT top.user_id, top.session, x[2] AS city FROM top JOIN f USING (user_id, session) WHERE x[1] >= greatest(2, m // 4)),
+ dates AS (SELECT *, make_timestamp(start_ts * 1000000) AS a, make_timestamp(end_ts * 1000000) AS z FROM bounds)
+ SELECT user_id, session, coalesce(city || ' · ', '') || CASE WHEN CAST(a AS DATE) = CAST(z AS DATE) THEN strftime(a, '%b %-d, %Y')
+ WHEN date_trunc('month', a) = date_trunc('month', z) THEN strftime(a, '%b %-d') || '–' || strftime(z, '%-d, %Y') ELSE strftime(a, '%b %-d, %Y') || ' – ' || strftime(z, '%b %-d, %Y') END AS title
+ FROM dates LEFT JOIN named USING (user_id, session)"""
+)
+def session_titles(spark: SparkSession, d: str) -> DataFrame:
+    s = _sessions(spark, d)
+    where = s.where("event_type <> 'error'").select("file_id", F.col("event_type").alias("city"), F.lit("x").alias("country"))
+    return sessions.titled(sessions.session_bounds(s, ["user_id"]), sessions.modal_place(s, where, ["user_id"]), ["user_id"]).select("user_id", "session", "title")
+
+
+@query(
+    """WITH o AS (SELECT user_id AS old_id, 'trip ' || user_id AS title, event_id AS file_id FROM events WHERE event_id % 3 <> 0), n AS (SELECT user_id * 2 + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS new_id, event_id AS file_id FROM events),
+ z AS (SELECT old_id, count(*) AS size FROM o GROUP BY 1), s AS (SELECT old_id, new_id, any_value(title) AS title, count(*) AS shared FROM o JOIN n USING (file_id) GROUP BY 1, 2)
+ SELECT new_id, arg_min(title, old_id) AS title FROM s JOIN z USING (old_id) WHERE shared * 2 >= size GROUP BY 1"""
+)
+def title_carryover(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    old = e.where("event_id % 3 <> 0").select(F.col("user_id").alias("old_id"), F.concat(F.lit("trip "), F.col("user_id").cast("string")).alias("title"), F.col("event_id").alias("file_id"))
+    return sessions.inherited_titles(old, e.select((F.col("user_id") * 2 + F.when(F.col("event_type") == "view", 1).otherwise(0)).alias("new_id"), F.col("event_id").alias("file_id")))
+
+
+# -- vectors
+
+CENTROID_SQL = """x AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m, count(*) AS n FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+ c AS (SELECT label, max(n) AS n, list(m ORDER BY i) AS raw FROM x GROUP BY 1), u AS (SELECT label, n, list_transform(raw, lambda v: v / sqrt(list_dot_product(raw, raw))) AS centroid FROM c)"""
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.centroids(table(spark, d, "embeddings"), "label")
+
+
+@query(f"WITH {CENTROID_SQL} SELECT label, n, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last FROM u")
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _centroids(spark, d).select("label", "n", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"))
+
+
+@query(
+    f"""WITH {CENTROID_SQL}, s AS (SELECT vec_id, u.label AS l, list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), centroid) / sqrt(list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE)))) AS sim FROM embeddings, u),
+ b AS (SELECT vec_id, arg_max(l, sim) AS l, max(sim) AS sim FROM s GROUP BY 1) SELECT vec_id, CASE WHEN sim >= 0.25 THEN l END AS nearest_label, CASE WHEN sim >= 0.25 THEN round(sim, 6) END AS similarity FROM b"""
+)
+def assign_nearest(spark: SparkSession, d: str) -> DataFrame:
+    out = vectors.assign_nearest(table(spark, d, "embeddings").select("vec_id", "embedding"), _centroids(spark, d), 0.25, "label")
+    return out.select("vec_id", F.col("nearest_label").cast("int").alias("nearest_label"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {CENTROID_SQL} SELECT p.label AS a, q.label AS b, round(list_dot_product(p.centroid, q.centroid), 6) AS similarity FROM u p JOIN u q ON p.label < q.label WHERE list_dot_product(p.centroid, q.centroid) >= 0.2")
+def centroid_merge_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_centroids(_centroids(spark, d), "label", 0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    """WITH v AS (SELECT label AS cluster, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 7 END AS person_id FROM embeddings), z AS (SELECT cluster, count(*) AS size FROM v GROUP BY 1),
+ t AS (SELECT cluster, person_id, count(*) AS n FROM v WHERE person_id IS NOT NULL GROUP BY 1, 2), c AS (SELECT person_id, arg_max(cluster, (n, -cluster)) AS cluster, max(n) AS n FROM t GROUP BY 1)
+ SELECT cluster, arg_max(person_id, (n, -person_id)) AS person_id FROM c JOIN z USING (cluster) WHERE n * 6 > size GROUP BY 1"""
+)
+def vote_relabel(spark: SparkSession, d: str) -> DataFrame:
+    votes = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.when(F.col("vec_id") % 3 != 0, F.col("vec_id") % 7).alias("person_id"))
+    return vectors.relabelled(votes, 6)
+
+
+# -- names, kinds, archives
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_name LIKE '%screenshot%' THEN 'screenshot' WHEN p_partkey % 3 = 0 THEN NULL WHEN p_size * 20 BETWEEN 0.45 * (p_partkey % 2000 + 1) AND 0.52 * (p_partkey % 2000 + 1) AND p_partkey % 2000 + 1 >= 800 THEN 'screenshot' END AS kind FROM part"""
+)
+def kind_rules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    verdict = names.kind(F.concat("p_name", F.lit(".png")), F.col("p_size") * 20, k % 2000 + 1, F.when(k % 3 == 0, "maker"))
+    return table(spark, d, "part").select("p_partkey", verdict["kind"].alias("kind"))
+
+
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'screenshot' ELSE 'document' END AS kind, count(*) AS count, CASE WHEN any_value(p_size) % 2 = 0 THEN 'Screenshots' ELSE 'Documents' END AS label FROM part WHERE p_size % 5 <> 0 GROUP BY 1")
+def kind_summary(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    return library.kind_summary(table(spark, d, "part").select(F.when(size % 5 == 0, "photo").when(size % 2 == 0, "screenshot").otherwise("document").alias("kind")))
+
+
+@query(f"SELECT page_id, list_extract(string_split({PATH_SQL}, '/'), -1) AS base, list_extract(string_split({PATH_SQL}, '/'), -2) AS box, list_extract(string_split({PATH_SQL}, '/'), -3) AS root FROM pages")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("rel_path")
+    return _paths(spark, d).select(F.col("file_id").alias("page_id"), names.basename(p).alias("base"), names.container(p).alias("box"), names.photos_root(p).alias("root"))
+
+
+@query("""SELECT page_id, substr(CASE WHEN c = '' THEN 'file' ELSE c END, 1, 200) AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '[<>:"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS c FROM pages)""")
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", names.safe_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT page_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.jpg$', '') || ' (' || n || ').jpg' END AS unique_name FROM (SELECT page_id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY page_id) AS n FROM (SELECT page_id, 'IMG_' || page_id % 40 || '.jpg' AS name FROM pages))""")
+def unique_names(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "pages").select("page_id", F.concat(F.lit("IMG_"), (F.col("page_id") % 40).cast("string"), F.lit(".jpg")).alias("name"))
+    return archives.unique_names(files, "page_id", "name", "page_id").select("page_id", "unique_name")
+
+
+MEDIA_SQL = """m AS (SELECT 'T/Photos from ' || (2000 + doc_id % 20) || '/long_holiday_' || doc_id || '.jpg' AS name, doc_id % 300 AS crc, doc_id % 300 * 10 AS size, doc_id FROM documents),
+ s AS (SELECT CASE doc_id % 4 WHEN 0 THEN name || '.supplemental-metadata.json' WHEN 1 THEN upper(name || '.json') WHEN 2 THEN substr(name, 1, length(name) - 2) || '.json' ELSE 'T/Trip/other_' || doc_id || '.json' END AS sidecar, name, doc_id FROM m)"""
+
+
+def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    name = F.concat(F.lit("T/Photos from "), (2000 + i % 20).cast("string"), F.lit("/long_holiday_"), i.cast("string"), F.lit(".jpg"))
+    m = table(spark, d, "documents").select(name.alias("name"), (i % 300).alias("crc"), (i % 300 * 10).alias("size"), "doc_id")
+    s = F.when(i % 4 == 0, F.concat("name", F.lit(".supplemental-metadata.json"))).when(i % 4 == 1, F.upper(F.concat("name", F.lit(".json")))).when(i % 4 == 2, F.concat(F.expr("substr(name, 1, length(name) - 2)"), F.lit(".json"))).otherwise(F.concat(F.lit("T/Trip/other_"), i.cast("string"), F.lit(".json")))
+    return m, m.select(s.alias("name"))
+
+
+# upper case changes the folder's case too, so only rules 1 and 10 apply here
+@query(f"WITH {MEDIA_SQL} SELECT name, sidecar, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 10 END AS rule FROM s WHERE doc_id % 4 IN (0, 2)")
+def sidecar_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return archives.sidecar_cascade(*_media(spark, d))
+
+
+@query(f"WITH {MEDIA_SQL}, p AS (SELECT name, sidecar FROM s WHERE doc_id % 4 IN (0, 2)), f AS (SELECT crc, size, arg_min(sidecar, name) AS x FROM m JOIN p USING (name) GROUP BY 1, 2) SELECT name, coalesce(p.sidecar, f.x) AS sidecar FROM m LEFT JOIN p USING (name) LEFT JOIN f USING (crc, size)")
+def share_in_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    m, s = _media(spark, d)
+    return archives.shared(m, archives.sidecar_cascade(m, s))
+
+
+@query(f"WITH {MEDIA_SQL}, p AS (SELECT crc, size, min(name) AS first FROM m GROUP BY 1, 2) SELECT name, substr(name, 3) AS dest, name = first AS is_primary, substr(first, 3) AS primary_dest FROM m JOIN p USING (crc, size)")
+def primary_vs_links(spark: SparkSession, d: str) -> DataFrame:
+    return archives.extraction_plan(_media(spark, d)[0])
+
+
+@query(
+    f"""WITH {MEDIA_SQL}, p AS (SELECT name, sidecar FROM s WHERE doc_id % 4 IN (0, 2)), f AS (SELECT crc, size, arg_min(sidecar, name) AS x FROM m JOIN p USING (name) GROUP BY 1, 2),
+ q AS (SELECT name, coalesce(p.sidecar, f.x) AS sidecar FROM m LEFT JOIN p USING (name) LEFT JOIN f USING (crc, size)), u AS (SELECT DISTINCT crc, size FROM m)
+ SELECT (SELECT count(*) FROM m) AS photos, CAST(0 AS BIGINT) AS videos, (SELECT count(DISTINCT string_split(name, '/')[2]) FROM m) AS containers, CAST(0 AS BIGINT) AS albums, CAST((SELECT sum(size) FROM u) AS BIGINT) AS unique_bytes,
+ (SELECT count(*) FROM m) - (SELECT count(*) FROM u) AS duplicate_paths, (SELECT count(*) FROM q WHERE sidecar IS NOT NULL) AS paired, (SELECT count(*) FROM s WHERE sidecar NOT IN (SELECT sidecar FROM q WHERE sidecar IS NOT NULL)) AS orphan_sidecars, 'T' AS photos_root"""
+)
+def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
+    m, s = _media(spark, d)
+    return archives.manifest_totals(m, archives.shared(m, archives.sidecar_cascade(m, s)), s)
+
+
+# -- strings
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE date_trunc('second', o_orderdate) END AS taken_at FROM orders")
+def exif_dates(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.lit("0000:00:00 00:00:00")).when(k % 3 == 1, F.date_format(at, "yyyy:MM:dd HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, d, "orders").select("o_orderkey", dates.exif_datetime(text).cast("timestamp_ntz").alias("taken_at"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('second', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS taken_at FROM orders")
+def filename_dates(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("IMG_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".jpg"))).otherwise(F.concat(F.lit("scan "), F.date_format(at, "yyyy-MM-dd"), F.lit(".png")))
+    return table(spark, d, "orders").select("o_orderkey", dates.filename_datetime(name).cast("timestamp_ntz").alias("taken_at"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 181 - 90 <> 0 OR c_custkey % 400 - 200 <> 0 THEN CASE WHEN c_custkey % 400 - 200 BETWEEN -180 AND 180 THEN CAST(c_custkey % 181 - 90 AS DOUBLE) END END AS lat FROM customer")
+def iso6709(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.concat(F.format_string("%+d", k % 181 - 90), F.format_string("%+d", k % 400 - 200), F.lit("/"))
+    return table(spark, d, "customer").select("c_custkey", dates.iso6709(text)["lat"].alias("lat"))
