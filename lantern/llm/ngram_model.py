@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ HASHES, BITS_PER_EVENT = 5, 8
 FOLLOWER_BITS = 40
 SEGMENT_CHARS = 8_000_000
 SHARD_BYTES = 192 << 20
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_200_000
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -49,13 +50,15 @@ def expected_counts(base: float = QUANT_BASE, most: int = 256) -> np.ndarray:
     return np.concatenate(([0.0], (low + high) / 2))
 
 
-def event_positions(keys: np.ndarray, level: int, first_bit: np.ndarray, n_bits: np.ndarray, hashes: int = HASHES) -> Iterator[np.ndarray]:
-    """The bit positions of event (key, level), one array per hash function (double hashing)."""
-    a = mixed(keys, level)
-    b = mixed(keys, level + 4096) | np.uint64(1)
+def event_hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offset and stride of each key's double hashing; event (key, level) has the terms from level * HASHES on."""
+    return mixed(keys, 1), mixed(keys, 2) | np.uint64(1)
+
+
+def bit_positions(offset: np.ndarray, stride: np.ndarray, term: int, n_bits: np.ndarray) -> np.ndarray:
+    """The term's position among n_bits < 2**32 bits."""
     with np.errstate(over="ignore"):
-        for i in range(hashes):
-            yield first_bit + ((a + np.uint64(i) * b) % n_bits).astype(np.int64)
+        return (((offset + np.uint64(term) * stride) >> np.uint64(32)) * n_bits >> np.uint64(32)).astype(np.int64)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int = HASHES, bits_per_event: int = BITS_PER_EVENT) -> np.ndarray:
@@ -63,17 +66,18 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int = HASHES, bi
     levels = quantise(counts)
     size = max(8, (int(levels.sum()) * bits_per_event + 63) // 64 * 8)
     bits = np.zeros(size * 8, bool)
-    n_bits, zero = np.uint64(size * 8), np.zeros(1, np.int64)
+    offset, stride = event_hashes(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        keys, levels = keys[levels >= level], levels[levels >= level]
-        for at in event_positions(keys, level, zero, n_bits, hashes):
-            bits[at] = True
+        on = levels >= level
+        offset, stride, levels = offset[on], stride[on], levels[on]
+        for term in range(level * hashes, (level + 1) * hashes):
+            bits[bit_positions(offset, stride, term, np.uint64(size * 8))] = True
     return np.packbits(bits)
 
 
 @dataclass
 class Shard:
-    """Filter parts and exact word counts of some segments; first and size are -1 and 1 for the segments it lacks."""
+    """Filter parts and exact word counts of some segments; a segment it lacks has the empty part at 0."""
 
     bits: np.ndarray
     first: np.ndarray
@@ -85,12 +89,14 @@ class Shard:
         """Quantised counts: how many events in a row are in the filter."""
         level = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
+        offset, stride = event_hashes(keys)
+        first, size = self.first[segments], self.size[segments].astype(np.uint64)
         for at_level in range(1, most):
-            k, first, size = keys[live], self.first[segments[live]], self.size[segments[live]]
-            found = np.ones(len(live), bool)
-            for at in event_positions(k, at_level, first, size.astype(np.uint64), hashes):
-                found &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            live = live[found]
+            for term in range(at_level * hashes, (at_level + 1) * hashes):
+                at = first + bit_positions(offset, stride, term, size)
+                hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    live, offset, stride, first, size = live[hit], offset[hit], stride[hit], first[hit], size[hit]
             if not len(live):
                 break
             level[live] = at_level
@@ -142,7 +148,8 @@ def fan_keys(before: np.ndarray) -> np.ndarray:
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    """Segments are ranges of the keys, so the segments' sorted words are sorted as a whole."""
+    return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
 def _counted(keys: np.ndarray, *others: np.ndarray) -> tuple:
@@ -225,21 +232,24 @@ def count_segments(documents: DataFrame, segments: int) -> DataFrame:
     return packed.groupBy("segment").applyInArrow(add_up, "segment int, n_tokens long, n_words long, words binary, counts binary, bits binary, n_bytes long")
 
 
-def _load(counted: DataFrame, chosen: list[int], segments: int) -> Shard:
-    """The shard of the chosen segments; their bytes are bounded by the caller."""
-    first, size = np.full(segments, 0, np.int64), np.full(segments, 64, np.int64)
-    bits, words, counts, at = [np.zeros(8, np.uint8)], [], [], 8
-    for r in counted.where(F.col("segment").isin(chosen)).select("segment", "words", "counts", "bits").toLocalIterator():
-        part = np.frombuffer(r.bits, np.uint8)
-        first[r.segment], size[r.segment] = at * 8, len(part) * 8
-        bits.append(part)
-        at += len(part)
-        own = np.frombuffer(r.words, np.uint64)
-        words.append(own)
-        counts.append(np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == 4 * len(own) else np.uint64))
-    word = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    order = np.argsort(word)
-    return Shard(np.concatenate(bits), first, size, word[order], (np.concatenate(counts) if counts else np.zeros(0, np.uint32))[order])
+def _load(counted: DataFrame, sizes: pd.DataFrame, segments: int) -> Shard:
+    """The shard of the segments in sizes (in order); their bytes are bounded by the caller and are put in place one segment at a time."""
+    first, size = np.zeros(segments, np.int64), np.full(segments, 64, np.int64)
+    n_bits = (sizes.n_bytes - 12 * sizes.n_words).to_numpy()
+    bit_at = dict(zip(sizes.segment, np.cumsum(n_bits) - n_bits + 8, strict=True))
+    word_at = dict(zip(sizes.segment, np.cumsum(sizes.n_words) - sizes.n_words, strict=True))
+    bits, words, counts = np.zeros(int(n_bits.sum()) + 8, np.uint8), np.zeros(int(sizes.n_words.sum()), np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint32)
+    for r in counted.where(F.col("segment").isin(sizes.segment.tolist())).select("segment", "words", "counts", "bits").toLocalIterator():
+        at, n = int(bit_at[r.segment]), len(r.bits)
+        bits[at : at + n] = np.frombuffer(r.bits, np.uint8)
+        first[r.segment], size[r.segment] = at * 8, n * 8
+        at, n = int(word_at[r.segment]), len(r.words) // 8
+        words[at : at + n] = np.frombuffer(r.words, np.uint64)
+        own = np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == 4 * n else np.uint64)
+        if own.dtype == np.uint64 and counts.dtype != np.uint64:
+            counts = counts.astype(np.uint64)
+        counts[at : at + n] = own
+    return Shard(bits, first, size, words, counts)
 
 
 def score_documents(documents: DataFrame, shard_bytes: int = SHARD_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
@@ -255,7 +265,7 @@ def score_documents(documents: DataFrame, shard_bytes: int = SHARD_BYTES, segmen
     chars = train.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     segments = max(1, -(-chars // segment_chars))
     counted = written(count_segments(train, segments), "segments")
-    sizes = counted.select("segment", "n_tokens", "n_words", "n_bytes").toPandas()  # a few numbers per segment
+    sizes = counted.select("segment", "n_tokens", "n_words", "n_bytes").toPandas().sort_values("segment")  # a few numbers per segment
     total, distinct = int(sizes.n_tokens.sum()), int(sizes.n_words.sum())
     shard_of = np.zeros(segments, np.int64)
     shards: list[list[int]] = [[]]
@@ -308,7 +318,7 @@ def score_documents(documents: DataFrame, shard_bytes: int = SHARD_BYTES, segmen
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     schema = "doc_id long, held_out boolean, _row long, n_tokens long, n_known long, base_score double, score double"
     passes = []
-    loaded = {s: spark.sparkContext.broadcast(_load(counted, chosen, segments)) for s, chosen in enumerate(shards)}  # each within shard_bytes
+    loaded = {s: spark.sparkContext.broadcast(_load(counted, sizes[sizes.segment.isin(chosen)], segments)) for s, chosen in enumerate(shards)}  # each within shard_bytes
     for h in range(len(shards)):
         for w in range(len(shards)):
             passes.append(keyed.mapInArrow(scorer(h, w, loaded[h], loaded[w]), schema))

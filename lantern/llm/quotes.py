@@ -140,12 +140,18 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 
 def _roots(nodes: DataFrame) -> DataFrame:
-    """nodes with root and depth, by pointer doubling: every round joins each node to its pointer's pointer."""
-    at = nodes.select("conv_id", "turn", "n_linked", "parent", F.coalesce("parent", F.struct("conv_id", "turn")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    at = written(at, "pointers")
+    """nodes with root and depth, by pointer doubling: every round joins the nodes on the way to their pointer's pointer.
+
+    A node whose pointer is at a root (or past it) is done and is never joined again, only looked up.
+    """
+    start = nodes.select("conv_id", "turn", "n_linked", "parent", F.coalesce("parent", F.struct("conv_id", "turn")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    start = written(start.withColumn("done", F.col("parent").isNull()), "pointers")
+    finished, moving = start.where("done"), start.where(~F.col("done"))
     while True:
-        hop = at.where("depth > 0").select(F.struct("conv_id", "turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        new = written(at.join(hop, "root", "left").select("conv_id", "turn", "n_linked", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "pointers")
-        if new.where("moved").isEmpty():
-            return new.select("conv_id", "turn", "n_linked", "parent", "root", "depth")
-        at = new.drop("moved")
+        at = F.struct("conv_id", "turn").alias("root")
+        known = finished.select(at, F.col("root").alias("next"), F.col("depth").alias("more"), F.lit(True).alias("end")).unionByName(moving.select(at, F.col("root").alias("next"), F.col("depth").alias("more"), F.lit(False).alias("end")))
+        hop = moving.join(known, "root").select("conv_id", "turn", "n_linked", "parent", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done"))
+        hop = written(hop, "pointers")
+        finished, moving = finished.unionByName(hop.where("done")), hop.where(~F.col("done"))
+        if moving.isEmpty():
+            return finished.select("conv_id", "turn", "n_linked", "parent", "root", "depth")

@@ -176,7 +176,9 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     shards = int(min(MOST_SHARDS, max(1, n // SHARD)))
-    sample = [r["fp"] for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]  # at most SAMPLE longs
+    # a hash threshold takes about SAMPLE of the points, whatever their number, and nothing else leaves the tasks
+    share = F.shiftrightunsigned(F.xxhash64("fp"), 1) < F.lit(min(2**63 - 1, 2**63 * SAMPLE // max(n, 1)))
+    sample = [r["fp"] for r in points.where(share).collect()]
     tree = spark.sparkContext.broadcast(build_tree(np.array(sample, np.int64).view(np.uint64), shards, radius))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
