@@ -3,6 +3,7 @@
 Counting: every task packs its distinct word and bigram keys with counts into one blob per hash segment, the segments
 are shuffled, and each segment's task adds the counts up exactly, quantises them on a log scale, q = 1 + floor(log_b c),
 and sets the bits of the events (key, 1) .. (key, q). Its part of the filter has a size in proportion to its events.
+An event's bits lie in one 64-bit word (a register-blocked filter), so a probe reads memory once.
 What is shuffled grows with the corpus; a hot key is one entry per task.
 
 Scoring: the filter's segments are dealt to shards of at most `shard_bytes`, whatever the corpus size, and one pass over
@@ -55,29 +56,40 @@ def event_hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(keys, 1), mixed(keys, 2) | np.uint64(1)
 
 
-def bit_positions(offset: np.ndarray, stride: np.ndarray, term: int, n_bits: np.ndarray) -> np.ndarray:
-    """The term's position among n_bits < 2**32 bits."""
+def bit_patterns(hashes: int = HASHES, many: int = 1 << 15) -> np.ndarray:
+    """Words of `hashes` set bits each, one in every equal part of the word."""
+    edge = np.arange(hashes + 1) * 64 // hashes
+    out = np.zeros(many, np.uint64)
+    for i, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        out |= np.uint64(1) << (np.uint64(low) + mixed(np.arange(many, dtype=np.uint64), 31 + i) % np.uint64(high - low))
+    return out
+
+
+PATTERNS = bit_patterns()
+
+
+def event_bits(offset: np.ndarray, stride: np.ndarray, level: int, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word among n_words < 2**32 that holds each key's event at the level, and its bits there."""
     with np.errstate(over="ignore"):
-        return (((offset + np.uint64(term) * stride) >> np.uint64(32)) * n_bits >> np.uint64(32)).astype(np.int64)
+        h = offset + np.uint64(level) * stride
+    return ((h >> np.uint64(32)) * n_words >> np.uint64(32)).astype(np.int64), PATTERNS[(h & np.uint64(len(PATTERNS) - 1)).astype(np.int64)]
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int = HASHES, bits_per_event: int = BITS_PER_EVENT) -> np.ndarray:
-    """The filter part of one segment as bytes: all events of its keys."""
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int = BITS_PER_EVENT) -> np.ndarray:
+    """The filter part of one segment as 64-bit words: all events of its keys."""
     levels = quantise(counts)
-    size = max(8, (int(levels.sum()) * bits_per_event + 63) // 64 * 8)
-    bits = np.zeros(size * 8, bool)
+    words = np.zeros(max(1, (int(levels.sum()) * bits_per_event + 63) // 64), np.uint64)
     offset, stride = event_hashes(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
         on = levels >= level
         offset, stride, levels = offset[on], stride[on], levels[on]
-        for term in range(level * hashes, (level + 1) * hashes):
-            bits[bit_positions(offset, stride, term, np.uint64(size * 8))] = True
-    return np.packbits(bits)
+        np.bitwise_or.at(words, *event_bits(offset, stride, level, np.uint64(len(words))))
+    return words
 
 
 @dataclass
 class Shard:
-    """Filter parts and exact word counts of some segments; a segment it lacks has the empty part at 0."""
+    """Filter parts (first word and number of words) and exact word counts of some segments; one it lacks has the empty word at 0."""
 
     bits: np.ndarray
     first: np.ndarray
@@ -85,18 +97,17 @@ class Shard:
     words: np.ndarray
     counts: np.ndarray
 
-    def probe(self, keys: np.ndarray, segments: np.ndarray, most: int = 120, hashes: int = HASHES) -> np.ndarray:
+    def probe(self, keys: np.ndarray, segments: np.ndarray, most: int = 120) -> np.ndarray:
         """Quantised counts: how many events in a row are in the filter."""
         level = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         offset, stride = event_hashes(keys)
         first, size = self.first[segments], self.size[segments].astype(np.uint64)
         for at_level in range(1, most):
-            for term in range(at_level * hashes, (at_level + 1) * hashes):
-                at = first + bit_positions(offset, stride, term, size)
-                hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    live, offset, stride, first, size = live[hit], offset[hit], stride[hit], first[hit], size[hit]
+            at, bits = event_bits(offset, stride, at_level, size)
+            hit = self.bits[first + at] & bits == bits
+            if not hit.all():
+                live, offset, stride, first, size = live[hit], offset[hit], stride[hit], first[hit], size[hit]
             if not len(live):
                 break
             level[live] = at_level
@@ -224,7 +235,7 @@ def count_segments(documents: DataFrame, segments: int) -> DataFrame:
                 "words": pa.array([words.tobytes()], pa.binary()),
                 "counts": pa.array([counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64).tobytes()], pa.binary()),
                 "bits": pa.array([bits.tobytes()], pa.binary()),
-                "n_bytes": [len(bits) + len(words) * 12],
+                "n_bytes": [bits.nbytes + len(words) * 12],
             }
         )
 
@@ -234,15 +245,15 @@ def count_segments(documents: DataFrame, segments: int) -> DataFrame:
 
 def _load(counted: DataFrame, sizes: pd.DataFrame, segments: int) -> Shard:
     """The shard of the segments in sizes (in order); their bytes are bounded by the caller and are put in place one segment at a time."""
-    first, size = np.zeros(segments, np.int64), np.full(segments, 64, np.int64)
-    n_bits = (sizes.n_bytes - 12 * sizes.n_words).to_numpy()
-    bit_at = dict(zip(sizes.segment, np.cumsum(n_bits) - n_bits + 8, strict=True))
+    first, size = np.zeros(segments, np.int64), np.ones(segments, np.int64)
+    n_bits = (sizes.n_bytes - 12 * sizes.n_words).to_numpy() // 8
+    bit_at = dict(zip(sizes.segment, np.cumsum(n_bits) - n_bits + 1, strict=True))
     word_at = dict(zip(sizes.segment, np.cumsum(sizes.n_words) - sizes.n_words, strict=True))
-    bits, words, counts = np.zeros(int(n_bits.sum()) + 8, np.uint8), np.zeros(int(sizes.n_words.sum()), np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint32)
+    bits, words, counts = np.zeros(int(n_bits.sum()) + 1, np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint32)
     for r in counted.where(F.col("segment").isin(sizes.segment.tolist())).select("segment", "words", "counts", "bits").toLocalIterator():
-        at, n = int(bit_at[r.segment]), len(r.bits)
-        bits[at : at + n] = np.frombuffer(r.bits, np.uint8)
-        first[r.segment], size[r.segment] = at * 8, n * 8
+        at, n = int(bit_at[r.segment]), len(r.bits) // 8
+        bits[at : at + n] = np.frombuffer(r.bits, np.uint64)
+        first[r.segment], size[r.segment] = at, n
         at, n = int(word_at[r.segment]), len(r.words) // 8
         words[at : at + n] = np.frombuffer(r.words, np.uint64)
         own = np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == 4 * n else np.uint64)
@@ -296,11 +307,13 @@ def score_documents(documents: DataFrame, shard_bytes: int = SHARD_BYTES, segmen
                     base += np.bincount(row[mine], np.log10((exact + 0.1) * scale)[index], len(texts))
                 mine = mine[shard_of[segment_of(before[mine], segments)] == history_shard]
                 if len(mine):
-                    own, index = np.unique(keys[mine], return_inverse=True)
-                    unigram = np.maximum((middle[word.value.probe(own, segment_of(own, segments))] + 0.1) * scale, floor)[index]
                     past, past_index = np.unique(before[mine], return_inverse=True)
                     past_segment = segment_of(past, segments)
-                    past_count = middle[history.value.probe(past, past_segment)][past_index]
+                    past_count = middle[history.value.probe(past, past_segment)]
+                    own, index = np.unique(keys[mine], return_inverse=True)
+                    count = past_count if np.array_equal(own, past) else middle[word.value.probe(own, segment_of(own, segments))]
+                    unigram = np.maximum((count + 0.1) * scale, floor)[index]
+                    past_count = past_count[past_index]
                     fan = np.minimum(middle[history.value.probe(fan_keys(past), past_segment)][past_index], past_count)
                     pairs = bigram_keys(before[mine], followers(keys[mine]))
                     both, first, index = np.unique(pairs, return_index=True, return_inverse=True)

@@ -63,7 +63,7 @@ def test_filter_returns_quantised_counts():
     keys = ngram_model.mixed(np.arange(5000, dtype=np.uint64))
     counts = np.random.default_rng(0).geometric(0.2, 5000)
     bits = ngram_model.build_segment(keys, counts)
-    shard = ngram_model.Shard(bits, np.zeros(1, np.int64), np.array([len(bits) * 8]), keys[:0], counts[:0])
+    shard = ngram_model.Shard(bits, np.zeros(1, np.int64), np.array([len(bits)]), keys[:0], counts[:0])
     levels = shard.probe(keys, np.zeros(5000, np.int64))
     exact = ngram_model.quantise(counts)
     assert (levels >= exact).all() and (levels == exact).mean() > 0.9  # never too low; false positives are rare
