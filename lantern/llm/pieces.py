@@ -85,6 +85,9 @@ class Vocabulary:
     log_prob: np.ndarray
     byte_ids: np.ndarray
     prefixes: HashTable
+    data: np.ndarray  # all pieces' bytes in a row, with each one's start and size
+    start: np.ndarray
+    size: np.ndarray
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -114,7 +117,8 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     hashes = span_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), np.concatenate(([0], ends[:-1])), ends)
     prefixes = HashTable(2 * len(table))
     prefixes.add(hashes, np.array(list(table.values())))
-    return Vocabulary(pieces, log_prob, byte_ids, prefixes)
+    size = np.array([len(p) for p in pieces])
+    return Vocabulary(pieces, log_prob, byte_ids, prefixes, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
 
 
 def unit_spans(data: np.ndarray, text_start: np.ndarray, most: int = MOST_UNIT) -> np.ndarray:
@@ -402,9 +406,16 @@ def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k
     return out
 
 
+def joined_pieces(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[bytes, np.ndarray]:
+    """The pieces' bytes in a row, and the offset behind each piece."""
+    size = vocabulary.size[ids]
+    end = np.cumsum(size)
+    return vocabulary.data[np.repeat(vocabulary.start[ids] - end + size, size) + np.arange(int(size.sum()))].tobytes(), end
+
+
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     """The text's bytes: the pieces joined, without the blank that encoding put in front."""
-    return b"".join(map(vocabulary.pieces.__getitem__, ids.tolist()))[1:]
+    return joined_pieces(ids, vocabulary)[0][1:]
 
 
 def encode_samples(documents: DataFrame, k: int = SAMPLES, seed: int = 0, model: str = MODEL) -> DataFrame:
@@ -422,12 +433,16 @@ def encode_samples(documents: DataFrame, k: int = SAMPLES, seed: int = 0, model:
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             keys = mixed(np.array(doc_id.fill_null(0).to_pylist(), np.int64).view(np.uint64), seed)
             rows = []
-            for i, (text, samples) in enumerate(zip(texts, sample_texts(texts, keys, vocabulary, k, lattice), strict=True)):
+            for i, samples in enumerate(sample_texts(texts, keys, vocabulary, k, lattice)):
                 for rank, (ids, log_prob, inclusion) in enumerate(samples, 1):
-                    rows.append((i, rank, ids, len(ids), log_prob, inclusion, decode(ids, vocabulary) == text))
+                    rows.append((i, rank, ids, len(ids), log_prob, inclusion))
             index, *columns = zip(*rows)
-            offsets = np.concatenate(([0], np.cumsum(columns[2]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[1])))
+            offsets = np.concatenate(([0], np.cumsum(columns[2])))
+            ids = np.concatenate(columns[1])
+            back, end = joined_pieces(ids, vocabulary)
+            cuts = np.concatenate(([0], end))[offsets].tolist()
+            columns.append([back[a + 1 : b] == texts[i] for i, a, b in zip(index, cuts, cuts[1:], strict=False)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             made = [doc_id.take(pa.array(index)), pa.array(columns[0], pa.int32()), lists, *(pa.array(c, t) for c, t in zip(columns[2:], (pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
 
