@@ -31,9 +31,10 @@ from lantern.llm.words import chunks, mixed, prefix_hashes, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF = 10.0
 MOST_UNIT = 512
-MOST_EDGES = 6_000_000
+MOST_EDGES = 3_000_000
 NOISE = 23.0  # above -log(-log(u)) for the largest u below 1 that uniform() gives
 MARGIN = 3.0
+DECODED = 1 << 16
 SAMPLES = 2
 
 
@@ -279,6 +280,7 @@ class _Round:
 def _complete(lattice: LatticeCache, text_of: np.ndarray, token: np.ndarray, position: np.ndarray, key: np.ndarray) -> _Round:
     """Sample an edge at every node on the way from each token's position to its unit's end. key: one per token."""
     nodes, step = [], 0
+    token, position = token.astype(np.int32), position.astype(np.int32)  # 4 bytes: a very long text has millions of nodes
     while len(token):
         u = uniform(key, step)
         pick = lattice.first[position]
@@ -287,14 +289,14 @@ def _complete(lattice: LatticeCache, text_of: np.ndarray, token: np.ndarray, pos
             pick[behind] += 1
             behind = behind[u[behind] > lattice.cumulative[pick[behind]]]
         nodes.append((token, position, pick, key))
-        position = lattice.target[pick].astype(np.int64)
+        position = lattice.target[pick]
         on = np.flatnonzero(~lattice.is_end[position])
         token, position, key = token[on], position[on], key[on]
         step += 1
     token, position, pick, key = (np.concatenate(c) for c in zip(*nodes, strict=True))
     order = np.argsort(token, kind="stable")  # steps stay in order
     token = token[order]
-    return _Round(text_of[token], token, position[order], pick[order], key[order])
+    return _Round(text_of[token].astype(np.int32), token, position[order], pick[order], key[order])
 
 
 def _aside(lattice: LatticeCache, done: _Round, entry: np.ndarray, before: np.ndarray, own: np.ndarray, g: np.ndarray, nodes: np.ndarray, want: int) -> dict[int, list[tuple]]:
@@ -407,10 +409,14 @@ def sample_texts(texts: list[bytes], keys: np.ndarray, vocabulary: Vocabulary, k
 
 
 def joined_pieces(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[bytes, np.ndarray]:
-    """The pieces' bytes in a row, and the offset behind each piece."""
+    """The pieces' bytes in a row, and the offset behind each piece. Works in blocks of DECODED ids, whatever a text's length."""
     size = vocabulary.size[ids]
-    end = np.cumsum(size)
-    return vocabulary.data[np.repeat(vocabulary.start[ids] - end + size, size) + np.arange(int(size.sum()))].tobytes(), end
+    out = []
+    for at in range(0, len(ids), DECODED):
+        own = size[at : at + DECODED]
+        end = np.cumsum(own)
+        out.append(vocabulary.data[np.repeat(vocabulary.start[ids[at : at + DECODED]] - end + own, own) + np.arange(int(end[-1]))].tobytes())
+    return b"".join(out), np.cumsum(size)
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -429,7 +435,7 @@ def encode_samples(documents: DataFrame, k: int = SAMPLES, seed: int = 0, model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lattice = shared.value, LatticeCache()
-        for batch, texts in chunks(batches, most=1 << 19):
+        for batch, texts in chunks(batches, most=1 << 18):
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             keys = mixed(np.array(doc_id.fill_null(0).to_pylist(), np.int64).view(np.uint64), seed)
             rows = []
