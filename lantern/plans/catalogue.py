@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lantern.functions import dates, names
 from lantern.operators import archives, changes, duplicates, filters, library, places, relations, sessions, timeline, vectors
 from lantern.plans.bindings import FILES_SQL, event_files, event_locked, table
+from lantern.sources import media
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,3 +519,67 @@ def iso6709(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.format_string("%+d", k % 181 - 90), F.format_string("%+d", k % 400 - 200), F.lit("/"))
     return table(spark, d, "customer").select("c_custkey", dates.iso6709(text)["lat"].alias("lat"))
+
+
+# -- records of photos, videos and faces
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1000 + o_orderkey % 80 ELSE 1920 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 1920 ELSE 1000 + o_orderkey % 80 END AS height, round(CAST(o_orderkey % 1000 AS DOUBLE) + 0.456, 2) AS duration_s,
+ CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2020-01-02 03:04:05' ELSE date_trunc('second', o_orderdate) END AS taken_at, CASE WHEN o_orderkey % 3 = 0 THEN 'filename' ELSE 'video' END AS taken_at_src, CASE WHEN o_orderkey % 3 = 1 THEN 'U' || o_orderkey END AS content_id FROM orders"""
+)
+def video_records(spark: SparkSession, d: str) -> DataFrame:
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    moment = F.concat(F.lit('"Creation_Time":"'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"'))
+    tags = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(moment, F.lit(',"com.apple.quicktime.content.identifier":"U'), k.cast("string"), F.lit('"'))).otherwise(moment)
+    turn = F.when(k % 2 == 0, "-90").otherwise("180")
+    probe = F.concat(F.lit('{"format":{"duration":"'), (k % 1000).cast("string"), F.lit('.456","tags":{'), tags, F.lit('}},"streams":[{"codec_type":"audio"},{"codec_type":"video","width":1920,"height":'), (1000 + k % 80).cast("string"), F.lit(',"side_data_list":[{"rotation":'), turn, F.lit("}]}]}"))
+    probes = table(spark, d, "orders").select(k.alias("file_id"), F.lit("a/VID_20200102_030405.mp4").alias("path"), probe.alias("probe"), at.alias("mtime"))
+    out = media.video_records(probes).withColumnRenamed("file_id", "o_orderkey")
+    return out.select("o_orderkey", "width", "height", "duration_s", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "taken_at_src", "content_id")
+
+
+@query(
+    """SELECT event_id AS file_id, CASE WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 > 1 THEN 'x' WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN CASE WHEN event_id % 8 = 0 THEN 'U' || event_id ELSE '' END END AS content_id FROM events"""
+)
+def content_id_states(spark: SparkSession, d: str) -> DataFrame:
+    e, i = table(spark, d, "events"), F.col("event_id")
+    probe = F.when(i % 8 == 0, F.concat(F.lit('{"format":{"tags":{"com.apple.quicktime.content.identifier":"U'), i.cast("string"), F.lit('"}}}'))).otherwise("broken")
+    metadata = e.select(i.alias("file_id"), F.when(i % 4 == 1, "").when(i % 4 > 1, "x").alias("content_id"))
+    return media.backfilled(metadata, e.where(i % 3 != 0).select(i.alias("file_id"), (i % 5 != 0).alias("online"), probe.alias("probe")))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, (l_partkey % 128) / CAST(128 AS DOUBLE) AS x, (l_suppkey % 128) / CAST(128 AS DOUBLE) AS y, l_linenumber / CAST(64 AS DOUBLE) AS w, (l_partkey % 5) / CAST(64 AS DOUBLE) AS h FROM lineitem),
+ c AS (SELECT *, (x + w / 2) * 640 AS cx, (y + h / 2) * 480 AS cy, greatest(w * 640, h * 480) * CAST(0.85 AS DOUBLE) AS half FROM f),
+ b AS (SELECT *, greatest(0, CAST(trunc(cx - half) AS INTEGER)) AS l, greatest(0, CAST(trunc(cy - half) AS INTEGER)) AS t, least(640, CAST(trunc(cx + half) AS INTEGER)) AS r, least(480, CAST(trunc(cy + half) AS INTEGER)) AS m FROM c)
+ SELECT l_orderkey, l_linenumber, l AS left_px, t AS top_px, r AS right_px, m AS bottom_px FROM b WHERE r - l >= 8 AND m - t >= 8"""
+)
+def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda c, n: c.cast("double") / n
+    box = media.crop_box(part(F.col("l_partkey") % 128, 128), part(F.col("l_suppkey") % 128, 128), part(F.col("l_linenumber"), 64), part(F.col("l_partkey") % 5, 64), F.lit(640), F.lit(480))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).where("b is not null")
+    return rows.select("l_orderkey", "l_linenumber", *(F.col(f"b.{c}").alias(f"{c}_px") for c in ("left", "top", "right", "bottom")))
+
+
+@query("SELECT DISTINCT 'A' || (l_suppkey % 10) AS album_name, o_orderkey AS file_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 3 = l_orderkey % 3")
+def pending_albums(spark: SparkSession, d: str) -> DataFrame:
+    path = lambda k: F.concat(F.lit("f/"), F.col(k).cast("string")).alias("rel_path")
+    items = table(spark, d, "lineitem").select(F.concat(F.lit("A"), (F.col("l_suppkey") % 10).cast("string")).alias("album_name"), (F.col("l_orderkey") % 3).alias("volume_id"), path("l_orderkey"))
+    files = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("volume_id"), path("o_orderkey"), F.col("o_orderkey").alias("file_id"))
+    return media.album_members(items, files)
+
+
+@query(f"SELECT split_part({PATH_SQL}, '/', 1) AS name, count(*) AS files FROM pages WHERE {PATH_SQL} LIKE '%/%' GROUP BY 1")
+def folder_children(spark: SparkSession, d: str) -> DataFrame:
+    return media.folder_children(_paths(spark, d))
+
+
+@query(
+    f"""WITH {CENTROID_SQL.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 5 <> 0")}, s AS (SELECT vec_id, u.label AS l, list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), centroid) / sqrt(list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE)))) AS sim FROM embeddings, u WHERE vec_id % 5 = 0)
+ SELECT vec_id, CASE WHEN max(sim) >= 0.2 THEN arg_max(l, sim) END AS nearest_label FROM s GROUP BY 1"""
+)
+def adopt_noise(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    out = vectors.assign_nearest(v.where("vec_id % 5 = 0").select("vec_id", "embedding"), vectors.centroids(v.where("vec_id % 5 <> 0"), "label"), 0.2, "label")
+    return out.select("vec_id", F.col("nearest_label").cast("int").alias("nearest_label"))

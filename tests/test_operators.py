@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lantern.functions import dates, images, names
 from lantern.operators import archives, changes, clusters, duplicates, filters, places, relations, sessions, vectors
 from lantern.sources import files as sources
+from lantern.sources import media
 from lantern.streaming import rescan
 
 
@@ -204,3 +205,35 @@ def test_stream_keeps_the_catalog(spark, tmp_path):
         versions = sorted(p.name for p in (tmp_path / "catalog").iterdir())
         seen.append(values(spark.read.parquet(f"{tmp_path}/catalog/{versions[-1]}"), "k", "v"))
     assert seen == [[(1, 2), (2, 1)], [(1, 2), (2, 5), (3, 1)]]
+
+
+def test_photo_and_face_records(spark):
+    def decode(data):
+        if len(data) < 100:
+            raise ValueError("short")
+        return np.frombuffer(data[-10_000:], np.uint8).reshape(100, 100)
+
+    pixels = np.random.default_rng(0).integers(0, 256, 10_000, dtype=np.uint8).tobytes()
+    jpeg = images.with_exif(b"\xff\xd8\xff\xda\x00\x02", images.exif_payload(dt.datetime(2011, 3, 13, 7, 6, 40), 15.0, 74.0)) + pixels
+    frame = spark.createDataFrame([(1, pixels), (2, jpeg), (3, b"no"), (4, None)], "file_id long, content binary")
+    got = {r["file_id"]: r for r in media.photo_records(frame, decode).collect()}
+    assert got[1]["ok"] and got[1]["width"] == 100 and got[1]["phash"] == got[2]["phash"] and got[2]["datetime"] == "2011:03:13 07:06:40" and got[2]["lat"] == 15.0
+    assert not got[3]["ok"] and got[3]["error"] == "ValueError: short" and got[3]["content_hash"] and not got[4]["ok"]
+    load = lambda: lambda data: [{"x": 0.1, "y": 0.2, "w": 0.3, "h": 0.4, "det_score": 0.9, "embedding": [1.0, 0.0]}] * (len(data) > 100)
+    assert values(media.detected_faces(frame, load), "file_id", "det_score") == [(1, 0.9), (2, 0.9)]
+    boxes = np.array([[0, 0, 10, 10], [1, 0, 11, 10], [20, 20, 30, 30]], float)
+    assert media.overlaps_left_out(boxes, np.array([0.5, 0.9, 0.1])).tolist() == [1, 2]
+    assert np.allclose(images.shrunk(np.arange(16.0).reshape(4, 4), 2), [[2.5, 4.5], [10.5, 12.5]])
+
+
+def test_archive_parts_settings_and_gazetteer(spark, tmp_path):
+    files = spark.createDataFrame([(f"{i}.jpg", bytes([i]) * 100) for i in range(5)] + [("gone.jpg", None)], "name string, content binary").coalesce(1)
+    parts = media.zip_parts(files, 250).collect()
+    assert [r["n_files"] for r in parts] == [3, 2]
+    found = {n: z.read(n) for r in parts for z in [zipfile.ZipFile(io.BytesIO(bytes(r["archive"])))] for n in z.namelist()}
+    assert found == {f"{i}.jpg": bytes([i]) * 100 for i in range(5)}
+    table = spark.createDataFrame([("gap", "5"), ("other", "1")], "key string, value string")
+    assert media.settings(table, {"gap": "6", "day": "1"}) == {"gap": "5", "day": "1"}
+    (tmp_path / "c.csv").write_text("lat,lon,name,admin1,admin2,cc\n28.6,77.2,Delhi,DL,,IN\n")
+    assert values(media.gazetteer(spark, f"file://{tmp_path}/c.csv"), "city", "country_code") == [("Delhi", "IN")]
+    assert values(media.folder_children(spark.createDataFrame([("a/b/x.jpg",), ("a/y.jpg",), ("a/c/z.jpg",), ("q.jpg",)], "rel_path string"), "a"), "name", "files") == [("b", 1), ("c", 1)]
