@@ -44,7 +44,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate(([0], ends[: n - 1])).tolist()
         hashes = [digest(body[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    octets = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number of the bits that more than half of the hashes have."""
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     at = octets + (np.arange(8) * 256)
     counts = np.einsum("pv,vb->pb", np.bincount(at.ravel(), minlength=2048).reshape(8, 256), BITS)
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes)).tobytes(), "big")
