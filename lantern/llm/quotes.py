@@ -1,13 +1,16 @@
 """Chat formatting by quotation linking.
 
 Every message's text is parsed line by line: a line's quote level is its number of leading `>` marks, and an
-attribution line ("... wrote:") right before a quote belongs to it. Runs of one level are quoted passages; each is
-normalised (marks, letter case and white space aside) and hashed. A passage links to the earliest message whose own
-unquoted paragraphs have the same hash. The reply's parent is the original of its outermost linked passage, or the
-previous turn of its conversation. Conversations are then ordered by replies and carry no quotes.
-
-All joins are on passage hashes reduced to one original each, and on (conv_id, turn), so no frequent passage and no
-long conversation meets in one task.
+attribution line ("... wrote:") right before a quote belongs to it. Runs of one level are quoted passages. A passage is
+hashed whole and by its blocks (paragraphs, lines, pairs of lines; marks, letter case and white space aside), and so is
+every message's own unquoted text. A block stands in the latest earlier turn of its conversation that has it, and in the
+earliest message of all; a passage links to the message that has it whole, else to the one that has most letters of its
+blocks, and of equals to that of its own conversation. Blocks of fewer than LEAST_CHARS letters link only there. The
+reply's parent is the original of its outermost linked passage, or the previous turn of its conversation. Conversations
+are then ordered by replies and carry no quotes.
+
+Earlier turns are found inside blocks of turns and carried from block to block, so no long conversation meets in one task,
+and a frequent passage is reduced to one original a conversation and one of all.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from lantern.session import written
 
 MARK = re.compile(r"^(?:[ \t]*>)+ ?")
 ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.I)
-LEAST_CHARS = 8
+LEAST_CHARS, TURNS = 8, 4096
 
 
 def normalised(passage: str) -> str:
@@ -59,18 +62,25 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
                 passages[-1][1].append(body)
         level_before = level
     quoted = [(level, "\n".join(lines).strip()) for level, lines in passages]
-    return "\n".join(own).strip(), [(level, p) for level, p in quoted if len(normalised(p)) >= LEAST_CHARS]
+    return "\n".join(own).strip(), [(level, p) for level, p in quoted if normalised(p)]
 
 
-def own_hashes(own: str) -> list[int]:
-    """Hashes under which a message can be quoted: its whole unquoted text, and each of its paragraphs and lines."""
-    pieces = [own, *re.split(r"\n\s*\n", own), *own.split("\n")]
-    return sorted({passage_hash(p) for p in pieces if len(normalised(p)) >= LEAST_CHARS})
+def block_hashes(passage: str) -> dict[int, int]:
+    """Hash and letters of the passage, of its paragraphs and lines, and of each line with the next one."""
+    lines = [x for x in passage.split("\n") if x.strip()]
+    pieces = [passage, *re.split(r"\n\s*\n", passage), *lines, *map("\n".join, zip(lines, lines[1:], strict=False))]
+    return {passage_hash(p): len(normalised(p)) for p in pieces if normalised(p)}
 
 
 def parsed(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own, quotes array<struct<level, hash>>, hashes array<long>. Null text counts as empty."""
-    schema = "conv_id long, turn long, role string, own string, quotes array<struct<level:int,hash:long>>, hashes array<long>"
+    """conv_id, turn, role, own, quotes array<struct<level, whole, blocks>>, hashes. Null text counts as empty."""
+    blocks = pa.list_(pa.struct([("hash", pa.int64()), ("chars", pa.int32())]))
+    kinds = (pa.string(), pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("blocks", blocks)])), blocks)
+    block = "array<struct<hash:long,chars:int>>"
+    schema = f"conv_id long, turn long, role string, own string, quotes array<struct<level:int,whole:long,blocks:{block}>>, hashes {block}"
+
+    def listed(passage: str) -> list[dict]:
+        return [{"hash": h, "chars": n} for h, n in block_hashes(passage).items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,45 +88,60 @@ def parsed(conversations: DataFrame) -> DataFrame:
             for cell in batch.column(3):
                 rest, found = parse_quotes(cell.as_py())
                 own.append(rest)
-                quotes.append([{"level": level, "hash": passage_hash(p)} for level, p in found])
-                hashes.append(own_hashes(rest))
-            kinds = (pa.string(), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])), pa.list_(pa.int64()))
+                quotes.append([{"level": level, "whole": passage_hash(p), "blocks": listed(p)} for level, p in found])
+                hashes.append(listed(rest))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (own, quotes, hashes), kinds)], names=["conv_id", "turn", "role", "own", "quotes", "hashes"])
 
     source = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, schema)
 
 
+def earlier_turns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, turn, has), one a turn of the keys, with `before`: the last smaller turn whose row has, or null."""
+    cut = rows.withColumn("_part", F.floor(F.col("turn") / TURNS))
+    over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of turns
+    carried = cut.groupBy(*keys, "_part").agg(F.max(F.when(F.col("has"), F.col("turn"))).alias("_last")).withColumn("_carried", F.max("_last").over(over))
+    inside = Window.partitionBy(*keys, "_part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    found = cut.withColumn("_inside", F.max(F.when(F.col("has"), F.col("turn"))).over(inside))
+    return found.join(carried.select(*keys, "_part", "_carried"), [*keys, "_part"]).select(*rows.columns, F.coalesce("_inside", "_carried").alias("before"))
+
+
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, text (without quotes), n_quotes, n_linked, parent_conv, parent_turn,
     root_conv, root_turn, depth. A conversation is the rows of one root in the order (depth, conv_id, turn).
 
     Messages of the same (conv_id, turn) are one message's rows and share its place. Rows with a null conv_id or turn
-    are roots of their own. Equal passages link to the earliest (conv_id, turn); a message never links to itself or to
-    a later turn of its own conversation, and across conversations only to a smaller conv_id, so links have no cycles.
+    are roots of their own. A message never links to itself or to a later turn of its own conversation, and across
+    conversations only to a smaller conv_id, so links have no cycles.
     """
     rows = written(parsed(conversations), "messages")
-    originals = (
-        rows.where("conv_id is not null and turn is not null")
-        .select(F.explode("hashes").alias("hash"), F.struct("conv_id", "turn").alias("at"))
-        .groupBy("hash")
-        .agg(F.min("at").alias("at"))
-    )
-    quoted = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quotes").alias("pos", "q")).select("conv_id", "turn", "pos", "q.level", "q.hash")
-    earlier = F.struct(F.col("at.conv_id"), F.col("at.turn")) < F.struct("conv_id", "turn")
-    links = quoted.join(originals, "hash").where(earlier).groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min_by("at", F.struct("level", "pos")).alias("quoted"))
-    turns = rows.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.max(F.size("quotes")).alias("n_quotes"))
-    # the previous turn: turns are consecutive in most conversations, so a join on turn - 1 finds it; a window over
-    # (conv_id, block of turns) would be needed only for gaps, and a message behind a gap starts a new branch instead
-    before = turns.select(F.col("conv_id"), (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has_before"))
+    known = rows.where("conv_id is not null and turn is not null")
+    own = known.select("conv_id", "turn", F.explode("hashes").alias("b")).select("conv_id", "turn", "b.hash", "b.chars")
+    quotes = known.select("conv_id", "turn", F.posexplode("quotes").alias("pos", "q")).select("conv_id", "turn", "pos", "q.level", "q.whole", F.explode("q.blocks").alias("b"))
+    quotes = written(quotes.select("conv_id", "turn", "pos", "level", "b.hash", "b.chars", (F.col("b.hash") == F.col("whole")).alias("whole")).distinct(), "quotes")
+    asked = quotes.select("hash").distinct()
+    own = written(own.join(asked, "hash", "left_semi"), "originals")
+    uses = own.select("conv_id", "hash", "turn", F.lit(True).alias("has")).unionByName(quotes.select("conv_id", "hash", "turn", F.lit(False).alias("has")))
+    uses = uses.groupBy("conv_id", "hash", "turn").agg(F.max("has").alias("has"))
+    near = earlier_turns(uses, ["conv_id", "hash"]).where("before is not null").select("conv_id", "hash", "turn", F.struct("conv_id", F.col("before").alias("turn")).alias("at"))
+    near = quotes.join(near, ["conv_id", "hash", "turn"])
+    first = own.where(F.col("chars") >= LEAST_CHARS).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
+    far = quotes.join(first, "hash").where(F.col("at.conv_id") < F.col("conv_id"))
+    votes = near.select("conv_id", "turn", "pos", "level", "at", "chars", "whole").unionByName(far.select("conv_id", "turn", "pos", "level", "at", "chars", "whole"))
+    shares = votes.groupBy("conv_id", "turn", "pos", "level", "at").agg(F.max("whole").alias("whole"), F.sum("chars").alias("chars"))
+    inner = F.col("at.conv_id") == F.col("conv_id")
+    best = F.struct("whole", F.when(F.col("whole"), 0).otherwise(F.col("chars")), inner, F.when(inner, F.col("at.turn")), -F.col("at.conv_id"), -F.col("at.turn"))
+    linked = shares.groupBy("conv_id", "turn", "pos", "level").agg(F.max_by("at", best).alias("at"))
+    links = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min_by("at", F.struct("level", "pos")).alias("quoted"))
+    turns = known.groupBy("conv_id", "turn").agg(F.max(F.size("quotes")).alias("n_quotes"))
+    turns = earlier_turns(turns.withColumn("has", F.lit(True)), ["conv_id"])
     nodes = (
         turns.join(links, ["conv_id", "turn"], "left")
-        .join(before, ["conv_id", "turn"], "left")
         .select(
             "conv_id",
             "turn",
             F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-            F.when(F.col("quoted").isNotNull(), F.col("quoted")).when(F.col("has_before"), F.struct("conv_id", (F.col("turn") - 1).alias("turn"))).alias("parent"),
+            F.when(F.col("quoted").isNotNull(), F.col("quoted")).when(F.col("before").isNotNull(), F.struct("conv_id", F.col("before").alias("turn"))).alias("parent"),
         )
     )
     nodes = written(nodes, "nodes")
