@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.names import SIDECAR_SUFFIXES, VIDEO_EXTENSIONS, basename, container, extension, is_year_bucket, photos_root, safe_component, without_sidecar_suffix
+from lantern.session import written
 
 
 def _folder(name: Column) -> Column:
@@ -76,14 +77,27 @@ def extraction_plan(media: DataFrame) -> DataFrame:
 def unique_names(files: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """files with unique_name: the name, or with a counter for its second and later uses, whatever the case.
 
-    A counter that meets another file's own name moves on: candidates are numbered past the names taken.
+    A counter that meets a name taken moves on: every round numbers the open files past their own last counter, and of
+    each candidate that is free the first file by (order, key) takes it. Rounds are written tables. `key` is unique.
     """
-    w = Window.partitionBy(F.lower(name)).orderBy(order, key)
     dot_at = F.regexp_extract(name, r"(?<=[^.])(\.[^.]*)$", 1)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(dot_at))
-    numbered = files.withColumn("_n", F.row_number().over(w))
-    label = lambda n: F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), dot_at)
-    return numbered.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(label(F.col("_n")))).drop("_n")
+    w = Window.partitionBy(F.lower(name)).orderBy(order, key)
+    kept = list(dict.fromkeys([key, name, order]))
+    rows = written(files.select(*kept).withColumn("_n", F.row_number().over(w).cast("long")), "names")
+    done = rows.where("_n = 1").select(key, F.col(name).alias("unique_name"))
+    left = rows.where("_n > 1")
+    while not left.isEmpty():
+        label = F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), dot_at)
+        tried = left.withColumn("unique_name", label).withColumn("_low", F.lower("unique_name"))
+        taken = done.select(F.lower("unique_name").alias("_low"), F.lit(True).alias("_taken")).distinct()
+        first = F.row_number().over(Window.partitionBy("_low").orderBy(order, key)) == 1
+        tried = written(tried.join(taken, "_low", "left").withColumn("_ok", first & F.col("_taken").isNull()), "names")
+        done = written(done.unionByName(tried.where("_ok").select(key, "unique_name")), "named")
+        again = tried.where("not _ok").withColumn("_k", F.row_number().over(w))
+        last = tried.groupBy(F.lower(name).alias("_own")).agg(F.max("_n").alias("_last"))
+        left = written(again.join(last, F.lower(name) == F.col("_own")).select(*kept, (F.col("_last") + F.col("_k")).alias("_n")), "names")
+    return files.join(done, key)
 
 
 def manifest_totals(media: DataFrame, pairs: DataFrame, sidecars: DataFrame) -> DataFrame:
