@@ -1,30 +1,29 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counting: every task packs its distinct word and bigram keys with counts into one blob per hash segment, the segments
-are shuffled, and each segment's task adds the counts up exactly, quantises them on a log scale, q = 1 + floor(log_b c),
-and sets the bits of the events (key, 1) .. (key, q). Its part of the filter has a size in proportion to its events.
-An event's bits lie in one 64-bit word (a register-blocked filter), so a probe reads memory once.
-What is shuffled grows with the corpus; a hot key is one entry per task.
-
-Scoring: the filter's segments are dealt to shards of at most `shard_bytes`, whatever the corpus size, and one pass over
-the documents for each pair of shards broadcasts only these (one pass in all while one shard holds everything). A
-bigram lies in the segment of its first word, so a token is scored in the one pass that holds the segments of its history
-and of itself. Probing (key, 1), (key, 2), ... up to the first miss gives back the quantised count. Witten-Bell smoothing,
-P(w|h) = (c(hw) + f(h) * P(w)) / (c(h) + f(h)) with f(h) the distinct words behind h and
-P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), uses probed counts only; f is in the filter as c is.
-
-The base score needs exact counts: the same segments also give sorted (key, count) arrays, broadcast under the same bound.
+1. The documents are written in blocks of about BLOCK_BYTES of text, one row a block.
+2. Every block sends its distinct words and n-gram keys, with their counts in its training texts, to their hash segments.
+   Held-out texts send keys too, counted 0 times: what is sent is at once what is counted and what is asked.
+3. A segment's task adds the counts up, quantises them on a log scale, q = 1 + floor(log_b c), and sets the bits of the
+   events (key, 1) .. (key, q) in its part of the filter. An event's bits lie in one 64-bit word (a register-blocked
+   filter). The task then probes (key, 1), (key, 2), ... up to the first miss for every key it was asked for.
+4. The answers, one byte a key, go back to their blocks, which score their texts with the probed counts only:
+   P_1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), P_n(w|h) = (c(hw) + STRENGTH * P_(n-1)(w|h')) / (c(h) + STRENGTH).
+
+The filter grows with the corpus, so no worker gets it whole: each part meets its questions in one task, which holds
+SEGMENT_CHARS of text's worth of keys. The driver holds two sums. An n-gram lies in the segment of its own hash, not of
+its history's, so a hot key is one entry a block and no segment grows with it.
+
+The base score needs exact word counts: the segments send them back beside the probed ones.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +31,11 @@ from lantern.llm.words import chunks, joined, mixed, prefix_hashes, span_hashes,
 from lantern.session import written
 
 QUANT_BASE = 1.3
-HASHES, BITS_PER_EVENT = 5, 8
-FOLLOWER_BITS = 40
+HASHES, BITS_PER_EVENT = 5, 16
+KEY_BITS = 40
 SEGMENT_CHARS = 8_000_000
-SHARD_BYTES = 192 << 20
-FLUSH_TOKENS = 1_200_000
+BLOCK_BYTES = 3 << 20
+ORDER, STRENGTH = 3, 40.0
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -68,56 +67,39 @@ def bit_patterns(hashes: int = HASHES, many: int = 1 << 15) -> np.ndarray:
 PATTERNS = bit_patterns()
 
 
-def event_bits(offset: np.ndarray, stride: np.ndarray, level: int, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def event_bits(offset: np.ndarray, stride: np.ndarray, level: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The word among n_words < 2**32 that holds each key's event at the level, and its bits there."""
     with np.errstate(over="ignore"):
         h = offset + np.uint64(level) * stride
-    return ((h >> np.uint64(32)) * n_words >> np.uint64(32)).astype(np.int64), PATTERNS[(h & np.uint64(len(PATTERNS) - 1)).astype(np.int64)]
+    return ((h >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64), PATTERNS[(h & np.uint64(len(PATTERNS) - 1)).astype(np.int64)]
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int = BITS_PER_EVENT) -> np.ndarray:
-    """The filter part of one segment as 64-bit words: all events of its keys."""
+    """The filter part of one segment as 64-bit words: all events of its keys, whose counts are 1 or more."""
     levels = quantise(counts)
     words = np.zeros(max(1, (int(levels.sum()) * bits_per_event + 63) // 64), np.uint64)
     offset, stride = event_hashes(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
         on = levels >= level
         offset, stride, levels = offset[on], stride[on], levels[on]
-        np.bitwise_or.at(words, *event_bits(offset, stride, level, np.uint64(len(words))))
+        np.bitwise_or.at(words, *event_bits(offset, stride, level, len(words)))
     return words
 
 
-@dataclass
-class Shard:
-    """Filter parts (first word and number of words) and exact word counts of some segments; one it lacks has the empty word at 0."""
-
-    bits: np.ndarray
-    first: np.ndarray
-    size: np.ndarray
-    words: np.ndarray
-    counts: np.ndarray
-
-    def probe(self, keys: np.ndarray, segments: np.ndarray, most: int = 120) -> np.ndarray:
-        """Quantised counts: how many events in a row are in the filter."""
-        level = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        offset, stride = event_hashes(keys)
-        first, size = self.first[segments], self.size[segments].astype(np.uint64)
-        for at_level in range(1, most):
-            at, bits = event_bits(offset, stride, at_level, size)
-            hit = self.bits[first + at] & bits == bits
-            if not hit.all():
-                live, offset, stride, first, size = live[hit], offset[hit], stride[hit], first[hit], size[hit]
-            if not len(live):
-                break
-            level[live] = at_level
-        return level
-
-    def exact(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+def probe(words: np.ndarray, keys: np.ndarray, most: int = 120) -> np.ndarray:
+    """Quantised counts: how many events in a row each key has in the filter part."""
+    level = np.zeros(len(keys), np.uint8)
+    live = np.arange(len(keys))
+    offset, stride = event_hashes(keys)
+    for at_level in range(1, most):
+        at, bits = event_bits(offset, stride, at_level, len(words))
+        hit = words[at] & bits == bits
+        if not hit.all():
+            live, offset, stride = live[hit], offset[hit], stride[hit]
+        if not len(live):
+            break
+        level[live] = at_level
+    return level
 
 
 def text_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,212 +118,147 @@ def text_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(np.arange(len(texts)), n)
 
 
-def histories(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Each token's previous token; a text's first has END, as if texts followed each other."""
-    before = np.empty_like(keys)
-    before[1:] = keys[:-1]
-    before[:1] = END
-    return before
-
-
-def followers(keys: np.ndarray) -> np.ndarray:
-    """The 40 bits that tell a word from the others behind the same history."""
-    return mixed(keys, 17) >> np.uint64(64 - FOLLOWER_BITS)
-
-
-def bigram_keys(before: np.ndarray, follower: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + follower, 11)
-
-
-def fan_keys(before: np.ndarray) -> np.ndarray:
-    return mixed(before, 13)
+def gram_keys(keys: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length 2 .. order, the key of the n-gram that ends at each token; END stands before a text's first token."""
+    out, gram = [], keys
+    for n in range(2, order + 1):
+        before = np.full(len(keys), END)
+        if n <= len(keys):
+            before[n - 1 :] = np.where(row[n - 1 :] == row[: len(row) - n + 1], keys[: len(keys) - n + 1], END)
+        with np.errstate(over="ignore"):
+            gram = mixed(gram + before * np.uint64(0xC2B2AE3D27D4EB4F), 11 + n)
+        out.append(gram)
+    return out
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """Segments are ranges of the keys, so the segments' sorted words are sorted as a whole."""
+    """Segments are ranges of the keys, so sorted keys are sorted by segment."""
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def _counted(keys: np.ndarray, *others: np.ndarray) -> tuple:
-    """Distinct keys in order with their counts, or the sums of others[0]."""
-    if others:
-        order = np.argsort(keys)
-        keys, weight = keys[order], others[0][order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(weight, first) if len(first) else weight
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.concatenate((first, [len(keys)])))
-
-
-def count_segments(documents: DataFrame, segments: int) -> DataFrame:
-    """(segment, n_tokens, n_words, words, counts, bits, n_bytes): exact counts and filter part of each segment of the training rows."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            words, index, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            order = np.argsort(segment_of(words, segments), kind="stable")
-            rank = np.empty(len(order), np.uint64)
-            rank[order] = np.arange(len(order), dtype=np.uint64)
-            past = rank[np.concatenate((np.searchsorted(words, [END]), index[:-1]))]  # every chunk ends with END
-            both, pair_counts = _counted((past << np.uint64(FOLLOWER_BITS)) | followers(words)[index])
-            words, counts = words[order], counts[order].astype(np.uint32)
-            fan = np.bincount((both >> np.uint64(FOLLOWER_BITS)).astype(np.int64), minlength=len(words)).astype(np.uint32)
-            five = both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : FOLLOWER_BITS // 8]
-            pair_counts = pair_counts.astype(np.uint32)
-            cuts = np.searchsorted(segment_of(words, segments), np.arange(segments + 1))
-            pair_cuts = np.concatenate(([0], np.cumsum(fan, dtype=np.int64)))[cuts]
-            rows = []
-            for at in np.flatnonzero(np.diff(cuts)):
-                w, p = slice(cuts[at], cuts[at + 1]), slice(pair_cuts[at], pair_cuts[at + 1])
-                rows.append((int(at), words[w].tobytes(), counts[w].tobytes(), fan[w].tobytes(), five[p].tobytes(), pair_counts[p].tobytes()))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["segment", "words", "word_counts", "fan", "followers", "pair_counts"])
-
-        for _, texts in chunks(batches):
-            keys, _ = text_keys(texts)
-            held.append(keys)
-            n += len(keys)
-            if n >= FLUSH_TOKENS:
-                yield flush()
-                n = 0
-        if held:
-            yield flush()
-
-    def add_up(table: pa.Table) -> pa.Table:
-        def gathered(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-        each, fan = gathered("words", "u8"), gathered("fan", "u4")
-        words, counts = _counted(each, gathered("word_counts", "u4").astype(np.int64))
-        five = gathered("followers", "u1").reshape(-1, FOLLOWER_BITS // 8)
-        wide = np.zeros((len(five), 8), np.uint8)
-        wide[:, : FOLLOWER_BITS // 8] = five
-        past = np.repeat(np.searchsorted(words, each).astype(np.uint64), fan)  # fewer than 2**24 words in a segment
-        both, pair_counts = _counted((past << np.uint64(FOLLOWER_BITS)) | wide.reshape(-1).view("<u8"), gathered("pair_counts", "u4").astype(np.int64))
-        past = (both >> np.uint64(FOLLOWER_BITS)).astype(np.int64)
-        fan = np.bincount(past, minlength=len(words))
-        pairs = bigram_keys(words[past], both & np.uint64((1 << FOLLOWER_BITS) - 1))
-        bits = build_segment(np.concatenate((words, fan_keys(words[fan > 0]), pairs)), np.concatenate((counts, fan[fan > 0], pair_counts)))
-        return pa.table(
-            {
-                "segment": table.column("segment")[:1],
-                "n_tokens": [int(counts.sum())],
-                "n_words": [len(words)],
-                "words": pa.array([words.tobytes()], pa.binary()),
-                "counts": pa.array([counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64).tobytes()], pa.binary()),
-                "bits": pa.array([bits.tobytes()], pa.binary()),
-                "n_bytes": [bits.nbytes + len(words) * 12],
-            }
-        )
-
-    packed = documents.select("text").mapInArrow(pack, "segment int, words binary, word_counts binary, fan binary, followers binary, pair_counts binary")
-    return packed.groupBy("segment").applyInArrow(add_up, "segment int, n_tokens long, n_words long, words binary, counts binary, bits binary, n_bytes long")
-
-
-def _load(counted: DataFrame, sizes: pd.DataFrame, segments: int) -> Shard:
-    """The shard of the segments in sizes (in order); their bytes are bounded by the caller and are put in place one segment at a time."""
-    first, size = np.zeros(segments, np.int64), np.ones(segments, np.int64)
-    n_bits = (sizes.n_bytes - 12 * sizes.n_words).to_numpy() // 8
-    bit_at = dict(zip(sizes.segment, np.cumsum(n_bits) - n_bits + 1, strict=True))
-    word_at = dict(zip(sizes.segment, np.cumsum(sizes.n_words) - sizes.n_words, strict=True))
-    bits, words, counts = np.zeros(int(n_bits.sum()) + 1, np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint64), np.zeros(int(sizes.n_words.sum()), np.uint32)
-    for r in counted.where(F.col("segment").isin(sizes.segment.tolist())).select("segment", "words", "counts", "bits").toLocalIterator():
-        at, n = int(bit_at[r.segment]), len(r.bits) // 8
-        bits[at : at + n] = np.frombuffer(r.bits, np.uint64)
-        first[r.segment], size[r.segment] = at, n
-        at, n = int(word_at[r.segment]), len(r.words) // 8
-        words[at : at + n] = np.frombuffer(r.words, np.uint64)
-        own = np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == 4 * n else np.uint64)
-        if own.dtype == np.uint64 and counts.dtype != np.uint64:
-            counts = counts.astype(np.uint64)
-        counts[at : at + n] = own
-    return Shard(bits, first, size, words, counts)
-
-
-def score_documents(documents: DataFrame, shard_bytes: int = SHARD_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def block_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, ...]:
+    """(row of each token, distinct words, index of each token's word, distinct n-grams, index of each n-gram), by length in turn."""
+    keys, row = text_keys(texts)
+    words, index = np.unique(keys, return_inverse=True)
+    grams, gram_index = np.unique(np.concatenate([keys[:0], *gram_keys(keys, row, order)]), return_inverse=True)
+    return row, words, index, grams, gram_index
+
+
+def in_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """(block, doc_id, held_out, texts) of docs (doc_id, text, held_out): a row for about `most` bytes of text, one document at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        ids, held, texts, size, n = [], [], [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.binary()))], names=["block", "doc_id", "held_out", "texts"])
+
+        for batch, some in chunks(batches, most=1 << 16):
+            ids += batch.column(0).to_pylist()
+            held += batch.column(2).to_pylist()
+            texts += some
+            size += sum(map(len, some)) + 8 * len(some)
+            if size >= most:
+                yield row()
+                ids, held, texts, size, n = [], [], [], 0, n + 1
+        if ids:
+            yield row()
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "block long, doc_id array<long>, held_out array<boolean>, texts array<binary>")
+
+
+def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
+    """(segment, block, words, word_counts, grams, gram_counts): each block's distinct keys in order, as packed numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, texts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "held_out", "texts")), strict=True):
+                row, words, index, grams, gram_index = block_keys(texts.as_py(), order)
+                train = ~np.array(held.as_py(), bool)[row]
+                counts = np.bincount(index[train], minlength=len(words)).astype(np.uint32)
+                gram_counts = np.bincount(gram_index[np.tile(train, order - 1)], minlength=len(grams)).astype(np.uint32)
+                five = grams.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+                cuts, gram_cuts = (np.searchsorted(segment_of(k, segments), np.arange(segments + 1)) for k in (words, grams))
+                rows = []
+                for at in np.flatnonzero(np.diff(cuts) + np.diff(gram_cuts)):
+                    w, g = slice(cuts[at], cuts[at + 1]), slice(gram_cuts[at], gram_cuts[at + 1])
+                    rows.append((int(at), block.as_py(), words[w].tobytes(), counts[w].tobytes(), five[g].tobytes(), gram_counts[g].tobytes()))
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["segment", "block", "words", "word_counts", "grams", "gram_counts"])
+
+    return blocks.select("block", "held_out", "texts").mapInArrow(run, "segment int, block long, words binary, word_counts binary, grams binary, gram_counts binary")
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """(block, segment, exact, levels, gram_levels, n_tokens, n_words): each question's answers; a segment's sums are in a row without a block."""
+
+    def added(table: pa.Table, keys: str, counts: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, their counts, each asked key's place among them, and where each block's begin."""
+        cells = table.column(keys).to_pylist()
+        raw = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, width)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :width] = raw
+        distinct, index = np.unique(wide.reshape(-1).view("<u8"), return_inverse=True)
+        weights = np.frombuffer(b"".join(table.column(counts).to_pylist()), np.uint32)
+        return distinct, np.bincount(index, weights, len(distinct)).astype(np.int64), index, np.concatenate(([0], np.cumsum([len(c) // width for c in cells])))
+
+    def run(table: pa.Table) -> pa.Table:
+        words, counts, index, cuts = added(table, "words", "word_counts", 8)
+        grams, gram_counts, gram_index, gram_cuts = added(table, "grams", "gram_counts", KEY_BITS // 8)
+        grams = mixed(grams, 5)
+        bits = build_segment(np.concatenate((words[counts > 0], grams[gram_counts > 0])), np.concatenate((counts[counts > 0], gram_counts[gram_counts > 0])))
+        exact, levels, gram_levels = counts[index], probe(bits, words)[index], probe(bits, grams)[gram_index]
+        segment = table.column("segment")[0].as_py()
+        rows = [(None, segment, None, None, None, int(counts.sum()), int((counts > 0).sum()))]
+        for i, block in enumerate(table.column("block").to_pylist()):
+            w, g = slice(cuts[i], cuts[i + 1]), slice(gram_cuts[i], gram_cuts[i + 1])
+            rows.append((block, segment, exact[w].tobytes(), levels[w].tobytes(), gram_levels[g].tobytes(), 0, 0))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["block", "segment", "exact", "levels", "gram_levels", "n_tokens", "n_words"])
+
+    return asked.groupBy("segment").applyInArrow(run, "block long, segment int, exact binary, levels binary, gram_levels binary, n_tokens long, n_words long")
+
+
+def score_documents(documents: DataFrame, order: int = ORDER, strength: float = STRENGTH, segment_chars: int = SEGMENT_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, learned from the rows not held out.
 
     Null text counts as empty (one end token); a null doc_id counts as held out; repeated rows count each time in
-    training and get equal results; an empty table gives an empty result; without training rows N and V are 0.
-    Words are told apart by 64-bit hashes, words behind one history by 40 bits.
+    training and get equal results; an empty table gives an empty result; without training rows N and V are 0. Other
+    columns are ignored, whatever their names. Words are told apart by 64-bit hashes, n-grams by their segment and 40 bits.
+    A task holds one block (a very long document is one) or one segment.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 10 == 0)
-    train = docs.where(~F.col("held_out"))
-    chars = train.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    chars = docs.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     segments = max(1, -(-chars // segment_chars))
-    counted = written(count_segments(train, segments), "segments")
-    sizes = counted.select("segment", "n_tokens", "n_words", "n_bytes").toPandas().sort_values("segment")  # a few numbers per segment
-    total, distinct = int(sizes.n_tokens.sum()), int(sizes.n_words.sum())
-    shard_of = np.zeros(segments, np.int64)
-    shards: list[list[int]] = [[]]
-    held = 0
-    for segment, n_bytes in zip(sizes.segment, sizes.n_bytes, strict=True):
-        if held and held + n_bytes > shard_bytes:
-            shards.append([])
-            held = 0
-        shards[-1].append(int(segment))
-        shard_of[segment] = len(shards) - 1
-        held += n_bytes
-    floor = 0.1 / (total + 0.1 * (distinct + 1)) if total else 1.0
+    blocks = written(in_blocks(docs, block_bytes), "blocks")
+    answers = written(answered(asked_counts(blocks, segments, order)), "answers")
+    sums = answers.where("block is null").agg(F.sum("n_tokens"), F.sum("n_words")).head()
+    total, distinct = sums[0] or 0, sums[1] or 0
     scale = 1 / (total + 0.1 * (distinct + 1)) if total else 10.0
     middle = expected_counts()
 
-    def scorer(history_shard: int, word_shard: int, history, word):  # noqa: ANN001, ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in chunks(batches):
-                keys, row = text_keys(texts)
-                before = histories(keys, row)
-                n, known, base, score = (np.zeros(len(texts)) for _ in range(4))
-                mine = np.flatnonzero(shard_of[segment_of(keys, segments)] == word_shard)
-                if history_shard == 0 and len(mine):
-                    own, index = np.unique(keys[mine], return_inverse=True)
-                    exact = word.value.exact(own)
-                    n += np.bincount(row[mine], minlength=len(texts))
-                    known += np.bincount(row[mine], (exact > 0)[index], len(texts))
-                    base += np.bincount(row[mine], np.log10((exact + 0.1) * scale)[index], len(texts))
-                mine = mine[shard_of[segment_of(before[mine], segments)] == history_shard]
-                if len(mine):
-                    past, past_index = np.unique(before[mine], return_inverse=True)
-                    past_segment = segment_of(past, segments)
-                    past_count = middle[history.value.probe(past, past_segment)]
-                    own, index = np.unique(keys[mine], return_inverse=True)
-                    count = past_count if np.array_equal(own, past) else middle[word.value.probe(own, segment_of(own, segments))]
-                    unigram = np.maximum((count + 0.1) * scale, floor)[index]
-                    past_count = past_count[past_index]
-                    fan = np.minimum(middle[history.value.probe(fan_keys(past), past_segment)][past_index], past_count)
-                    pairs = bigram_keys(before[mine], followers(keys[mine]))
-                    both, first, index = np.unique(pairs, return_index=True, return_inverse=True)
-                    pair = middle[history.value.probe(both, segment_of(before[mine[first]], segments))][index]
-                    rest = np.where(past_count > 0, np.maximum(fan, 1), 1.0)
-                    p = (np.minimum(pair, past_count) + rest * unigram) / (past_count + rest)
-                    score += np.bincount(row[mine], np.log10(p), len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out", "_row")), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
-                    names=["doc_id", "held_out", "_row", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-        return run
-
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    schema = "doc_id long, held_out boolean, _row long, n_tokens long, n_known long, base_score double, score double"
-    passes = []
-    loaded = {s: spark.sparkContext.broadcast(_load(counted, sizes[sizes.segment.isin(chosen)], segments)) for s, chosen in enumerate(shards)}  # each within shard_bytes
-    for h in range(len(shards)):
-        for w in range(len(shards)):
-            passes.append(keyed.mapInArrow(scorer(h, w, loaded[h], loaded[w]), schema))
-    out = passes[0]
-    if len(passes) > 1:
-        # a row's passes are added up; rows repeated r times come r times from each pass and out again
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        n = F.count("*") / len(passes)
-        out = out.groupBy("doc_id", "held_out", "_row").agg(n.cast("long").alias("_n"), *sums)
-        out = out.select("doc_id", "held_out", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"), *((F.col(c) / F.col("_n")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, held, texts, parts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out", "texts", "parts")), strict=True):
+                row, words, index, grams, gram_index = block_keys(texts.as_py(), order)
+                parts = sorted(parts.as_py(), key=lambda p: p["segment"])
+                exact = np.frombuffer(b"".join(p["exact"] for p in parts), np.int64)
+                count = middle[np.frombuffer(b"".join(p["levels"] for p in parts), np.uint8)]
+                gram_count = middle[np.frombuffer(b"".join(p["gram_levels"] for p in parts), np.uint8)][gram_index].reshape(order - 1, -1)
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                context = count[index]
+                p = (context + 0.1) * scale
+                ends = count[np.searchsorted(words, END)]
+                for own in gram_count:
+                    before = np.concatenate(([ends], context[:-1]))  # the count of the n-gram's history
+                    before[starts] = ends
+                    p = (np.minimum(own, before) + strength * p) / (before + strength)
+                    context = own
+                n = len(ids)
+                sums = (np.bincount(row, minlength=n), np.bincount(row, (exact > 0)[index], n).astype(np.int64), np.bincount(row, np.log10((exact + 0.1) * scale)[index], n), np.bincount(row, np.log10(p), n))
+                yield pa.RecordBatch.from_arrays([ids.values, held.values, *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    parts = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("segment", "exact", "levels", "gram_levels")).alias("parts"))
+    scored = blocks.join(parts, "block").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
