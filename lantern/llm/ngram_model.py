@@ -33,9 +33,9 @@ from lantern.session import written
 QUANT_BASE = 1.3
 HASHES, BITS_PER_EVENT = 5, 16
 KEY_BITS = 40
-SEGMENT_CHARS = 8_000_000
+SEGMENT_CHARS = 6_000_000
 BLOCK_BYTES = 3 << 20
-ORDER, STRENGTH = 3, 40.0
+ORDER, STRENGTH = 2, 40.0
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -144,15 +144,22 @@ def block_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, ...]:
     return row, words, index, grams, gram_index
 
 
+def unpacked(sizes: pa.Scalar, blob: pa.Scalar) -> list[bytes]:
+    """A block's texts."""
+    ends = np.cumsum(sizes.as_py(), dtype=np.int64)
+    body = pa.decompress(blob.as_py(), int(ends[-1]), "zstd", asbytes=True)
+    return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def in_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, held_out, texts) of docs (doc_id, text, held_out): a row for about `most` bytes of text, one document at least."""
+    """(block, doc_id, held_out, sizes, blob) of docs (doc_id, text, held_out): a row for about `most` bytes of text, one document at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         ids, held, texts, size, n = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.binary()))], names=["block", "doc_id", "held_out", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())], names=["block", "doc_id", "held_out", "sizes", "blob"])
 
         for batch, some in chunks(batches, most=1 << 16):
             ids += batch.column(0).to_pylist()
@@ -165,7 +172,7 @@ def in_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "block long, doc_id array<long>, held_out array<boolean>, texts array<binary>")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, blob binary")
 
 
 def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
@@ -173,8 +180,8 @@ def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, held, texts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "held_out", "texts")), strict=True):
-                row, words, index, grams, gram_index = block_keys(texts.as_py(), order)
+            for block, held, sizes, blob in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("block", "held_out", "sizes", "blob")), strict=True):
+                row, words, index, grams, gram_index = block_keys(unpacked(sizes, blob), order)
                 train = ~np.array(held.as_py(), bool)[row]
                 counts = np.bincount(index[train], minlength=len(words)).astype(np.uint32)
                 gram_counts = np.bincount(gram_index[np.tile(train, order - 1)], minlength=len(grams)).astype(np.uint32)
@@ -187,7 +194,7 @@ def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["segment", "block", "words", "word_counts", "grams", "gram_counts"])
 
-    return blocks.select("block", "held_out", "texts").mapInArrow(run, "segment int, block long, words binary, word_counts binary, grams binary, gram_counts binary")
+    return blocks.select("block", "held_out", "sizes", "blob").mapInArrow(run, "segment int, block long, words binary, word_counts binary, grams binary, gram_counts binary")
 
 
 def answered(asked: DataFrame) -> DataFrame:
@@ -240,8 +247,8 @@ def score_documents(documents: DataFrame, order: int = ORDER, strength: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, held, texts, parts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out", "texts", "parts")), strict=True):
-                row, words, index, grams, gram_index = block_keys(texts.as_py(), order)
+            for ids, held, sizes, blob, parts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out", "sizes", "blob", "parts")), strict=True):
+                row, words, index, grams, gram_index = block_keys(unpacked(sizes, blob), order)
                 parts = sorted(parts.as_py(), key=lambda p: p["segment"])
                 exact = np.frombuffer(b"".join(p["exact"] for p in parts), np.int64)
                 count = middle[np.frombuffer(b"".join(p["levels"] for p in parts), np.uint8)]

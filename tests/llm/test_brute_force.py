@@ -55,14 +55,14 @@ def test_op1(spark, sf_dir, texts):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(words), sum(counts[w] > 0 for w in words), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
     # the same smoothing over exact counts, quantised: only the filter's rare false positives are between the two
-    grams = [Counter(tuple(p[j : j + k]) for i in texts if not held[i] for p in [[None] * (k - 1) + tokens[i]] for j in range(len(tokens[i]))) for k in (1, 2, 3)]
+    grams = [Counter(tuple(p[j : j + k]) for i in texts if not held[i] for p in [[None] * (k - 1) + tokens[i]] for j in range(len(tokens[i]))) for k in range(1, ngram_model.ORDER + 1)]
     middle = ngram_model.expected_counts()
     count = lambda g: middle[int(ngram_model.quantise(np.array([c]))[0])] if (c := grams[len(g) - 1][g]) else 0.0
     for i, words in tokens.items():
         padded, score = [None, None, *words], 0.0
         for j in range(2, len(padded)):
             p = (count((padded[j],)) + 0.1) / (n + 0.1 * (v + 1))
-            for k in (2, 3):
+            for k in range(2, ngram_model.ORDER + 1):
                 history = count((None,)) if j == 2 else count(tuple(padded[j - k + 1 : j]))
                 p = (min(count(tuple(padded[j - k + 1 : j + 1])), history) + ngram_model.STRENGTH * p) / (history + ngram_model.STRENGTH)
             score += math.log10(p)
