@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 
 from lantern.llm.words import chunks, mixed, prefix_hashes, span_hashes
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF = 10.0
-MOST_UNIT = 512
-MOST_EDGES = 3_000_000
+MOST_EDGES = 7_000_000
 NOISE = 23.0  # above -log(-log(u)) for the largest u below 1 that uniform() gives
 MARGIN = 3.0
 DECODED = 1 << 16
@@ -91,7 +89,7 @@ class Vocabulary:
     size: np.ndarray
 
 
-def load_vocabulary(path: str = MODEL) -> Vocabulary:
+def load_vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -122,8 +120,8 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, log_prob, byte_ids, prefixes, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
 
 
-def unit_spans(data: np.ndarray, text_start: np.ndarray, most: int = MOST_UNIT) -> np.ndarray:
-    """The units' start offsets in the texts' bytes (and the end): at texts, runs of blanks, line ends, and every `most` bytes at a character."""
+def unit_spans(data: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+    """The units' start offsets in the texts' bytes (and the end): at texts, runs of blanks and line ends. A unit has any length."""
     n = len(data)
     blank, line = data == 32, data == 10
     start = np.zeros(n + 1, bool)
@@ -132,19 +130,7 @@ def unit_spans(data: np.ndarray, text_start: np.ndarray, most: int = MOST_UNIT)
     start[:n] |= line
     start[1:n] |= line[:-1]
     start[n] = True
-    at = np.flatnonzero(start)
-    size = np.diff(at)
-    if size.max(initial=0) > most:
-        extra = []
-        for a, s in zip(at[:-1][size > most].tolist(), size[size > most].tolist(), strict=True):
-            cut = a + most
-            while cut < a + s:
-                while data[cut] & 0xC0 == 0x80:
-                    cut -= 1
-                extra.append(cut)
-                cut += most
-        at = np.union1d(at, extra)
-    return at
+    return np.flatnonzero(start)
 
 
 @dataclass
@@ -424,11 +410,13 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     return joined_pieces(ids, vocabulary)[0][1:]
 
 
-def encode_samples(documents: DataFrame, k: int = SAMPLES, seed: int = 0, model: str = MODEL) -> DataFrame:
+def encode_samples(documents: DataFrame, model: str, k: int = SAMPLES, seed: int = 0) -> DataFrame:
     """(doc_id, sample, ids, n_pieces, log_prob, inclusion, round_trip).
 
     Up to k rows per document, sample 1 .. k by falling perturbed value; fewer where the lattice has fewer paths. Null
     and empty texts have one sample without pieces. The row key is doc_id (null: 0), so repeated rows get equal samples.
+    An empty table gives an empty result; other columns are ignored. `model` is the path of a SentencePiece file, read by
+    the driver. Equal perturbed values, which need equal hashes, are taken in the order of their nodes.
     """
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model))  # the vocabulary file's size

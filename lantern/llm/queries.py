@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,7 +54,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.pieces import encode_samples
 
-    return encode_samples(_table(spark, sf_dir, "documents"))
+    return encode_samples(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

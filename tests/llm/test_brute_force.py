@@ -192,7 +192,7 @@ def test_secret_parts_link_only_together(spark):
 
 
 def test_op7_is_lossless_and_distinct(spark, sf_dir, texts):
-    vocabulary = pieces.load_vocabulary()
+    vocabulary = pieces.load_vocabulary(queries.TOKENIZER)
     by_doc = defaultdict(list)
     for r in queries.QUERIES["op7_sampled_pieces"](spark, sf_dir).collect():
         assert pieces.decode(np.array(r["ids"]), vocabulary).decode() == texts[r["doc_id"]] and 0 < r["inclusion"] <= 1
@@ -202,7 +202,7 @@ def test_op7_is_lossless_and_distinct(spark, sf_dir, texts):
 
 def test_samples_follow_the_lattice():
     """Frequencies of first and second samples against all segmentations of a short text."""
-    vocabulary = pieces.load_vocabulary()
+    vocabulary = pieces.load_vocabulary(queries.TOKENIZER)
     table = {p: i for i, p in enumerate(vocabulary.pieces) if len(p) and i not in set(vocabulary.byte_ids.tolist())}
     body, paths = b"   in", {}
 
@@ -224,6 +224,29 @@ def test_samples_follow_the_lattice():
         assert second[path] / n == pytest.approx(sum(q * prob / (1 - q) for k, q in p.items() if k != path), abs=0.03)
 
 
+def test_long_units_have_whole_lattices():
+    """Log-probabilities of samples of long unbroken text against a plain forward sum over all segmentations."""
+    vocabulary = pieces.load_vocabulary(queries.TOKENIZER)
+    table = {p: vocabulary.log_prob[i] for i, p in enumerate(vocabulary.pieces) if len(p) and i not in set(vocabulary.byte_ids.tolist())}
+    text = "".join(random.Random(4).choice(["inter", "nation", "al", "ization", "é", "x"]) for _ in range(900)).encode() + b" two\nlines  more"
+    body = b" " + text
+    lines = [m.span() for m in re.finditer(rb"\n| *[^ \n]+| +", body)]
+    total = 0.0
+    for a, b in lines:  # pieces do not reach over the start of a run of blanks or a line end
+        unit = body[a:b]
+        forward = [0.0] + [-math.inf] * len(unit)
+        for end in range(1, len(unit) + 1):
+            known = [forward[j] + table[unit[j:end]] for j in range(max(0, end - 60), end) if unit[j:end] in table]
+            if unit[end - 1 : end] not in table and len(unit[end - 1 : end]) and unit[end - 1] in b"\n":
+                known.append(forward[end - 1] + vocabulary.log_prob[vocabulary.byte_ids[unit[end - 1]]])
+            forward[end] = float(np.logaddexp.reduce(known)) if known else -math.inf
+        total += forward[-1]
+    samples = pieces.sample_texts([text], np.array([9]), vocabulary, 2)[0]
+    assert len({tuple(s[0].tolist()) for s in samples}) == 2
+    for ids, log_prob, _ in samples:
+        assert pieces.decode(ids, vocabulary) == text and log_prob == pytest.approx(vocabulary.log_prob[ids].sum() - total, abs=0.05)
+
+
 def test_op8(spark, sf_dir, texts):
     got = found(spark, sf_dir, "op8_simhash_neighbours")
     ids = sorted(texts)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lantern.llm import html_text, media, mixing, ngram_model, pieces, quality, quotes, secrets, simhash, suffix_dedup
+from lantern.llm import html_text, media, mixing, ngram_model, pieces, quality, queries, quotes, secrets, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, fp string, kind int"
 LONG = "a long text with words " * 20_000
@@ -87,8 +87,8 @@ def test_secrets(docs, none):
 
 
 def test_pieces(docs, none):
-    got = pieces.encode_samples(docs, 2).collect()
-    assert all(r["round_trip"] for r in got) and pieces.encode_samples(none).count() == 0
+    got = pieces.encode_samples(docs, queries.TOKENIZER, 2).collect()
+    assert all(r["round_trip"] for r in got) and pieces.encode_samples(none, queries.TOKENIZER).count() == 0
     assert [len([1 for r in got if r["doc_id"] == i]) for i in (1, 2, 5)] == [1, 1, 4]
     assert len({tuple(r["ids"]) for r in got if r["doc_id"] == 5}) == 2
 
