@@ -3,8 +3,8 @@
 Base kinds (assign, access, hex) are reported wherever they match. Weak candidates (an opaque token, a login name)
 are reported only if complementary parts co-occur in their scope: an interval join puts each weak candidate against
 the anchors (access identifiers, client identifiers, endpoints) whose interval comes within `scope` code points in the
-same document. A weak secret needs an identifier or an endpoint; an identifier or endpoint with credentials needs a
-secret, strong or weak.
+same document. A weak secret needs an identifier, strong or weak; a weak identifier needs a secret, strong or weak; an
+endpoint needs both.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from lantern.session import written
 
-SCOPE = 160
+SCOPE, RUN = 160, 256
 # The base kinds' patterns, equal to the contract's after dropping its failing matches.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 # Patterns of the weak parts: an opaque token of 20+ mixed characters, a client identifier, an endpoint.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
-IDENTIFIER = r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}+"""
-ENDPOINT = r"\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]{4,}+"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+IDENTIFIER = r"""(?i)(?<![A-Za-z])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}+"""
+ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]{4,}+"
 KINDS = ("assign", "access", "hex", "opaque", "identifier", "endpoint")
 PART = "array<struct<start:int,kind:int,end:int>>"
 
@@ -34,7 +34,6 @@ def _spans(text: Column, pattern: str, kind: int, at_least: str | None = None) -
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(PART).alias("out"))
     n = F.size(found)
 
     def step(state: Column, i: Column) -> Column:
@@ -42,7 +41,13 @@ def _spans(text: Column, pattern: str, kind: int, at_least: str | None = None) -
         end = start + F.length(F.element_at(found, i))
         return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"))
 
-    spans = F.aggregate(F.sequence(F.lit(1), n), empty, step, lambda s: s["out"])
+    def run_of(state: Column, first: Column) -> Column:
+        # appending copies the array, so runs of RUN matches are made first and appended whole
+        made = F.aggregate(F.sequence(first, F.least(first + F.lit(RUN - 1), n)), F.struct(state["at"].alias("at"), F.array().cast(PART).alias("out")), step)
+        return F.struct(made["at"].alias("at"), F.array_append(state["out"], made["out"]).alias("out"))
+
+    runs = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PART}>").alias("out"))
+    spans = F.aggregate(F.sequence(F.lit(1), n, F.lit(RUN)), runs, run_of, lambda s: F.flatten(s["out"]))
     if at_least:
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
         spans = F.filter(spans, lambda s, i: F.length(F.element_at(value, i + 1)) >= 6)
@@ -78,9 +83,9 @@ def _near(candidates: DataFrame, complements: DataFrame) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """(row_key, weak): the weak spans of parts() whose complements co-occur in scope, sorted. Rows without any are absent.
 
-    An opaque token needs an identifier; an identifier needs a secret; an endpoint needs both.
+    An opaque token needs an identifier; an identifier needs a secret; an endpoint needs both. Repeated rows are one.
     """
-    some = found.where(F.size("weak") > 0).select("row_key", F.explode(F.concat(_apart(F.col("weak"), F.col("base")), "base")).alias("x")).select("row_key", "x.start", "x.kind", "x.end")
+    some = found.where(F.size("weak") > 0).dropDuplicates(["row_key"]).select("row_key", F.explode(F.concat(_apart(F.col("weak"), F.col("base")), "base")).alias("x")).select("row_key", "x.start", "x.kind", "x.end")
     some = written(some, "parts")
     secrets, identifiers = some.where("kind in (0, 2, 3)"), some.where("kind in (1, 4)")
     tokens = _near(some.where("kind = 3"), identifiers)
@@ -97,8 +102,8 @@ def _listed(spans: Column) -> Column:
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans per row of documents.
 
-    Null text counts as empty (no spans, the digest of an empty list); repeated rows get equal results; other columns
-    are ignored, whatever their names.
+    Null text counts as empty (no spans, the digest of an empty list); repeated rows get equal results; an empty table
+    gives an empty result; spans of one start go by kind; other columns are ignored, whatever their names.
     """
     found = written(parts(documents), "secrets")
     extra = linked(found).alias("l")
