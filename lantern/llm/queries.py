@@ -73,7 +73,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lantern.llm.media import text_media
 
-    return text_media(_table(spark, sf_dir, "documents")).drop("tile")
+    return text_media(_table(spark, sf_dir, "documents")).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
