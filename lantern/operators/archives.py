@@ -65,11 +65,8 @@ def extraction_plan(media: DataFrame) -> DataFrame:
     folder = safe_component(F.coalesce(container(F.col("name")), F.lit("Photos")))
     base = safe_component(basename(F.col("name")))
     album = F.coalesce(~is_year_bucket(container(F.col("name"))), F.lit(True))
-    rows = media.select("name", "crc", "size", folder.alias("_folder"), base.alias("_base"), album.alias("_album"))
-    nth = F.row_number().over(Window.partitionBy("_folder", F.lower("_base")).orderBy("_album", "name"))
-    dot_at = F.regexp_extract("_base", r"(?<=[^.])(\.[^.]*)$", 1)
-    stem = F.substring("_base", F.lit(1), F.length("_base") - F.length(dot_at))
-    named = rows.withColumn("_n", nth).withColumn("dest", F.concat_ws("/", "_folder", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), dot_at))))
+    rows = media.select("name", "crc", "size", F.concat_ws("/", folder, base).alias("_path"), album.alias("_album")).withColumn("_order", F.concat(F.col("_album").cast("string"), F.lit(":"), "name"))
+    named = unique_names(rows, "name", "_path", "_order").withColumnRenamed("unique_name", "dest")
     first = named.groupBy("crc", "size").agg(F.min_by(F.struct("name", "dest"), F.struct("_album", "name")).alias("_p"))
     return named.join(first, ["crc", "size"]).select("name", "dest", (F.col("name") == F.col("_p.name")).alias("is_primary"), F.col("_p.dest").alias("primary_dest"))
 
@@ -80,7 +77,7 @@ def unique_names(files: DataFrame, key: str, name: str, order: str) -> DataFrame
     A counter that meets a name taken moves on: every round numbers the open files past their own last counter, and of
     each candidate that is free the first file by (order, key) takes it. Rounds are written tables. `key` is unique.
     """
-    dot_at = F.regexp_extract(name, r"(?<=[^.])(\.[^.]*)$", 1)
+    dot_at = F.regexp_extract(name, r"(?<=[^./])(\.[^./]*)$", 1)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(dot_at))
     w = Window.partitionBy(F.lower(name)).orderBy(order, key)
     kept = list(dict.fromkeys([key, name, order]))

@@ -25,6 +25,33 @@ def library_stats(files: DataFrame, locked: DataFrame) -> DataFrame:
     )
 
 
+def full_stats(files: DataFrame, locked: DataFrame, motion: DataFrame, metadata: DataFrame, places: DataFrame, faces: DataFrame, persons: DataFrame, sizes: DataFrame, ready: bool = False) -> DataFrame:
+    """One row of ten counts, three sizes and whether the face model is ready.
+
+    files(file_id, media_type, status, face_scanned), metadata(gps_lat), persons(person_id, name, is_hidden); sizes(area,
+    bytes) has the areas db, thumbs and previews. A live photo's clip is no video of its own; people_visible has a face
+    on a file that can be seen.
+    """
+    clips = motion.where("video_file_id is not null").select(F.col("video_file_id").alias("file_id"))
+    seen = files.where("status = 'active'").join(locked.select("file_id"), "file_id", "left_anti")
+    shown = faces.where("person_id is not null").join(seen.select("file_id"), "file_id", "left_semi").select("person_id")
+    counts = (
+        seen.join(clips, "file_id", "left_anti").agg(F.count_if(F.col("media_type") == "photo").alias("photos"), F.count_if(F.col("media_type") == "video").alias("videos")),
+        files.agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if((F.col("status") == "active") & (F.col("media_type") == "photo") & ~F.col("face_scanned")).alias("face_pending")),
+        metadata.agg(F.count("gps_lat").alias("with_gps")),
+        places.agg(F.count("*").alias("geocoded")),
+        faces.agg(F.count("*").alias("faces")),
+        motion.join(seen.select("file_id"), "file_id", "left_semi").agg(F.count("*").alias("live")),
+        persons.agg(F.count("name").alias("persons")),
+        persons.where(~F.col("is_hidden")).join(shown, "person_id", "left_semi").agg(F.count("*").alias("people_visible")),
+        sizes.agg(*(F.coalesce(F.sum(F.when(F.col("area") == a, F.col("bytes"))), F.lit(0)).alias(f"{a}_bytes") for a in ("db", "thumbs", "previews"))),
+    )
+    out = counts[0]
+    for one in counts[1:]:  # one row each
+        out = out.crossJoin(one)
+    return out.withColumn("face_model_ready", F.lit(ready))
+
+
 def kind_summary(kinds: DataFrame) -> DataFrame:
     """(kind, label, count) of the non-photos."""
     return kinds.where("kind <> 'photo'").groupBy("kind").agg(F.count("*").alias("count")).withColumn("label", kind_label(F.col("kind")))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.operators.filters import under_path
-
 
 def flagged(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
     """df with a boolean: whether its key is among the members."""
@@ -47,8 +45,11 @@ def doomed_files(files: DataFrame, roots: DataFrame, root_id: int) -> DataFrame:
 
 
 def longest_prefix(paths: DataFrame, mounts: DataFrame) -> DataFrame:
-    """(path, volume_id) of the mount with the longest path that holds the path; mounts are a machine's few, checked by size."""
-    return paths.join(mounts, under_path(F.col("path"), F.col("mount"))).groupBy("path").agg(F.max_by("volume_id", F.struct(F.length("mount"), "volume_id")).alias("volume_id"))
+    """(path, volume_id) of the mount with the longest path that holds the path, by an equi-join on each path's ancestors."""
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = paths.select("path").distinct().select("path", F.explode(F.array_distinct(ancestors)).alias("mount"))
+    return above.join(mounts.select("mount", "volume_id"), "mount").groupBy("path").agg(F.max_by("volume_id", F.struct(F.length("mount"), "volume_id")).alias("volume_id"))
 
 
 def claim_once(candidates: DataFrame, targets: DataFrame, key: str) -> DataFrame:

@@ -60,3 +60,27 @@ def nearest_bucket(buckets: DataFrame, at: Column) -> DataFrame:
     """The bucket day nearest to a moment, the earlier one on ties."""
     gap = F.abs(F.datediff("day", at))
     return buckets.agg(F.min_by("day", F.struct(gap, F.col("day"))).alias("day"))
+
+
+def rail_fraction(day: Column, newest_day: Column, oldest_day: Column) -> Column:
+    """Where a day lies on the rail from the newest (0) to the oldest (1)."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(newest_day, day) / F.greatest(F.datediff(newest_day, oldest_day), F.lit(1))))
+
+
+def rail_ticks(buckets: DataFrame, apart: float = 0.045) -> DataFrame:
+    """(label, frac): a mark for each year of the buckets, or each month within one year, no two nearer than `apart`.
+
+    Kept greedily from the newest on; there are at most 1 / apart + 1 of them, found over one row per year or month.
+    """
+    ends = buckets.agg(F.max("day").alias("new"), F.min("day").alias("old"))
+    years = F.year("new") > F.year("old")
+    unit = F.when(years, F.make_interval(years=F.lit(1))).otherwise(F.make_interval(months=F.lit(1)))
+    start = F.when(years, F.trunc("old", "year")).otherwise(F.trunc("old", "month"))
+    marks = ends.select("new", "old", years.alias("years"), F.explode(F.sequence(start, F.col("new"), unit)).alias("at"))
+    inside = F.greatest("old", F.least("new", "at"))
+    frac = rail_fraction(inside, F.col("new"), F.col("old"))
+    label = F.when(F.col("years"), F.date_format("at", "yyyy")).otherwise(F.date_format("at", "MMM"))
+    listed = marks.select(F.struct(frac.alias("frac"), label.alias("label")).alias("t")).agg(F.array_sort(F.collect_list("t")).alias("ticks"))  # a row per year or month
+    kind = "array<struct<frac:double,label:string>>"
+    spaced = F.aggregate("ticks", F.array().cast(kind), lambda out, t: F.when((F.size(out) == 0) | (t["frac"] - F.try_element_at(out, F.lit(-1))["frac"] >= apart), F.array_append(out, t)).otherwise(out))
+    return listed.select(F.explode(spaced).alias("t")).select("t.label", "t.frac")

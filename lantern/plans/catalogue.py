@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import dates, names
 from lantern.operators import archives, changes, duplicates, filters, library, places, relations, sessions, timeline, vectors
 from lantern.plans.bindings import FILES_SQL, event_files, event_locked, table
+from lantern.plans.registry import ORACLE_SQL, QUERIES, query
 from lantern.sources import media
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- timeline and filters
 
 
@@ -350,9 +334,10 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.session_bounds(_sessions(spark, d), ["user_id"])
 
 
-@query("WITH e AS (SELECT event_id AS file_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_id % 50 = 0), g AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, file_id) <= 21600 THEN NULL ELSE t END AS s FROM e) SELECT file_id, max(s) OVER (ORDER BY t, file_id ROWS UNBOUNDED PRECEDING) AS session FROM g")
+# the events' distances times 1,000, so that the stream has gaps of more than six hours
+@query("WITH e AS (SELECT event_id AS file_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, file_id) <= 21600 THEN NULL ELSE t END AS s FROM e) SELECT file_id, max(s) OVER (ORDER BY t, file_id ROWS UNBOUNDED PRECEDING) AS session FROM g")
 def global_sessions(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("file_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("file_id"), (F.unix_seconds(F.col("ts").cast("timestamp")) * 1000).alias("ts"))
     return sessions.gap_sessions(e).select("file_id", "session")
 
 
@@ -392,9 +377,9 @@ def _centroids(spark: SparkSession, d: str) -> DataFrame:
     return vectors.centroids(table(spark, d, "embeddings"), "label")
 
 
-@query(f"WITH {CENTROID_SQL} SELECT label, n, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last FROM u")
+@query(f"WITH {CENTROID_SQL} SELECT label, n, CAST(i AS INTEGER) AS axis, round(centroid[i + 1], 6) AS value FROM u, range(64) t(i)")
 def centroids(spark: SparkSession, d: str) -> DataFrame:
-    return _centroids(spark, d).select("label", "n", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"))
+    return _centroids(spark, d).select("label", "n", F.posexplode("centroid").alias("axis", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -514,11 +499,11 @@ def filename_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.filename_datetime(name).cast("timestamp_ntz").alias("taken_at"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 181 - 90 <> 0 OR c_custkey % 400 - 200 <> 0 THEN CASE WHEN c_custkey % 400 - 200 BETWEEN -180 AND 180 THEN CAST(c_custkey % 181 - 90 AS DOUBLE) END END AS lat FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 181 - 90 <> 0 OR c_custkey % 400 - 200 <> 0 THEN CASE WHEN c_custkey % 400 - 200 BETWEEN -180 AND 180 THEN CAST(c_custkey % 181 - 90 AS DOUBLE) END END AS lat, CASE WHEN lat IS NOT NULL THEN CAST(c_custkey % 400 - 200 AS DOUBLE) END AS lon FROM customer")
 def iso6709(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.format_string("%+d", k % 181 - 90), F.format_string("%+d", k % 400 - 200), F.lit("/"))
-    return table(spark, d, "customer").select("c_custkey", dates.iso6709(text)["lat"].alias("lat"))
+    return table(spark, d, "customer").select("c_custkey", dates.iso6709(text)["lat"].alias("lat"), dates.iso6709(text)["lon"].alias("lon"))
 
 
 # -- records of photos, videos and faces
@@ -583,3 +568,8 @@ def adopt_noise(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     out = vectors.assign_nearest(v.where("vec_id % 5 = 0").select("vec_id", "embedding"), vectors.centroids(v.where("vec_id % 5 <> 0"), "label"), 0.2, "label")
     return out.select("vec_id", F.col("nearest_label").cast("int").alias("nearest_label"))
+
+
+from lantern.plans import more  # noqa: E402, F401  registers its queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

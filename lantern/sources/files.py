@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lantern.functions.dates import located
 from lantern.functions.names import basename, media_type, shard
 
+# The folders that a scan leaves out, the form of a content identifier.
 SKIPPED = r"(^|/)(\.[^/]*|node_modules|\.venv|__pycache__)(/|$)"
 UUID = "[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}"
 

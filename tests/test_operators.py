@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import dates, images, names
-from lantern.operators import archives, changes, clusters, duplicates, filters, places, relations, sessions, vectors
+from lantern.operators import archives, changes, clusters, duplicates, filters, places, relations, sessions, timeline, vectors
 from lantern.sources import files as sources
 from lantern.sources import media
 from lantern.streaming import rescan
@@ -237,3 +237,17 @@ def test_archive_parts_settings_and_gazetteer(spark, tmp_path):
     (tmp_path / "c.csv").write_text("lat,lon,name,admin1,admin2,cc\n28.6,77.2,Delhi,DL,,IN\n")
     assert values(media.gazetteer(spark, f"file://{tmp_path}/c.csv"), "city", "country_code") == [("Delhi", "IN")]
     assert values(media.folder_children(spark.createDataFrame([("a/b/x.jpg",), ("a/y.jpg",), ("a/c/z.jpg",), ("q.jpg",)], "rel_path string"), "a"), "name", "files") == [("b", 1), ("c", 1)]
+
+
+def test_extraction_never_gives_two_media_one_place(spark):
+    media = spark.createDataFrame([(n, i, 1) for i, n in enumerate(["T/Trip/a.jpg", "U/Trip/a.jpg", "V/Trip/a (2).jpg", "W/trip/A.jpg", "T/Photos from 2020/a.jpg"])], "name string, crc long, size long")
+    got = [r["dest"] for r in archives.extraction_plan(media).collect()]
+    assert len({g.lower() for g in got}) == 5 and "Trip/a.jpg" in got and "Trip/a (2).jpg" in got and "Photos from 2020/a.jpg" in got
+
+
+def test_rail_ticks_keep_their_distance(spark):
+    days = spark.sql("select explode(sequence(date'1950-03-01', date'2024-06-01', interval 100 days)) as day")
+    got = [r["frac"] for r in timeline.rail_ticks(days).orderBy("frac").collect()]
+    assert got[0] < 0.05 and all(b - a >= 0.045 for a, b in zip(got, got[1:], strict=False)) and len(got) > 10
+    months = spark.sql("select explode(sequence(date'2024-01-15', date'2024-06-01', interval 1 day)) as day")
+    assert [r["label"] for r in timeline.rail_ticks(months).orderBy("frac").collect()] == ["Jun", "May", "Apr", "Mar", "Feb", "Jan"]
