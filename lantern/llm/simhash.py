@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.components import connected_components
+from lantern.operators.components import connected_components
 from lantern.llm.words import chunks
 from lantern.session import written
 
@@ -203,7 +203,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id reachable over links of at most `radius` bits.
 
     Null text counts as empty; texts without words have fingerprint 0 and link like any other; repeated rows get equal
-    results; an empty table gives an empty result. component_id is null only where every doc_id of a group is.
+    results; an empty table gives an empty result; equal fingerprints are one point. component_id is null only where every
+    doc_id of a group is.
     """
     docs = written(fingerprints(documents, shingle), "fingerprints")
     first = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
@@ -212,10 +213,3 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
     known = written(first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "known")
     return docs.join(known, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """documents with one document of each group, that of the smallest doc_id; rows without a doc_id all stay, repeated rows become one."""
-    kept = near_duplicates(documents.select("doc_id", "text"), radius).where("doc_id = component_id").select("doc_id").distinct()
-    keyed = documents.where("doc_id is not null")
-    return keyed.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns).unionByName(documents.where("doc_id is null"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lantern.llm import html_text, media, mixing, ngram_model, pieces, quality, queries, quotes, secrets, simhash, suffix_dedup
+from lantern.llm import html_text, media, mixing, ngram_model, pieces, quality, queries, quotes, secrets, simhash, similar, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, fp string, kind int"
 LONG = "a long text with words " * 20_000
@@ -97,8 +97,9 @@ def test_fingerprints(docs, none):
     got = rows(simhash.near_duplicates(docs), "doc_id", "fp", "component_id")
     assert len(got) == len(ROWS) and {(1, 0, 1), (2, 0, 1), (3, 0, 1)} <= set(got)
     assert simhash.near_duplicates(none).count() == 0
-    left = rows(simhash.deduplicated(docs), "doc_id")
-    assert left.count((5,)) == 1 and (None,) in left and (2,) not in left
+    left = rows(similar.without_copies(docs.union(docs.where("doc_id is null"))), "doc_id", "text")
+    assert [r[0] for r in left].count(5) == 1 and [r[0] for r in left].count(7) == 2 and [r[0] for r in left].count(None) == 1 and 2 not in [r[0] for r in left]
+    assert similar.without_copies(none).count() == 0 and similar.without_copies(docs).columns == docs.columns
 
 
 def test_suffixes(docs, none):
