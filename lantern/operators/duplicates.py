@@ -34,7 +34,9 @@ def near_groups(files: DataFrame, threshold: int, dismissed: DataFrame | None =
     """(file_id, group_id) of near-duplicate groups of two files or more; group_id is the smallest file_id.
 
     files(file_id, h). dismissed(a, b) are file pairs, a < b, whose link is left out; they may still meet through others.
-    Files with equal hashes link in a chain, so a large group of copies gives as many links as files.
+    Files with equal hashes link to one of them, so a large group of copies gives as many links as files. With dismissed
+    pairs that one is a file of no such pair, which no link of it can leave out; only hashes all of whose files are in
+    dismissed pairs link file by file, and those are as few as the pairs that a user has dismissed by hand.
     """
     first = files.where("h is not null").groupBy("h").agg(F.min("file_id").alias("first"))
     if dismissed is None:
@@ -43,8 +45,13 @@ def near_groups(files: DataFrame, threshold: int, dismissed: DataFrame | None =
         pairs = near_pairs(files.where("h is not null"), threshold).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = chain.unionByName(pairs)
     else:
+        marked = dismissed.select(F.col("a").alias("file_id")).unionByName(dismissed.select(F.col("b").alias("file_id"))).distinct()
+        free = files.where("h is not null").join(marked, "file_id", "left_anti").groupBy("h").agg(F.min("file_id").alias("free"))
+        chain = files.join(free, "h").where("file_id <> free").select(F.col("free").alias("a"), F.col("file_id").alias("b"))
+        agents = files.select("h", "file_id").join(free, "h", "left_anti").unionByName(free.select("h", F.col("free").alias("file_id")))
         own = near_pairs(files.where("h is not null"), threshold).select("a", "b").unionByName(first.select(F.col("h").alias("a"), F.col("h").alias("b")))
-        l, r = files.select(F.col("h").alias("a"), F.col("file_id").alias("x")), files.select(F.col("h").alias("b"), F.col("file_id").alias("y"))
-        links = own.join(l, "a").join(r, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(dismissed, ["a", "b"], "left_anti")
+        l, r = agents.select(F.col("h").alias("a"), F.col("file_id").alias("x")), agents.select(F.col("h").alias("b"), F.col("file_id").alias("y"))
+        between = own.join(l, "a").join(r, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = chain.unionByName(between.join(dismissed.select("a", "b"), ["a", "b"], "left_anti"))
     roots = connected_components(links)
     return roots.select(F.col("node").alias("file_id"), F.col("root").alias("group_id"))

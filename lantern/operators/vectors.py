@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.operators.components import connected_components
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -35,19 +38,19 @@ def centroids(vectors: DataFrame, key: str, column: str = "embedding") -> DataFr
     return out.select(key, "n", unit(F.col("_c")).alias("centroid"))
 
 
-def assign_nearest(vectors: DataFrame, table: DataFrame, least: float, key: str, column: str = "embedding", most: int = 200_000) -> DataFrame:
+def assign_nearest(vectors: DataFrame, table: DataFrame, least: float, key: str, column: str = "embedding", most_bytes: int = 128 << 20) -> DataFrame:
     """vectors with key and similarity of the most similar centroid at cosine `least` or more, both null below it.
 
-    One pass over the vectors against the matrix of centroids, which is broadcast up to `most` rows; beyond that the
-    centroids come in several matrices and the passes' best is taken. Ties go to the smallest key.
+    One pass over the vectors against the matrix of centroids, which is broadcast up to `most_bytes`; beyond that the
+    centroids come in several matrices of about that size and the passes' best is taken. Ties go to the smallest key.
     """
     spark = vectors.sparkSession
-    n = table.count()
-    parts = max(1, -(-n // most))
+    n, width = table.agg(F.count("*"), F.max(F.size("centroid"))).head()
+    parts = max(1, -(-n * 8 * (width or 0) // most_bytes))
     schema = "_vec long, _sim double, _key long"
     out = None
     for part in range(parts):
-        rows = table.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).orderBy(key).select(key, "centroid").collect() if parts > 1 else table.orderBy(key).select(key, "centroid").collect()  # at most about `most` rows
+        rows = table.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).orderBy(key).select(key, "centroid").collect() if parts > 1 else table.orderBy(key).select(key, "centroid").collect()  # about `most_bytes` at most
         ids = np.array([r[0] for r in rows], np.int64)
         matrix = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
 
@@ -76,6 +79,26 @@ def similar_centroids(table: DataFrame, key: str, least: float) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def merged_clusters(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(cluster, merged) of every cluster in pairs(a, b, similarity): merge_clusters() inside each component of the pairs.
+
+    names(cluster, name) has the named clusters; null names count as none. Merges of different components never meet, so
+    the components are independent tasks. Repeated pairs count once; an empty table gives an empty result.
+    """
+    links = pairs.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), F.col("similarity").cast("double").alias("similarity")).where("a < b")
+    roots = connected_components(links.select("a", "b"))
+    edges = links.join(roots, F.col("a") == F.col("node")).select("root", "a", "b", "similarity", F.lit(None).cast("string").alias("name"))
+    own = roots.join(names.where("name is not null").select(F.col("cluster").cast("long").alias("node"), "name"), "node")
+    named = own.select("root", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(None).cast("double").alias("similarity"), "name")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, carried = pdf[pdf["name"].isna()], pdf[pdf["name"].notna()]
+        out = merge_clusters(list(zip(one["a"], one["b"], one["similarity"], strict=True)), dict(zip(carried["a"], carried["name"], strict=True)))
+        return pd.DataFrame({"cluster": list(out), "merged": list(out.values())}, dtype="int64")
+
+    return edges.unionByName(named).groupBy("root").applyInPandas(run, "cluster long, merged long")
+
+
 def merge_clusters(pairs: list[tuple[int, int, float]], names: dict[int, str]) -> dict[int, int]:
     """cluster -> smallest cluster merged with it, most similar pairs first, never two that carry different names."""
     parent: dict[int, int] = {}

@@ -179,13 +179,13 @@ def exact_dupes_keeper(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.exact_groups(files, "content_hash", [F.col("n_chars")], "n_chars")
 
 
-SIGNS = "(" + " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END" for i in range(62)) + ")"
+SIGNS = "(" + " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {(1 << i) - (i == 63) * (1 << 64)} ELSE 0 END" for i in range(64)) + ")"
 
 
 def _signs(spark: SparkSession, d: str) -> DataFrame:
     bits = F.lit(0).cast("long")
-    for i in range(62):
-        bits = bits + F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0))
+    for i in range(64):
+        bits = bits.bitwiseOR(F.when(F.col("embedding")[i] > 0, F.lit((1 << i) - (i == 63) * (1 << 64))).otherwise(F.lit(0)).cast("long"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), bits.alias("h"))
 
 

@@ -26,11 +26,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set only where it is unset, in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lantern-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -44,12 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its path names, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by written() once nothing lazy reads them."""
     base = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lantern-" in folder and folder.split(":")[-1].lstrip("/").startswith(base.split(":")[-1].lstrip("/")):
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(conf).delete(p, True)
+            remove(spark, folder)

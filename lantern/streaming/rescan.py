@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lantern.operators.changes import fingerprint, upsert
+from lantern.session import remove
 
 
 def listing_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,11 +17,11 @@ def listing_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def keep_catalog(stream: DataFrame, catalog_path: str, keys: list[str], order: str, checkpoint: str, downstream: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def keep_catalog(stream: DataFrame, catalog_path: str, keys: list[str], order: str, checkpoint: str, downstream: Callable[[DataFrame], None] | None = None, versions: int = 3) -> StreamingQuery:
     """Upsert each micro-batch into the Parquet catalog of versions below catalog_path; run downstream only if its fingerprint changed.
 
     Every batch writes a new version folder named after its id and reads the highest one before, so a replayed batch
-    writes the same version again and a lost executor costs a retry.
+    writes the same version again and a lost executor costs a retry. Of the versions the last `versions` (2 at least) stay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -36,6 +37,8 @@ def keep_catalog(stream: DataFrame, catalog_path: str, keys: list[str], order: s
             now = spark.read.parquet(out)
             if old is None or fingerprint(old).head() != fingerprint(now).head():
                 downstream(now)
+        if batch_id >= max(versions, 2):
+            remove(spark, f"{catalog_path}/version={batch_id - max(versions, 2):012d}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -72,6 +72,36 @@ def test_near_groups_and_dismissals(spark):
     assert values(duplicates.near_pairs(spark.createDataFrame([(int(x),) for x in h], "h long"), 8), "a", "b", "distance") == brute
 
 
+def test_dismissals_among_copies_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    h = [int(x) for x in rng.choice([0, 1, 7, 1 << 20, 1 << 21, -1, -2], 40)]
+    pairs = sorted({tuple(sorted(int(x) for x in rng.choice(40, 2, replace=False))) for _ in range(60)} | {(i, j) for i in range(40) for j in range(i) if h[i] == h[j] == 7 for i, j in [(j, i)]})
+    root = list(range(40))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = set()
+    for i in range(40):
+        for j in range(i + 1, 40):
+            if ((h[i] ^ h[j]) & (2**64 - 1)).bit_count() <= 1 and (i, j) not in pairs:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+                linked |= {i, j}
+    got = duplicates.near_groups(spark.createDataFrame(list(enumerate(h)), "file_id long, h long"), 1, spark.createDataFrame(pairs, "a long, b long"))
+    assert values(got, "file_id", "group_id") == [(i, find(i)) for i in sorted(linked)]
+
+
+def test_merged_clusters_keep_names_apart(spark):
+    big = 1 << 60
+    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 2, 0.8), (3, 4, 0.7), (1, 2, 0.9), (big + 1, big + 3, 0.6), (5, 5, 1.0)], "a long, b long, similarity double")
+    names = spark.createDataFrame([(1, "Ann"), (4, "Bob"), (2, None), (99, "Cy")], "cluster long, name string")
+    assert values(vectors.merged_clusters(pairs, names), "cluster", "merged") == [(1, 1), (2, 1), (3, 1), (4, 4), (big + 1, big + 1), (big + 3, big + 1)]
+    assert vectors.merged_clusters(pairs.limit(0), names).isEmpty()
+
+
 def test_sidecar_rules(spark):
     media = ["T/P/a.jpg", "T/P/B.JPG", "T/P/c(1).jpg", "T/P/a_very_long_file_name.jpg", "T/P/none.jpg", "T/Trip/a.jpg"]
     cars = ["T/P/a.jpg.json", "T/P/b.jpg.suppl.json", "T/P/c.jpg(1).json", "T/P/a_very_long_fi.json", "T/X/none.jpg.json"]
