@@ -49,8 +49,7 @@ RINGS = (1.0, 10.0, 60.0)  # degrees; all divide 360
 def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
     """points with the nearest city (city_id, km), exact: candidates come from growing rings of grid cells.
 
-    A ring's result stands once no city outside the ring can be nearer; only the points still open go on to the next ring. Points that no ring settles (poles, empty oceans) are settled against the city list by a
-    semi-exhaustive join, which the gazetteer's fixed size bounds. points(id, lat, lon), cities(city_id, lat, lon).
+    A ring's result stands once no city outside the ring can be nearer; only the points still open go on to the next ring. Points that no ring settles (poles, empty oceans) are compared with all cities, in blocks. points(id, lat, lon), cities(city_id, lat, lon).
     """
     grid = cities.select("city_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     out, open_points = None, points.select("id", "lat", "lon").where("lat is not null and lon is not null")
@@ -76,10 +75,39 @@ def _within(points: DataFrame, cities: DataFrame, ring: float) -> DataFrame:
     return p.join(c, ["_i", "_j"]).select("id", "city_id", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"))
 
 
-def _far(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """Nearest cities of the few points that no ring settles: Spark broadcasts the gazetteer where its size allows, else it shuffles."""
-    d = haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    return points.join(cities, F.lit(True)).groupBy("id").agg(F.min(F.struct(d.alias("km"), "city_id")).alias("best")).select("id", "best.city_id", "best.km")
+def _far(points: DataFrame, cities: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Nearest cities of the points that no ring settles: one pass over them for each block of `most_bytes` of the gazetteer.
+
+    A block is broadcast; each pass keeps its best city of every point, and the best of the passes' is taken.
+    """
+    spark = points.sparkSession
+    parts = max(1, -(-cities.count() * 24 // most_bytes))
+    best = None
+    for part in range(parts):
+        rows = cities.where(F.pmod(F.xxhash64("city_id"), F.lit(parts)) == part).orderBy("city_id").select("city_id", "c_lat", "c_lon").toPandas()
+        block = spark.sparkContext.broadcast((rows["city_id"].to_numpy(np.int64), rows[["c_lat", "c_lon"]].to_numpy(np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, at = block.value
+            if not len(ids):
+                return
+            lat, lon = np.radians(at).T
+            step = max(1, (1 << 21) // len(ids))
+            for batch in batches:
+                own = np.radians(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]))
+                near = []
+                for i in range(0, own.shape[1], step):
+                    p, q = own[:, i : i + step, None]
+                    apart = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
+                    near.append(np.round(apart, 15).argmin(axis=1))  # equal distances go to the smallest city_id
+                if near:
+                    k = np.concatenate(near)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids[k]), pa.array(at[k, 0]), pa.array(at[k, 1])], names=["id", "lat", "lon", "city_id", "c_lat", "c_lon"])
+
+        found = points.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).mapInArrow(run, "id long, lat double, lon double, city_id long, c_lat double, c_lon double")
+        found = found.select("id", F.struct(haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"), "city_id").alias("best"))
+        best = found if best is None else best.unionByName(found)
+    return best.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.city_id", "best.km")
 
 
 def points_in_polygons(points: DataFrame, polygons: list[tuple[str, list[list[tuple[float, float]]]]]) -> DataFrame:

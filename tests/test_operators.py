@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import math
 import zipfile
 
 import numpy as np
@@ -102,6 +103,19 @@ def test_merged_clusters_keep_names_apart(spark):
     assert vectors.merged_clusters(pairs.limit(0), names).isEmpty()
 
 
+def test_far_points_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 30), rng.uniform(-180, 180, 30), strict=True))]
+    cities = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 40), rng.uniform(-180, 180, 40), strict=True))]
+    cities += [(i + 100, a, b) for i, a, b in cities]
+    km = lambda p, c: 2 * places.EARTH_KM * math.asin(math.sqrt(math.sin(math.radians(c[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(c[1])) * math.sin(math.radians(c[2] - p[2]) / 2) ** 2))
+    expected = [(p[0], min((round(km(p, c), 6), c[0]) for c in cities)[1]) for p in points]
+    frames = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(cities, "city_id long, c_lat double, c_lon double")
+    for size in (64 << 20, 480):
+        assert values(places._far(*frames, size), "id", "city_id") == expected
+    assert places._far(frames[0], frames[1].limit(0)).isEmpty()
+
+
 def test_sidecar_rules(spark):
     media = ["T/P/a.jpg", "T/P/B.JPG", "T/P/c(1).jpg", "T/P/a_very_long_file_name.jpg", "T/P/none.jpg", "T/Trip/a.jpg"]
     cars = ["T/P/a.jpg.json", "T/P/b.jpg.suppl.json", "T/P/c.jpg(1).json", "T/P/a_very_long_fi.json", "T/X/none.jpg.json"]
