@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm.words import chunks, mixed, prefix_hashes, span_hashes
+from lantern.llm.words import chunks, mixed, prefix_hashes, small_batches, span_hashes
 
 ZIPF = 10.0
-MOST_EDGES = 7_000_000
+MOST_EDGES = 3_900_000
 NOISE = 23.0  # above -log(-log(u)) for the largest u below 1 that uniform() gives
 MARGIN = 3.0
 DECODED = 1 << 16
@@ -419,6 +419,7 @@ def encode_samples(documents: DataFrame, model: str, k: int = SAMPLES, seed: int
     the driver. Equal perturbed values, which need equal hashes, are taken in the order of their nodes.
     """
     spark: SparkSession = documents.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(model))  # the vocabulary file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,14 @@ A word is a maximal run of bytes other than space, \\t, \\n, \\v, \\f and \\r, w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -77,6 +81,20 @@ def joined(texts: list[bytes], separator: bytes = b"\n") -> tuple[bytes, np.ndar
     return b"".join(x for t in texts for x in (t, separator)), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts by BATCH_ROWS rows where it has Spark's default of 10,000: both sides hold a whole batch."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
+def released() -> None:
+    """Give freed memory back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of about `most` text bytes each (one row at least), with the column's bytes."""
     for batch in batches:
@@ -89,3 +107,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 end += 1
             yield batch.slice(at, end - at), [x.as_py() for x in texts.slice(at, end - at)]
             at = end
+    released()
