@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.llm import oracles
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -76,8 +78,30 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents")).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
+def op11_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.voting import score_by_neighbours
+
+    return score_by_neighbours(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.ranked import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lantern.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op7_sampled_pieces, op8_simhash_neighbours, op9_suffix_dedup, op10_media_columns)
+    f.__name__: f
+    for f in (
+        op1_bloom_lm_scores, op2_quality_rules, op3_html_extraction, op4_source_mixing, op5_quote_linking, op6_secret_scan, op7_sampled_pieces,
+        op8_simhash_neighbours, op9_suffix_dedup, op10_media_columns, op11_neighbour_votes, op12_ranked_search, op13_merkle_manifest,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_ranked_search": oracles.RANKED, "op13_merkle_manifest": oracles.MERKLE}
