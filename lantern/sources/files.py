@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import re
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions.dates import located
-from lantern.functions.names import basename, media_type, shard
+from lantern.functions.names import VIDEO_EXTENSIONS, basename, media_type, shard
 
-# The folders that a scan leaves out, the form of a content identifier.
+PIECE = 1 << 20
+
+# The folders that a scan leaves out, the stills that carry a content identifier, and its form.
 SKIPPED = r"(^|/)(\.[^/]*|node_modules|\.venv|__pycache__)(/|$)"
+STILLS = ("heic", "heif", "jpg", "jpeg", "png")
 UUID = "[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}"
 
 
@@ -36,55 +38,78 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """files(path, length, content) with content_hash: blake2b-256 of photos, "q:" and a quick one of size and both ends for videos."""
-    mega = 1 << 20
+def plain(path: str) -> str:
+    """A path without the local scheme."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A seekable file of a local or shared path, or of a URI that Arrow's file systems open."""
+    if "://" in plain(path):
+        system, at = fs.FileSystem.from_uri(path)
+        return system.open_input_file(at)
+    return fs.LocalFileSystem().open_input_file(plain(path))
+
+
+def _by_path(files: DataFrame, column: str, read: Callable[[pa.NativeFile, str], object], kind: pa.DataType) -> DataFrame:
+    """(path, `column`): what `read` makes of each open file, null where it can't be read. Files are opened in their tasks, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for kind, content in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                if kind != "video":
-                    out.append(hashlib.blake2b(data, digest_size=32).hexdigest())
-                else:
-                    quick = str(len(data)).encode() + data[:mega] + (data[-mega:] if len(data) > 2 * mega else b"")
-                    out.append("q:" + hashlib.blake2b(quick, digest_size=32).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "content_hash"])
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for path in (part := batch.column(0).slice(at, 64)).to_pylist():
+                    try:
+                        with opened(path) as f:
+                            out.append(read(f, path))
+                    except OSError:
+                        out.append(None)
+                yield pa.RecordBatch.from_arrays([part, pa.array(out, kind)], names=["path", column])
 
-    return files.select("path", "content", media_type(basename(F.col("path"))).alias("media_type")).mapInArrow(run, "path string, content_hash string")
+    return files.select("path").mapInArrow(run, f"path string, {column} {'binary' if kind == pa.binary() else 'string'}")
 
 
-def head_identifiers(files: DataFrame, head: int = 256_000) -> DataFrame:
-    """(path, content_id, pos): distinct upper-case UUIDs in each file's first bytes, JVM-side."""
-    text = F.decode(F.substring("content", 1, head), "ISO-8859-1")
-    return files.select("path", F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(UUID), F.lit(0)))).alias("pos", "content_id"))
+def _whole_digest(f: pa.NativeFile) -> str:
+    digest = hashlib.blake2b(digest_size=32)
+    while piece := f.read(4 * PIECE):
+        digest.update(piece)
+    return digest.hexdigest()
 
 
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """(archive, name, size, crc, error) from archives(path, content): central directories only, a row with `error` for an unreadable one."""
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, content_hash): blake2b-256 of photos, "q:" and a quick one of size and both ends for videos, by ranged reads.
 
-    def decoded(info: zipfile.ZipInfo) -> str:
-        if info.flag_bits & 0x800:
-            return info.filename
-        try:
-            return info.filename.encode("cp437").decode("utf-8")
-        except UnicodeError:
-            return info.filename
+    A video of any length costs two reads of PIECE bytes, a photo is read in pieces; null where a file is gone.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        rows += [(path, decoded(i), i.file_size, i.CRC, None) for i in z.infolist() if not i.is_dir()]
-                except (zipfile.BadZipFile, OSError) as e:
-                    rows.append((path, None, None, None, type(e).__name__))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds, strict=True)], names=["archive", "name", "size", "crc", "error"])
-
-    return archives.select("path", "content").mapInArrow(run, "archive string, name string, size long, crc long, error string")
+    def read(f: pa.NativeFile, path: str) -> str:
+        if not path.lower().endswith(VIDEO_EXTENSIONS):
+            return _whole_digest(f)
+        size = f.size()
+        digest = hashlib.blake2b(str(size).encode() + f.read(PIECE), digest_size=32)
+        if size > 2 * PIECE:
+            f.seek(size - PIECE)
+            digest.update(f.read(PIECE))
+        return "q:" + digest.hexdigest()
+
+    return _by_path(files, "content_hash", read, pa.string())
+
+
+def full_fingerprints(files: DataFrame) -> DataFrame:
+    """(path, content_hash): blake2b-256 of whole files read in pieces, to verify what quick hashes propose; null where a file is gone."""
+    return _by_path(files, "content_hash", lambda f, _: _whole_digest(f), pa.string())
+
+
+def still_heads(files: DataFrame, head: int = 256_000) -> DataFrame:
+    """(path, content) of the stills among files(path): their first `head` bytes, the only ones read; null where a file is gone."""
+    stills = files.where(F.lower("path").rlike(r"\.(" + "|".join(STILLS) + ")$"))
+    return _by_path(stills, "content", lambda f, _: f.read(head), pa.binary())
+
+
+def head_identifiers(files: DataFrame, head: int = 256_000) -> DataFrame:
+    """(path, content_id, pos): distinct upper-case UUIDs in each file's first bytes, JVM-side."""
+    text = F.decode(F.substring("content", 1, head), "ISO-8859-1")
+    return files.select("path", F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(UUID), F.lit(0)))).alias("pos", "content_id"))
 
 
 GEO = "struct<latitude:double,longitude:double>"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lantern.functions import dates, images, names
 from lantern.operators import archives, changes, clusters, duplicates, filters, places, relations, sessions, timeline, vectors
 from lantern.sources import files as sources
+from lantern.sources.zips import archive_entries
 from lantern.sources import media
 from lantern.streaming import rescan
 
@@ -187,12 +188,12 @@ def test_sources(spark, tmp_path):
     assert values(sources.head_identifiers(data), "content_id") == [("01234567-89AB-CDEF-0123-456789ABCDEF",)]
     hashes = {p.rsplit("/", 1)[1]: h for p, h in values(sources.fingerprints(data), "path", "content_hash")}
     assert hashes["b.mov"].startswith("q:") and len(hashes["a.jpg"]) == 64
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
+    with zipfile.ZipFile(tmp_path / "1.zip", "w") as z:
         z.writestr("T/P/a.jpg", b"abc")
         z.writestr("T/P/a.jpg.json", b"{}")
-    zips = spark.createDataFrame([("1.zip", buffer.getvalue()), ("2.zip", b"no")], "path string, content binary")
-    found = {(r["archive"], r["name"], r["size"], r["error"]) for r in sources.archive_entries(zips).collect()}
+    (tmp_path / "2.zip").write_bytes(b"no")
+    zips = [f"{tmp_path}/1.zip", f"{tmp_path}/2.zip"]
+    found = {(r["archive"].rsplit("/", 1)[1], r["name"], r["size"], r["error"]) for r in archive_entries(spark, zips).collect()}
     assert found == {("1.zip", "T/P/a.jpg", 3, None), ("1.zip", "T/P/a.jpg.json", 2, None), ("2.zip", None, None, "BadZipFile")}
     text = '{"photoTakenTime":{"timestamp":"1600000000"},"geoData":{"latitude":0,"longitude":0},"geoDataExif":{"latitude":15.2993,"longitude":74.124}}'
     got = one(spark, sources.sidecar(F.lit(text)).alias("x"))["x"]
