@@ -1,116 +1,405 @@
-"""Density clusters of vectors: HDBSCAN over mutual reachability.
+"""Density clusters of vectors: HDBSCAN over mutual reachability, exact, in tasks of bounded size.
 
-Up to `exact_rows` rows one task builds the exact minimum spanning tree; beyond that the caller passes nearest-neighbour
-links (for instance from duplicates.near_pairs on sign bits) and takes their components at one distance, which is the
-single-level cut of the same tree.
+Vectors are packed into blocks around pivots. Core distances come from the own block, then from the other blocks that
+the bound of centres and radii leaves. The minimum spanning tree of all pairs lies in the union of the trees of every
+two blocks together, since an edge that is no tree edge among few points is none among all; a task builds one of them.
+Boruvka rounds contract that union until `most` edges are left, which one task finishes. The merge tree is made by
+halves: the lighter edges fall into components that are trees of their own, the heavier ones join what these contract to,
+until no half has more than `most` edges. Sizes, births and masses are aggregates over the merge tree.
+
+Weights tie often: edges are ordered by (weight, smaller id, larger id), so tree and clusters are unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.components import connected_components
+from lantern.operators.ordered import scanned
+from lantern.session import drop_written, written
+
+BLOCK, MOST, PIVOTS = 1024, 1_000_000, 256
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows, the same to the last bit for the same two vectors in whatever blocks they are."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, (1 << 21) // max(1, b.size))
+    for i in range(0, len(a), step):
+        gap = a[i : i + step, None, :] - b[None]
+        out[i : i + step] = np.sqrt((gap * gap).sum(axis=-1))
+    return out
+
+
+def tree_edges(reach: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight), a < b, of the minimum spanning tree under the order (weight, a, b), by Prim's method."""
+    n = len(ids)
+    out = np.empty((3, n - 1))
+    near, lo, hi = reach[0].copy(), np.minimum(ids[0], ids), np.maximum(ids[0], ids)
+    left = np.arange(1, n)
+    for step in range(n - 1):
+        least = near[left].min()
+        tied = left[near[left] == least]
+        at = tied[np.lexsort((hi[tied], lo[tied]))[0]] if len(tied) > 1 else tied[0]
+        out[:, step] = lo[at], hi[at], near[at]
+        left = left[left != at]
+        w, a, b = reach[at][left], np.minimum(ids[at], ids[left]), np.maximum(ids[at], ids[left])
+        better = (w < near[left]) | ((w == near[left]) & ((a < lo[left]) | ((a == lo[left]) & (b < hi[left]))))
+        near[left[better]], lo[left[better]], hi[left[better]] = w[better], a[better], b[better]
+    return out[0].astype(np.int64), out[1].astype(np.int64), out[2]
+
 
-def spanning_tree(x: np.ndarray, least: int) -> np.ndarray:
-    """Rows (a, b, distance) of the mutual-reachability minimum spanning tree, shortest first (Prim)."""
-    n = len(x)
-    square = (x * x).sum(axis=1)
-    distance = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-    core = np.partition(distance, min(least - 1, n - 1), axis=1)[:, min(least - 1, n - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), distance)
-    out, near, source, rest = [], reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
-    rest[0] = False
-    for _ in range(n - 1):
-        at = int(np.where(rest, near, np.inf).argmin())
-        out.append((source[at], at, near[at]))
-        rest[at] = False
-        closer = rest & (reach[at] < near)
-        near[closer], source[closer] = reach[at][closer], at
-    return np.array(sorted(out, key=lambda e: (e[2], e[0], e[1])))
-
-
-def hdbscan_labels(x: np.ndarray, least: int = 4) -> np.ndarray:
-    """Cluster of each row by excess of mass, -1 for noise."""
-    n = len(x)
-    if n < 2 * least:
-        return np.full(n, -1)
-    parent = list(range(2 * n - 1))
-    size, height, kids = [1] * n + [0] * (n - 1), [0.0] * (2 * n - 1), {}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for step, (a, b, d) in enumerate(spanning_tree(x, least), n):
-        a, b = find(int(a)), find(int(b))
-        kids[step], height[step], size[step] = (a, b), float(d), size[a] + size[b]
-        parent[a] = parent[b] = step
-
-    def leaves(i: int) -> list[int]:
-        out, todo = [], [i]
-        while todo:
-            j = todo.pop()
-            if j < n:
-                out.append(j)
-            else:
-                todo.extend(kids[j])
-        return out
-
-    inverse = lambda d: 1 / max(d, 1e-12)
-    chosen: dict[int, float] = {}
-    below: dict[int, list[int]] = {}
-    order: list[tuple[int, int]] = []
-    todo = [(2 * n - 2, 2 * n - 2)]
-    birth = {2 * n - 2: 0.0}
-    mass: dict[int, float] = {}
-    while todo:  # (cluster, node of the tree it has shrunk to)
-        cluster, node = todo.pop()
-        mass.setdefault(cluster, 0.0)
-        if node < n:
-            continue
-        level = inverse(height[node])
-        big = [k for k in kids[node] if size[k] >= least]
-        if len(big) == 2:
-            mass[cluster] += (level - birth[cluster]) * size[node]
-            below[cluster] = big
-            for k in big:
-                birth[k] = level
-                todo.append((k, k))
-            order.append((cluster, node))
-        elif len(big) == 1:
-            mass[cluster] += (level - birth[cluster]) * (size[node] - size[big[0]])
-            todo.append((cluster, big[0]))
-        else:
-            mass[cluster] += (level - birth[cluster]) * size[node]
-    for cluster in sorted(mass):  # children have smaller numbers than their parents
-        inner = sum(chosen[k] for k in below.get(cluster, ()))
-        chosen[cluster] = max(mass[cluster], inner) if cluster in below else mass[cluster]
-    labels = np.full(n, -1)
-    found, todo = [], [2 * n - 2]
-    while todo:
-        c = todo.pop()
-        kids_of = below.get(c, [])
-        if kids_of and (c == 2 * n - 2 or sum(chosen[k] for k in kids_of) > mass[c]):
-            todo.extend(kids_of)
-        elif c != 2 * n - 2:
-            found.append(c)
-    for i, c in enumerate(sorted(found, key=lambda c: min(leaves(c)))):
-        labels[leaves(c)] = i
-    return labels
-
-
-def hdbscan(vectors: DataFrame, column: str = "embedding", least: int = 4, exact_rows: int = 20_000) -> DataFrame:
-    """(vec_id, cluster) of at most exact_rows vectors, -1 for noise; more are refused, not sampled."""
+# -- blocks
+
+
+def packed(vectors: DataFrame, column: str, rows: int = BLOCK) -> DataFrame:
+    """(block, ids, x, centre, radius): blocks of about `rows` vectors near one pivot, numbered from 0, written.
+
+    Pivots are the vectors of the smallest hashes, PIVOTS at most. A cell of many vectors, equal ones too, is several blocks.
+    """
+    spark = vectors.sparkSession
     n = vectors.count()
-    if n > exact_rows:
-        raise ValueError(f"{n} vectors; the exact tree takes {exact_rows}: take components of near links instead")
+    heads = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(PIVOTS, n // rows))).select(column).toArrow()[0].to_pylist()  # PIVOTS vectors at most
+    pivots = spark.sparkContext.broadcast(np.array(heads, np.float64))
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(distances(x, pivots.value).argmin(axis=1).astype(np.int32))], names=["vec_id", "x", "cell"])
+
+    cells = written(vectors.select("vec_id", column).mapInArrow(celled, "vec_id long, x binary, cell int"), "cells")
+    sizes = {r.cell: -(-r["count"] // rows) for r in cells.groupBy("cell").count().collect()}  # a row a pivot
+    starts = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist()))
+    split = F.create_map(*(F.lit(v) for c, k in sizes.items() for v in (c, k))) if sizes else F.lit(None)
+    start = F.create_map(*(F.lit(v) for c, k in starts.items() for v in (c, k))) if sizes else F.lit(None)
+    block = (start[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), split[F.col("cell")])).cast("int") if sizes else F.lit(0)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(table.num_rows, -1)
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        return pa.table({"block": [table["block"][0].as_py()], "ids": [table["vec_id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()], "centre": [centre.tolist()], "radius": [radius]}, schema=pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+
+    out = written(cells.withColumn("block", block).groupBy("block").applyInArrow(pack, "block int, ids binary, x binary, centre array<double>, radius double"), "blocks")
+    drop_written(spark, cells)
+    return out
+
+
+def block_pairs(summaries: DataFrame, blocks: int) -> DataFrame:
+    """(a, b) with a < b, each with the summaries' columns as a_ and b_: the grid is counted out, not joined."""
+    names = [c for c in summaries.columns if c != "block"]
+    left = summaries.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names)).where(F.col("a") < blocks - 1)
+    right = summaries.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
+    return left.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(blocks - 1)))).join(right, "b")
+
+
+def both(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The packed rows of both sides of (a, b), dealt by the pair."""
+    carried = [c for c in blocks.columns if c in ("ids", "x", "cores")]
+    left = blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in carried))
+    right = blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in carried))
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+
+def unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(x).reshape(len(i), -1)
+
+
+# -- core distances and the spanning tree
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with packed blocks, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def cored(blocks: DataFrame, n_blocks: int, least: int) -> DataFrame:
+    """blocks with `cores`, the distance of each one's least-th nearest vector (the own one being the first), in order of the ids; written."""
+
+    def nearest(d: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
+        k = min(least, d.shape[1])
+        best = np.partition(d, k - 1, axis=1)[:, :k]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(best.size, block, np.int32)), pa.array(np.repeat(ids, k)), pa.array(best.ravel())], names=["block", "vec_id", "d"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            ids, x = unpack(r["ids"], r["x"])
+            yield nearest(distances(x, x), ids, r["block"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            (p, x), (q, y) = unpack(r["a_ids"], r["a_x"]), unpack(r["b_ids"], r["b_x"])
+            d = distances(x, y)
+            yield nearest(d, p, r["a"])
+            yield nearest(d.T, q, r["b"])
+
+    schema = "block int, vec_id long, d double"
+    found = written(blocks.mapInArrow(own, schema), "near")
+    if n_blocks > 1:
+        # what a block can still gain is bounded by its own worst core distance, infinite where it is too small for one
+        reached = found.groupBy("block", "vec_id").agg(F.when(F.count("*") < least, F.lit(float("inf"))).otherwise(F.max("d")).alias("d"))
+        pairs = block_pairs(blocks.select("block", "centre", "radius").join(reached.groupBy("block").agg(F.max("d").alias("worst")), "block"), n_blocks)
+        apart = F.sqrt(F.aggregate(F.zip_with("a_centre", "b_centre", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)) - F.col("a_radius") - F.col("b_radius")
+        near = both(pairs.where(apart * (1 - 1e-9) - 1e-9 <= F.greatest("a_worst", "b_worst")), blocks)
+        found = found.unionByName(near.mapInArrow(others, schema))
+    place = F.row_number().over(Window.partitionBy("block", "vec_id").orderBy("d"))
+    core = found.withColumn("_n", place).where(F.col("_n") <= least).groupBy("block", "vec_id").agg(F.max("d").alias("core"))
+    cores = core.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "core"))), lambda s: s["core"]).alias("cores"))  # a block's rows
+    return written(blocks.join(cores, "block"), "cored")
+
+
+def spanning_tree(blocks: DataFrame, n_blocks: int, most: int = MOST) -> DataFrame:
+    """(a, b, w) of the minimum spanning tree of cored() blocks by mutual reachability, a < b; written."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            (p, x), (q, y) = unpack(r["a_ids"], r["a_x"]), unpack(r["b_ids"] or b"", r["b_x"] or b"") if r["b_ids"] else (np.zeros(0, np.int64), None)
+            ids, x = np.concatenate((p, q)), x if y is None else np.concatenate((x, y))
+            core = np.array(r["a_cores"] + (r["b_cores"] or []))
+            if len(ids) > 1:
+                a, b, w = tree_edges(np.maximum(np.maximum(core[:, None], core[None]), distances(x, x)), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w)], names=["a", "b", "w"])
+
+    schema = "a long, b long, w double"
+    if n_blocks > 1:
+        pairs = both(block_pairs(blocks.select("block"), n_blocks), blocks)
+    else:
+        pairs = blocks.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), F.col("cores").alias("a_cores"), F.lit(None).cast("binary").alias("b_ids"), F.lit(None).cast("binary").alias("b_x"), F.lit(None).cast("array<double>").alias("b_cores"))
+    return least_forest(written(pairs.mapInArrow(local, schema).distinct(), "near-edges"), most)
+
+
+def kruskal(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """Positions of the forest's edges among edges (a, b) taken in `order`."""
+    names, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up, left, right, out = list(range(len(names))), place[: len(a)].tolist(), place[len(a) :].tolist(), []
+    for i in order.tolist():
+        x, y = left[i], right[i]
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            out.append(i)
+    return out
+
+
+def least_forest(edges: DataFrame, most: int = MOST) -> DataFrame:
+    """The minimum spanning forest of edges (a, b, w), under the order (w, a, b); written.
+
+    While there are more than `most` edges, each component takes its least edge outward and components contract; then
+    one task goes through what is left between components.
+    """
+    spark = edges.sparkSession
+    now = edges.select("a", "b", "w", F.col("a").alias("p"), F.col("b").alias("q"))
+    taken = None
+    while now.count() > most:
+        key = F.struct("w", "a", "b", "p", "q")
+        least = now.select(F.explode(F.array("p", "q")).alias("c"), key.alias("e")).groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
+        least = written(least, "least")
+        taken = least.select("a", "b", "w") if taken is None else taken.unionByName(least.select("a", "b", "w"))
+        roots = written(connected_components(least.select(F.col("p").alias("a"), F.col("q").alias("b"))), "roots")
+        moved = now.join(roots.select(F.col("node").alias("p"), F.col("root").alias("_p")), "p").join(roots.select(F.col("node").alias("q"), F.col("root").alias("_q")), "q").where("_p <> _q")
+        sides = moved.select("a", "b", "w", F.least("_p", "_q").alias("p"), F.greatest("_p", "_q").alias("q"))
+        now = written(sides.groupBy("p", "q").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "p", "q"), "between")
+        drop_written(spark, roots)
+
+    def finish(table: pa.Table) -> pa.Table:
+        a, b, w, p, q = (table[c].to_numpy() for c in ("a", "b", "w", "p", "q"))
+        kept = kruskal(p, q, np.lexsort((b, a, w)))
+        return pa.table({"a": a[kept], "b": b[kept], "w": w[kept]})
+
+    last = now.groupBy(F.lit(0).alias("_all")).applyInArrow(finish, "a long, b long, w double")  # `most` edges at most
+    return written(last if taken is None else taken.distinct().unionByName(last), "forest")
+
+
+# -- the merge tree
+
+
+def merge_tree(edges: DataFrame, most: int = MOST) -> DataFrame:
+    """(node, w, left, right, n_left, n_right) of a spanning tree (a, b, w): its merges by rising (w, a, b), numbered from 0; written.
+
+    A side is a vector's place in order of the ids (0 or more), or a merge m as -m - 1, with its number of vectors.
+    """
+    spark = edges.sparkSession
+    places = scanned(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), [], [F.col("id")]).select("id", F.col("pos").alias("p"))
+    numbered = scanned(edges, [], [F.col("w"), F.col("a"), F.col("b")]).select(F.col("pos").alias("node"), "w", "a", "b", (F.col("size") - 1).alias("part"))
+    numbered = numbered.join(places.select(F.col("id").alias("a"), F.col("p").alias("u")), "a").join(places.select(F.col("id").alias("b"), F.col("p").alias("v")), "b")
+    now = written(numbered.select("part", "node", "w", "u", "v", F.lit(1).cast("long").alias("nu"), F.lit(1).cast("long").alias("nv")), "tree-edges")
+
+    def merges(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["node"].to_numpy())
+        node, w, u, v, nu, nv = (table[c].to_numpy()[order] for c in ("node", "w", "u", "v", "nu", "nv"))
+        names, first, place = np.unique(np.concatenate((u, v)), return_index=True, return_inverse=True)
+        held = np.concatenate((nu, nv))[first].tolist()
+        up, top = list(range(len(names))), names.tolist()
+        left, right, sides = place[: len(u)].tolist(), place[len(u) :].tolist(), []
+        for m, x, y in zip(node.tolist(), left, right):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            sides.append((top[x], top[y], held[x], held[y]))
+            up[x] = y
+            top[y], held[y] = -m - 1, held[x] + held[y]
+        columns = [np.array(c, np.int64) for c in zip(*sides)]
+        return pa.table(dict(zip(("node", "w", "left", "right", "n_left", "n_right"), (node, w, *columns))))
+
+    done = []
+    while True:
+        sizes = now.groupBy("part").agg(F.count("*").alias("_k"))
+        sized = now.join(sizes, "part")
+        small, large = sized.where(F.col("_k") <= most), sized.where(F.col("_k") > most)
+        done.append(written(small.drop("_k").groupBy("part").applyInArrow(merges, "node long, w double, left long, right long, n_left long, n_right long"), "merges"))  # `most` edges a group
+        if large.isEmpty():
+            break
+        # the lighter half of each part falls into trees named by their last merge; the heavier half joins what they contract to
+        cut = written(scanned(large, ["part"], [F.col("node")]).withColumn("low", F.col("pos") < F.floor(F.col("size") / 2)).drop("pos", "size", "_k"), "halves")
+        low = cut.where("low")
+        roots = written(connected_components(low.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+        of = low.join(roots.select(F.col("node").alias("u"), "root"), "u")
+        tops = of.groupBy("root").agg(F.max("node").alias("top"))
+        ends = of.select("root", F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("nu").alias("n")), F.struct(F.col("v").alias("x"), F.col("nv").alias("n")))).alias("s")).select("root", "s.*").distinct()
+        weight = ends.groupBy("root").agg(F.sum("n").alias("n"))
+        fate = written(ends.select("root", "x").join(tops, "root").join(weight, "root").select("x", (-F.col("top") - 1).alias("to"), "n"), "fates")
+        high = cut.where("not low")
+        for end, size in (("u", "nu"), ("v", "nv")):
+            at = fate.select(F.col("x").alias(end), F.col("to").alias("_to"), F.col("n").alias("_n"))
+            high = high.join(at, end, "left").withColumn(end, F.coalesce("_to", end)).withColumn(size, F.coalesce("_n", size)).drop("_to", "_n")
+        columns = ["part", "node", "w", "u", "v", "nu", "nv"]
+        lower = of.join(tops, "root").withColumn("part", F.col("top")).select(columns)
+        now = written(lower.unionByName(high.select(columns)), "tree-edges")
+        for old in (cut, roots, fate):
+            drop_written(spark, old)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def doubled(links: DataFrame, node: str, up: str) -> DataFrame:
+    """links (node, up) with `up` replaced by the end of each chain, by pointer doubling; written. A link to itself ends a chain."""
+    spark = links.sparkSession
+    now = written(links, "chains")
+    while True:
+        far = now.select(F.col(node).alias("_at"), F.col(up).alias("_far"))
+        joined = now.join(far, F.col(up) == F.col("_at"), "left").withColumn("_new", F.coalesce("_far", up))
+        after = written(joined.withColumn("_moved", F.col("_new") != F.col(up)).withColumn(up, F.col("_new")).select(*links.columns, "_moved"), "chains")
+        moved = not after.where("_moved").isEmpty()
+        drop_written(spark, now)
+        now = after.drop("_moved")
+        if not moved:
+            return now
+
+
+def excess_of_mass(tree: DataFrame, least: int, most: int = MOST) -> DataFrame:
+    """(node, cluster) of every merge of `least` vectors or more: the chosen cluster that it belongs to, -1 for none; written.
+
+    A cluster begins at a merge both of whose sides are that large and shrinks along its one large side. Its mass is the
+    sum over its vectors of 1 / w where they leave it, less where it began. Clusters are decided from the leaves of
+    their own tree up, level by level while there are more than `most`, then in one task.
+    """
+    n = F.col("n_left") + F.col("n_right")
+    large = tree.where(n >= least).select("node", "left", "right", "n_left", "n_right", n.alias("n"), (1 / F.greatest(F.col("w"), F.lit(1e-12))).alias("level"))
+    sides = F.array(F.struct(F.col("left").alias("side"), F.col("n_left").alias("m")), F.struct(F.col("right").alias("side"), F.col("n_right").alias("m")))
+    is_split = (F.col("n_left") >= least) & (F.col("n_right") >= least)
+    below = large.select(F.col("node").alias("parent"), is_split.alias("split"), "level", F.explode(sides).alias("s")).where(F.col("s.m") >= least).select((-F.col("s.side") - 1).alias("node"), "parent", "split", F.col("level").alias("birth"))
+    joined = large.join(below, "node", "left")
+    chains = doubled(joined.select("node", F.when(F.col("split"), F.col("node")).otherwise(F.coalesce("parent", "node")).alias("top")), "node", "top")
+    figures = written(joined.join(chains, "node"), "condensed")
+    lost = F.when(is_split, F.col("n")).when((F.col("n_left") >= least) | (F.col("n_right") >= least), F.least("n_left", "n_right")).otherwise(F.col("n"))
+    first = F.col("node") == F.col("top")
+    masses = figures.groupBy("top").agg(F.sum(F.col("level") * lost).alias("_sum"), F.max(F.when(first, F.coalesce("birth", F.lit(0.0)))).alias("_birth"), F.max(F.when(first, F.col("n"))).alias("_n"), F.max(F.when(first, F.col("parent"))).alias("_parent"))
+    above = figures.select(F.col("node").alias("_parent"), F.col("top").alias("parent"))
+    table = masses.join(above, "_parent", "left").select(F.col("top").alias("cluster"), "parent", (F.col("_sum") - F.col("_birth") * F.col("_n")).alias("mass"))
+    chosen = selected(written(table, "masses"), most)
+    out = written(figures.select("node", "top").join(chosen.withColumnRenamed("cluster", "top"), "top").select("node", F.col("chosen").alias("cluster")), "chosen")
+    drop_written(tree.sparkSession, figures)
+    return out
+
+
+def selected(table: DataFrame, most: int = MOST) -> DataFrame:
+    """(cluster, chosen) from (cluster, parent, mass): the topmost cluster on its way up whose mass isn't below its parts', never the root; -1 for none."""
+
+    def decide(part: pa.Table) -> pa.Table:
+        ids, parents, mass, inner, known = (part[c].to_pylist() for c in ("cluster", "parent", "mass", "inner", "whole"))
+        own, up, worth, keep = dict(zip(ids, mass)), dict(zip(ids, parents)), {}, {}
+        total = {c: x for c, x in zip(ids, inner) if x is not None}
+        for c in sorted(ids):  # a cluster's parts are earlier merges than it
+            keep[c] = up[c] is not None and not total.get(c, float("-inf")) > own[c]
+            worth[c] = own[c] if keep[c] else total.get(c, own[c])
+            if up[c] in own:
+                total[up[c]] = total.get(up[c], 0.0) + worth[c]
+        chosen: dict = {}
+        for c in sorted(ids, reverse=True):
+            over = chosen.get(up[c], -1)
+            chosen[c] = over if over != -1 else c if keep[c] else -1
+        return pa.table({"cluster": pa.array(ids, pa.int64()), "chosen": pa.array([chosen[c] for c in ids], pa.int64())})
+
+    rest = table.withColumn("inner", F.lit(None).cast("double")).withColumn("whole", F.lit(False))
+    peeled = []
+    while rest.count() > most:  # leaves are decided and handed to their parents
+        parents = rest.select(F.col("parent").alias("_p")).where("_p is not null").distinct()
+        leaves = written(rest.join(parents, F.col("cluster") == F.col("_p"), "left_anti").withColumn("keep", ~F.coalesce(F.col("inner") > F.col("mass"), F.lit(False))), "leaves")
+        peeled.append(leaves)
+        given = leaves.groupBy(F.col("parent").alias("_p")).agg(F.sum(F.when(F.col("keep"), F.col("mass")).otherwise(F.col("inner"))).alias("_more"))
+        stays = rest.join(leaves.select(F.col("cluster").alias("_c")), F.col("cluster") == F.col("_c"), "left_anti")
+        rest = written(stays.join(given, F.col("cluster") == F.col("_p"), "left").withColumn("inner", F.when(F.col("_more").isNull(), F.col("inner")).otherwise(F.coalesce("inner", F.lit(0.0)) + F.col("_more"))).select(rest.columns), "rest")
+    out = rest.groupBy(F.lit(0).alias("_all")).applyInArrow(decide, "cluster long, chosen long")  # `most` clusters at most
+    for leaves in reversed(peeled):
+        over = out.select(F.col("cluster").alias("_p"), F.col("chosen").alias("_over"))
+        mine = leaves.join(over, F.col("parent") == F.col("_p"), "left").select("cluster", F.when(F.col("_over") != -1, F.col("_over")).when(F.col("keep") & F.col("parent").isNotNull(), F.col("cluster")).otherwise(F.lit(-1)).cast("long").alias("chosen"))
+        out = written(out.unionByName(mine), "chosen")
+    return out
+
+
+def hdbscan(vectors: DataFrame, column: str = "embedding", least: int = 4, rows: int = BLOCK, most: int = MOST) -> DataFrame:
+    """(vec_id, cluster) of vectors (vec_id, column), clusters numbered from 0 by their smallest vec_id, -1 for noise.
+
+    `rows` and `most` bound a task and change no result. Distances of all pairs are computed, as exact trees in many
+    dimensions need: work grows with the square of the vectors. Null vectors, and all of fewer than 2 * least, are
+    noise; a vec_id is unique; an empty table gives an empty result.
+    """
+    known = vectors.where(F.col(column).isNotNull()).select("vec_id", column)
+    if known.count() < 2 * least:
+        return vectors.select("vec_id", F.lit(-1).cast("long").alias("cluster"))
+    blocks = packed(known, column, rows)
+    n_blocks = blocks.agg(F.max("block")).first()[0] + 1
+    filled = cored(blocks, n_blocks, least)
+    tree = merge_tree(spanning_tree(filled, n_blocks, most), most)
+    chosen = excess_of_mass(tree, least, most)
+    n = F.col("n_left") + F.col("n_right")
+    up = tree.select(F.explode(F.array("left", "right")).alias("side"), "node", n.alias("n"))
+    at = up.where("side >= 0").select(F.col("side").alias("place"), "node", "n")
+    for _ in range(least - 2):  # merges of fewer than `least` grow by one at least on the way up
+        higher = up.where("side < 0").select((-F.col("side") - 1).alias("node"), F.col("node").alias("_node"), F.col("n").alias("_n"))
+        at = at.join(higher, "node", "left").select("place", F.when(F.col("n") < least, F.col("_node")).otherwise(F.col("node")).alias("node"), F.when(F.col("n") < least, F.col("_n")).otherwise(F.col("n")).alias("n"))
+    places = scanned(known.select("vec_id"), [], [F.col("vec_id")]).select("vec_id", F.col("pos").alias("place"))
+    found = written(places.join(at, "place").join(chosen, "node").where("cluster >= 0").select("vec_id", "cluster"), "found")
+    numbers = scanned(found.groupBy("cluster").agg(F.min("vec_id").alias("_low")), [], [F.col("_low")]).select("cluster", F.col("pos").alias("_number"))
+    numbered = found.join(numbers, "cluster").select("vec_id", "_number")
+    return vectors.select("vec_id").join(numbered, "vec_id", "left").select("vec_id", F.coalesce("_number", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def reduced(vectors: DataFrame, dimensions: int = 128, column: str = "embedding") -> DataFrame:
+    """vectors with `column` on its leading principal axes, for density clusters of many long vectors; null vectors stay null.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster": hdbscan_labels(np.stack(pdf[column].to_numpy()).astype(float), least).astype("int64")})
+    Not centred: distances are the same. The covariance is a sum over all vectors.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    return vectors.select("vec_id", column, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "vec_id long, cluster long")
+    known = vectors.where(F.col(column).isNotNull()).withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
+    model = PCA(k=dimensions, inputCol="_v", outputCol="_w").fit(known)
+    out = model.transform(known).withColumn(column, vector_to_array("_w")).select(vectors.columns)
+    return out.unionByName(vectors.where(F.col(column).isNull()).withColumn(column, F.lit(None).cast("array<double>")))

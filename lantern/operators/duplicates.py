@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.components import connected_components
+from lantern.session import written
 
 
 def exact_groups(files: DataFrame, key: str, rank: list[Column], size: str) -> DataFrame:
@@ -15,19 +21,96 @@ def exact_groups(files: DataFrame, key: str, rank: list[Column], size: str) -> D
     return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), best.alias("keeper"), (F.sum(size) - kept).alias("reclaimable")).where("n > 1")
 
 
+WIDE, BLOCK = 12, 4096
+
+
 def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, distance) of distinct 64-bit hashes (column h) within the Hamming threshold, by banding.
+    """(a, b, distance), a < b, of distinct 64-bit hashes (column h) within the Hamming threshold; nothing is missed.
 
-    threshold + 1 bands: two hashes that differ in at most `threshold` bits agree in one band, so nothing is missed. Equal
-    hashes are one row here; their files join by the hash itself.
+    Below WIDE by four indexes of 16 bits, one of which differs by a quarter of the threshold at most: one side asks with
+    all keys of that small ball, so a key has few partners and Spark may split a hot one. From WIDE on such balls hold
+    most keys: blocks of hashes are compared with each other by their bits. Equal hashes are one row here.
     """
-    n = threshold + 1
-    edges = [round(i * 64 / n) for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    keyed = hashes.select("h").distinct().select("h", F.explode(bands).alias("k")).select("h", "k.band", "k.bits")
-    left, right = keyed.withColumnRenamed("h", "a"), keyed.withColumnRenamed("h", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["band", "bits"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.cast("int").alias("distance")).distinct()
+    known = hashes.select("h").where("h is not null").distinct()
+    if threshold >= WIDE:
+        return _blocked(known, threshold, _block_pairs, "a long, b long, distance int")
+    q, rest = divmod(threshold, 4)
+    keys = [F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(4)]
+    held = known.select(F.col("h").alias("b"), F.posexplode(F.array(*keys)).alias("part", "key"))
+    # with rest r, one of the first r + 1 indexes differs by q at most or one of the others by q - 1
+    balls = [_ball(q) if i <= rest else _ball(q - 1) for i in range(4)]
+    asked = known.select(F.col("h").alias("a"), F.explode(F.array(*(F.struct(F.lit(i).alias("part"), k.alias("own"), F.array(*map(F.lit, ball)).alias("ball")) for i, (k, ball) in enumerate(zip(keys, balls)) if ball))).alias("x"))
+    asked = asked.select("a", "x.part", F.explode(F.transform("x.ball", lambda m: m.bitwiseXOR(F.col("x.own")))).alias("key"))
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
+    return asked.join(held, ["part", "key"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
+
+
+def _ball(radius: int) -> list[int]:
+    """All 16-bit masks of at most `radius` bits."""
+    return [sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(16), n)]
+
+
+def near_counts(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(h, n_links) of the distinct hashes: how many others lie within the threshold. No pair is listed."""
+    known = hashes.select("h").where("h is not null").distinct()
+    counts = _blocked(known, threshold, _block_counts, "h long, n long")
+    return known.join(counts.groupBy("h").agg(F.sum("n").alias("n_links")), "h", "left").select("h", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_links(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links with the components of all pairs within the threshold; each pair of blocks gives a forest, not its pairs."""
+    known = hashes.select("h").where("h is not null").distinct()
+    if threshold < WIDE:
+        return near_pairs(hashes, threshold).select("a", "b")
+    return _blocked(known, threshold, _block_forest, "a long, b long")
+
+
+def _blocked(known: DataFrame, threshold: int, work: Callable, schema: str) -> DataFrame:
+    """work(p, q, distances, same) of every two blocks of about BLOCK hashes, each dealt as one row."""
+    blocks = max(1, -(-known.count() // BLOCK))
+    packed = known.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list("h")).alias("hs"))  # about BLOCK a row
+    packed = written(packed, "hash-blocks")
+    left = packed.select(F.col("block").alias("a"), F.col("hs").alias("p")).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))))
+    pairs = left.join(packed.select(F.col("block").alias("b"), F.col("hs").alias("q")), "b").select("a", "b", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                p, q = (one.column(c).flatten().to_numpy() for c in (2, 3))
+                same = one.column(0)[0].as_py() == one.column(1)[0].as_py()
+                near = np.bitwise_count((p[:, None] ^ q[None]).view(np.uint64))  # of signed numbers it would count the absolute value's bits
+                out = work(p, q, near, near <= threshold, same)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[x.split()[0] for x in schema.split(", ")])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _block_pairs(p: np.ndarray, q: np.ndarray, distance: np.ndarray, near: np.ndarray, same: bool) -> tuple:
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
+    return np.minimum(p[i], q[j]), np.maximum(p[i], q[j]), distance[i, j].astype(np.int32)
+
+
+def _block_counts(p: np.ndarray, q: np.ndarray, distance: np.ndarray, near: np.ndarray, same: bool) -> tuple:
+    if same:
+        return p, near.sum(axis=1).astype(np.int64) - 1
+    return np.concatenate((p, q)), np.concatenate((near.sum(axis=1), near.sum(axis=0))).astype(np.int64)
+
+
+def _block_forest(p: np.ndarray, q: np.ndarray, distance: np.ndarray, near: np.ndarray, same: bool) -> tuple:
+    """Each hash and the smallest place that it reaches inside the two blocks."""
+    rows, columns = np.arange(len(p)), np.arange(len(q)) if same else np.arange(len(p), len(p) + len(q))
+    while True:
+        least = np.minimum(rows, np.where(near, columns[None], len(p) + len(q)).min(axis=1, initial=len(p) + len(q)))
+        back = np.minimum(columns, np.where(near, least[:, None], len(p) + len(q)).min(axis=0, initial=len(p) + len(q)))
+        if same:
+            least = back = np.minimum(least, back)
+        if (least == rows).all() and (back == columns).all():
+            break
+        rows, columns = least, back
+    both, place = (p, rows) if same else (np.concatenate((p, q)), np.concatenate((rows, columns)))
+    moved = np.flatnonzero(place != np.arange(len(both)))
+    return both[moved], both[place[moved]]
 
 
 def near_groups(files: DataFrame, threshold: int, dismissed: DataFrame | None = None) -> DataFrame:
@@ -42,7 +125,7 @@ def near_groups(files: DataFrame, threshold: int, dismissed: DataFrame | None =
     if dismissed is None:
         chain = files.join(first, "h").where("file_id <> first").select(F.col("first").alias("a"), F.col("file_id").alias("b"))
         x, y = first.select(F.col("h").alias("a"), F.col("first").alias("x")), first.select(F.col("h").alias("b"), F.col("first").alias("y"))
-        pairs = near_pairs(files.where("h is not null"), threshold).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        pairs = near_links(files, threshold).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = chain.unionByName(pairs)
     else:
         marked = dismissed.select(F.col("a").alias("file_id")).unionByName(dismissed.select(F.col("b").alias("file_id"))).distinct()

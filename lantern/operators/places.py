@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.operators.filters import checked_precision
@@ -43,98 +43,151 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-RINGS = (1.0, 10.0, 60.0)  # degrees; all divide 360
-
-
-def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """points with the nearest city (city_id, km), exact: candidates come from growing rings of grid cells.
-
-    A ring's result stands once no city outside the ring can be nearer; only the points still open go on to the next ring. Points that no ring settles (poles, empty oceans) are compared with all cities, in blocks. points(id, lat, lon), cities(city_id, lat, lon).
-    """
-    grid = cities.select("city_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    out, open_points = None, points.select("id", "lat", "lon").where("lat is not null and lon is not null")
-    for ring in RINGS:
-        near = _within(open_points, grid, ring)
-        best = near.groupBy("id").agg(F.min(F.struct("km", "city_id")).alias("best")).select("id", "best.city_id", "best.km")
-        # a city off by `ring` degrees of longitude is at least this far, one off by as much in latitude farther
-        sure = 2 * EARTH_KM * F.asin(F.cos(F.radians(F.least(F.abs("lat") + ring, F.lit(89.999)))) * F.sin(F.radians(F.lit(ring)) / 2))
-        settled = written(open_points.join(best, "id").where(F.col("km") <= sure).select("id", "city_id", "km"), "settled")
-        out = settled if out is None else out.unionByName(settled)
-        open_points = written(open_points.join(settled.select("id"), "id", "left_anti"), "open")
-        if open_points.isEmpty():
-            return out
-    return out.unionByName(_far(open_points, grid))
-
-
-def _within(points: DataFrame, cities: DataFrame, ring: float) -> DataFrame:
-    """Pairs within one cell of width `ring` of each other in both axes, longitude wrapped."""
-    wide = round(360 / ring)
-    lat_cell, lon_cell = F.floor((F.col("lat") + 90) / ring), F.floor((F.col("lon") + 180) / ring)
-    p = points.withColumn("_i", F.explode(F.array(*(lat_cell + d for d in (-1, 0, 1))))).withColumn("_j", F.explode(F.array_distinct(F.array(*(F.pmod(lon_cell + d, F.lit(wide)) for d in (-1, 0, 1))))))
-    c = cities.withColumn("_i", F.floor((F.col("c_lat") + 90) / ring)).withColumn("_j", F.pmod(F.floor((F.col("c_lon") + 180) / ring), F.lit(wide)))
-    return p.join(c, ["_i", "_j"]).select("id", "city_id", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"))
-
-
-def _far(points: DataFrame, cities: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """Nearest cities of the points that no ring settles: one pass over them for each block of `most_bytes` of the gazetteer.
-
-    A block is broadcast; each pass keeps its best city of every point, and the best of the passes' is taken.
+LEAF = 64
+
+
+def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack((np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)), axis=1)
+
+
+class BallTree:
+    """Cities in leaves of LEAF at most, each inside a ball of unit vectors; leaves are halved along their widest axis."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        self.ids, self.at = ids, at
+        spots = unit_vectors(at[:, 0], at[:, 1])
+        leaves, todo = [], [np.arange(len(ids))] if len(ids) else []
+        while todo:
+            own = todo.pop()
+            if len(own) <= LEAF:
+                leaves.append(np.sort(own))
+                continue
+            axis = np.ptp(spots[own], axis=0).argmax()
+            own = own[np.argsort(spots[own, axis], kind="stable")]
+            todo += [own[: len(own) // 2], own[len(own) // 2 :]]
+        self.centres = np.array([spots[x].mean(axis=0) for x in leaves]).reshape(-1, 3)
+        self.radii = np.array([np.sqrt(((spots[x] - c) ** 2).sum(axis=1)).max() for x, c in zip(leaves, self.centres)])
+        self.members = np.array([np.resize(x, LEAF) for x in leaves], int).reshape(-1, LEAF)  # short ones repeat
+
+    def nearest(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """The nearest city's place for each point, the smallest id of equal distances to 15 places."""
+        out = np.zeros(len(lat), int)
+        step = max(1, (1 << 20) // max(1, len(self.radii)))
+        for i in range(0, len(lat), step):
+            out[i : i + step] = self._block(lat[i : i + step], lon[i : i + step])
+        return out
+
+    def _block(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        low = np.sqrt(((unit_vectors(lat, lon)[:, None] - self.centres[None]) ** 2).sum(axis=2)) - self.radii
+        low = np.square(np.maximum(low, 0) / 2) - 1e-12  # of the squared half chord, which is the haversine's inside
+        order = np.argsort(low, axis=1)
+        best, place = np.full(len(lat), np.inf), np.zeros(len(lat), int)
+        p, q = np.radians(lat), np.radians(lon)
+        for k in range(len(self.radii)):
+            leaf = order[:, k]
+            rows = np.flatnonzero(low[np.arange(len(lat)), leaf] <= best)
+            if not len(rows):
+                break
+            members = self.members[leaf[rows]]
+            c_lat, c_lon = np.radians(self.at[members]).transpose(2, 0, 1)
+            apart = np.sin((c_lat - p[rows, None]) / 2) ** 2 + np.cos(p[rows, None]) * np.cos(c_lat) * np.sin((c_lon - q[rows, None]) / 2) ** 2
+            apart = np.round(apart, 15)
+            value = apart.min(axis=1)
+            ids = np.where(apart == value[:, None], self.ids[members], np.iinfo(np.int64).max)
+            first = ids.argmin(axis=1)
+            found = members[np.arange(len(rows)), first]
+            better = (value < best[rows]) | ((value == best[rows]) & (self.ids[found] < self.ids[place[rows]]))
+            best[rows[better]], place[rows[better]] = value[better], found[better]
+        return place
+
+
+def nearest_city(points: DataFrame, cities: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """(id, city_id, km): the nearest city of each point, exact, the smallest city_id on ties.
+
+    points(id, lat, lon), cities(city_id, lat, lon); rows without a place take no part, an empty gazetteer gives an
+    empty result. One Arrow pass over the points for every `most_bytes` of the gazetteer, whose ball tree is broadcast:
+    a leaf is looked into only while its ball may hold a nearer city.
     """
     spark = points.sparkSession
-    parts = max(1, -(-cities.count() * 24 // most_bytes))
+    grid = cities.where("lat is not null and lon is not null").select(F.col("city_id").cast("long").alias("city_id"), F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon"))
+    asked = points.where("lat is not null and lon is not null").select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    parts = max(1, -(-grid.count() * 24 // most_bytes))
     best = None
     for part in range(parts):
-        rows = cities.where(F.pmod(F.xxhash64("city_id"), F.lit(parts)) == part).orderBy("city_id").select("city_id", "c_lat", "c_lon").toPandas()
-        block = spark.sparkContext.broadcast((rows["city_id"].to_numpy(np.int64), rows[["c_lat", "c_lon"]].to_numpy(np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, at = block.value
-            if not len(ids):
-                return
-            lat, lon = np.radians(at).T
-            step = max(1, (1 << 21) // len(ids))
+        rows = grid.where(F.pmod(F.xxhash64("city_id"), F.lit(parts)) == part).orderBy("city_id", "c_lat", "c_lon").toPandas()  # `most_bytes` or so
+        tree = spark.sparkContext.broadcast((rows["city_id"].to_numpy(np.int64), rows[["c_lat", "c_lon"]].to_numpy(np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, at = tree.value
+            grown = BallTree(ids, at)
             for batch in batches:
-                own = np.radians(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]))
-                near = []
-                for i in range(0, own.shape[1], step):
-                    p, q = own[:, i : i + step, None]
-                    apart = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
-                    near.append(np.round(apart, 15).argmin(axis=1))  # equal distances go to the smallest city_id
-                if near:
-                    k = np.concatenate(near)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids[k]), pa.array(at[k, 0]), pa.array(at[k, 1])], names=["id", "lat", "lon", "city_id", "c_lat", "c_lon"])
-
-        found = points.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).mapInArrow(run, "id long, lat double, lon double, city_id long, c_lat double, c_lon double")
-        found = found.select("id", F.struct(haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"), "city_id").alias("best"))
+                if len(ids) and batch.num_rows:
+                    k = grown.nearest(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[k]), pa.array(at[k, 0]), pa.array(at[k, 1])], names=["id", "lat", "lon", "city_id", "c_lat", "c_lon"])
+
+        found = asked.mapInArrow(run, "id long, lat double, lon double, city_id long, c_lat double, c_lon double")
+        km = haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
+        found = found.select("id", F.struct(F.round(km, 6).alias("_near"), "city_id", km.alias("km")).alias("best"))
         best = found if best is None else best.unionByName(found)
     return best.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.city_id", "best.km")
 
 
-def points_in_polygons(points: DataFrame, polygons: list[tuple[str, list[list[tuple[float, float]]]]]) -> DataFrame:
-    """points(id, lat, lon) with `name` of the first polygon that holds them, null if none.
+POLYGONS = "place int, name string, rings array<array<struct<x:double,y:double>>>"
+
+
+def topojson_polygons(spark: SparkSession, path: str, object_name: str, name: str = "name") -> DataFrame:
+    """(place, name, rings) of an object's polygons in a TopoJSON file, rings as (x, y) in degrees; a multipolygon is one row.
 
-    polygons: (name, rings of (lon, lat)), an atlas of fixed size. Even-odd rule over a polygon's rings; its bounding box
-    comes first.
+    Arcs are decoded in columns: running sums of their steps, scaled and moved; a ring's arcs are joined by number, a
+    negative one backwards, and each after the first without its first point. Other geometries have no row.
     """
-    atlas = [(name, [np.array(r, float) for r in rings]) for name, rings in polygons]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lat, lon = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
-            names = np.full(len(lat), None, object)
-            for name, rings in atlas:
-                box = np.concatenate(rings)
-                at = np.flatnonzero((names == None) & (lon >= box[:, 0].min()) & (lon <= box[:, 0].max()) & (lat >= box[:, 1].min()) & (lat <= box[:, 1].max()))  # noqa: E711
-                inside = np.zeros(len(at), bool)
-                for r in rings:
-                    for (x1, y1), (x2, y2) in zip(r, np.roll(r, -1, axis=0), strict=True):
-                        cross = (y1 > lat[at]) != (y2 > lat[at])
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            inside ^= cross & (lon[at] < (x2 - x1) * (lat[at] - y1) / (y2 - y1) + x1)
-                names[at[inside]] = name
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names.tolist(), pa.string())], names=["id", "lat", "lon", "name"])
-
-    return points.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).mapInArrow(run, "id long, lat double, lon double, name string")
+    schema = "transform struct<scale:array<double>,translate:array<double>>, arcs array<array<array<double>>>, objects map<string,struct<geometries:array<string>>>"
+    top = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("t")).select("t.*")
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    step = lambda s, d: F.concat(s, F.array(F.array(F.coalesce(F.element_at(s, -1)[0], F.lit(0.0)) + d[0], F.coalesce(F.element_at(s, -1)[1], F.lit(0.0)) + d[1])))
+    start = F.slice(F.array(zero), 1, 0)
+    arcs = top.select("transform", F.posexplode("arcs").alias("arc", "steps"))
+    quantised = F.col("transform").isNotNull()
+    at = lambda p, i: F.when(quantised, p[i] * F.col("transform.scale")[i] + F.col("transform.translate")[i]).otherwise(p[i])
+    spots = F.when(quantised, F.aggregate("steps", start, lambda s, d: F.when(F.size(s) == 0, F.array(F.array(d[0], d[1]))).otherwise(step(s, d)))).otherwise(F.col("steps"))
+    decoded = arcs.select("arc", F.transform(spots, lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y"))).alias("points"))
+    shapes = top.select(F.posexplode(F.col("objects")[object_name]["geometries"]).alias("place", "g"))
+    shapes = shapes.select("place", F.from_json("g", f"type string, properties map<string,string>, arcs string").alias("g")).select("place", F.col("g.type").alias("type"), F.col("g.properties")[name].alias("name"), F.col("g.arcs").alias("arcs"))
+    rings = shapes.select("place", "name", F.when(F.col("type") == "Polygon", F.from_json("arcs", "array<array<int>>")).when(F.col("type") == "MultiPolygon", F.flatten(F.from_json("arcs", "array<array<array<int>>>"))).alias("rings"))
+    parts = rings.select("place", "name", F.posexplode("rings").alias("ring", "arcs")).select("place", "name", "ring", F.posexplode("arcs").alias("nth", "i"))
+    joined = parts.withColumn("arc", F.when(F.col("i") < 0, -F.col("i") - 1).otherwise(F.col("i"))).join(decoded, "arc")
+    way = F.when(F.col("i") < 0, F.reverse("points")).otherwise(F.col("points"))
+    joined = joined.withColumn("points", F.when(F.col("nth") == 0, way).otherwise(F.slice(way, F.lit(2), F.greatest(F.size(way) - 1, F.lit(0)))))
+    ring = joined.groupBy("place", "name", "ring").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "points"))), lambda s: s["points"])).alias("points"))
+    return ring.groupBy("place", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda s: s["points"]).alias("rings")).select(F.col("place").cast("int").alias("place"), "name", "rings")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame | list[tuple[str, list[list[tuple[float, float]]]]], cell: float = 1.0) -> DataFrame:
+    """points(id, lat, lon) with `name` of the first polygon that holds them, null if none; even-odd rule over a polygon's rings.
+
+    polygons: rows (place, name, rings), or (name, rings of (lon, lat)) in order. An edge is a row for each row of
+    cells of `cell` degrees that it crosses; what a polygon's edges span in a row covers the cells where it can hold a
+    point. Points meet polygons by their cell, then those polygons' edges by the row: equi-joins, of any atlas's size.
+    """
+    spark = points.sparkSession
+    if not isinstance(polygons, DataFrame):
+        polygons = spark.createDataFrame([(i, name, [[(float(x), float(y)) for x, y in r] for r in rings]) for i, (name, rings) in enumerate(polygons)], POLYGONS)
+    own = points.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    ring = polygons.select("place", F.explode("rings").alias("r")).where(F.size("r") > 0)
+    edge = ring.select("place", F.explode(F.arrays_zip(F.col("r").alias("p"), F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1)).alias("q"))).alias("e"))
+    edge = edge.select("place", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
+    row = lambda v: F.floor(v / cell)
+    edge = written(edge.withColumn("row", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2"))))), "polygon-edges")
+    spans = edge.groupBy("place", "row").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"))
+    cover = spans.select("place", "row", F.explode(F.sequence(row(F.col("w")), row(F.col("e")))).alias("column"))
+    spot = own.where("lat is not null and lon is not null").withColumn("row", row(F.col("lat"))).withColumn("column", row(F.col("lon")))
+    near = spot.join(cover, ["row", "column"]).select("id", "lat", "lon", "place", "row")
+    crosses = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
+    east = F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1")
+    hits = near.join(edge, ["place", "row"]).where(crosses & east).groupBy("id", "place").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    first = hits.groupBy("id").agg(F.min("place").alias("place")).join(polygons.select("place", "name"), "place").select(F.col("id").alias("_id"), "name")
+    return own.join(first, F.col("id") == F.col("_id"), "left").select("id", "lat", "lon", "name")
 
 
 def pin_radius(count: Column, largest: Column) -> Column:

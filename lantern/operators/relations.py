@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.ordered import scanned
+
 
 def flagged(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
     """df with a boolean: whether its key is among the members."""
@@ -71,12 +73,9 @@ def latest_per(df: DataFrame, key: str, order: str) -> DataFrame:
 def evictions(cache: DataFrame, budget: int, target: float = 0.9) -> DataFrame:
     """The oldest cache entries to drop so that the rest fits target * budget; none while the total is within the budget.
 
-    cache(path, size, mtime). The running sum is taken over days first, then inside the day where the cut falls.
+    cache(path, size, mtime). The running sum is a prefix scan: no task holds more than its part of the order.
     """
     total = cache.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    days = cache.groupBy(F.to_date("mtime").alias("day")).agg(F.sum("size").alias("day_size"))
-    before = days.withColumn("before", F.coalesce(F.sum("day_size").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("day").orderBy("mtime", "path").rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rows = cache.withColumn("day", F.to_date("mtime")).join(before.select("day", "before"), "day").withColumn("freed", freed).crossJoin(total)  # total is one row
-    return rows.where((F.col("total") > budget) & (F.col("total") - F.col("freed") > target * budget)).select("path", "size", "mtime")
+    freed = scanned(cache.select("path", F.col("size").alias("_size"), "mtime"), [], [F.col("mtime"), F.col("path")], sums={"_freed": F.col("_size")})
+    rows = freed.withColumn("_freed", F.col("_freed") - F.coalesce("_size", F.lit(0))).crossJoin(total)  # total is one row
+    return rows.where((F.col("total") > budget) & (F.col("total") - F.col("_freed") > target * budget)).select("path", F.col("_size").alias("size"), "mtime")

@@ -5,32 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.ordered import scanned
+
 GAP_SECONDS, LEAST_FILES, SAMPLE = 6 * 3600, 3, 400
 
 
 def gap_sessions(files: DataFrame, keys: list[str] = [], gap: int = GAP_SECONDS) -> DataFrame:  # noqa: B006
     """files(keys, file_id, ts in epoch seconds) with session, the start second of its run: a new one begins after more than `gap`.
 
-    Without keys the timeline is cut into spans of days first, so no window holds it whole: session starts are found
-    inside each day and at its first row by the day before that has rows, and each row takes the latest start up to it.
+    Without keys two prefix scans find the starts and carry them on, so no window holds the timeline or a day of it.
     """
     if keys:
         w = Window.partitionBy(*keys).orderBy("ts", "file_id")
         start = F.when(F.col("ts") - F.lag("ts").over(w) <= gap, None).otherwise(F.col("ts"))
         return files.withColumn("_start", start).withColumn("session", F.last("_start", ignorenulls=True).over(w)).drop("_start")
-    day = F.floor(F.col("ts") / 86400)
-    cut = files.withColumn("_day", day)
-    days = cut.groupBy("_day").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-    over = Window.orderBy("_day")  # a row per day
-    opens = F.coalesce(F.col("_first") - F.lag("_last").over(over) > gap, F.lit(True))
-    w = Window.partitionBy("_day").orderBy("ts", "file_id")
-    marked = cut.join(days.select("_day", "_first", opens.alias("_opens")), "_day")
-    before = F.lag("ts").over(w)
-    start = F.when(before.isNull(), F.when(F.col("_opens"), F.col("ts"))).when(F.col("ts") - before > gap, F.col("ts"))
-    marked = marked.withColumn("_start", start).withColumn("_in_day", F.last("_start", ignorenulls=True).over(w))
-    carried = marked.groupBy("_day").agg(F.max("_start").alias("_latest"))
-    carried = carried.select("_day", F.last("_latest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    return marked.join(carried, "_day").withColumn("session", F.coalesce("_in_day", "_carried")).select(*files.columns, "session")
+    order = [F.col("ts"), F.col("file_id")]
+    seen = scanned(files, [], order, before={"_before": F.col("ts")}).select(*files.columns, "_before")
+    start = F.when(F.col("ts") - F.col("_before") <= gap, None).otherwise(F.col("ts"))
+    return scanned(seen, [], order, latest={"session": start}).select(*files.columns, "session")
 
 
 def session_bounds(sessions: DataFrame, keys: list[str], least: int = LEAST_FILES) -> DataFrame:

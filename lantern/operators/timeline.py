@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.filters import clamped
+from lantern.operators.ordered import scanned
+
 
 def newest() -> list[Column]:
     """Timeline order."""
@@ -42,18 +44,9 @@ def page_after(df: DataFrame, taken_at: Column, file_id: Column, limit: int) ->
 
 
 def neighbours(df: DataFrame) -> DataFrame:
-    """Each item's previous and next file in timeline order, by day first so that no window holds the whole timeline.
-
-    Within a day lag and lead; at its ends the adjoining day's last or first item.
-    """
-    day = F.to_date("taken_at")
-    w = Window.partitionBy(day).orderBy(*newest())
-    inside = df.select("*", day.alias("_day"), F.lag("file_id").over(w).alias("_prev"), F.lead("file_id").over(w).alias("_next"))
-    key = F.struct("taken_at", "file_id")
-    days = df.groupBy(day.alias("_day")).agg(F.max_by("file_id", key).alias("_first"), F.min_by("file_id", key).alias("_last"))
-    over = Window.orderBy(F.desc("_day"))  # a row per day
-    ends = days.select("_day", F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
-    return inside.join(ends, "_day").select("file_id", F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id"))
+    """Each item's previous and next file in timeline order, by a prefix scan: a day may hold any share of the items."""
+    found = scanned(df.select("file_id", "taken_at"), [], newest(), before={"prev_id": F.col("file_id")}, behind={"next_id": F.col("file_id")})
+    return found.select("file_id", "prev_id", "next_id")
 
 
 def nearest_bucket(buckets: DataFrame, at: Column) -> DataFrame:

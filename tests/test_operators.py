@@ -111,10 +111,10 @@ def test_far_points_against_brute_force(spark):
     cities += [(i + 100, a, b) for i, a, b in cities]
     km = lambda p, c: 2 * places.EARTH_KM * math.asin(math.sqrt(math.sin(math.radians(c[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(c[1])) * math.sin(math.radians(c[2] - p[2]) / 2) ** 2))
     expected = [(p[0], min((round(km(p, c), 6), c[0]) for c in cities)[1]) for p in points]
-    frames = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(cities, "city_id long, c_lat double, c_lon double")
+    frames = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(cities, "city_id long, lat double, lon double")
     for size in (64 << 20, 480):
-        assert values(places._far(*frames, size), "id", "city_id") == expected
-    assert places._far(frames[0], frames[1].limit(0)).isEmpty()
+        assert values(places.nearest_city(*frames, size), "id", "city_id") == expected
+    assert places.nearest_city(frames[0], frames[1].limit(0)).isEmpty()
 
 
 def test_sidecar_rules(spark):
@@ -205,12 +205,11 @@ def test_sources(spark, tmp_path):
 def test_hdbscan_finds_planted_clusters(spark):
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(c, 0.05, (20, 8)) for c in (0, 3, -3)] + [rng.uniform(-10, 10, (5, 8))])
-    labels = clusters.hdbscan_labels(points)
-    assert [len(set(labels[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1] and len(set(labels[:60])) == 3 and -1 not in labels[:60]
     frame = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
-    assert [r[1] for r in values(clusters.hdbscan(frame), "vec_id", "cluster")] == labels.tolist()
-    with pytest.raises(ValueError):
-        clusters.hdbscan(frame, exact_rows=10)
+    labels = np.array([r[1] for r in values(clusters.hdbscan(frame), "vec_id", "cluster")])
+    assert [len(set(labels[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1] and len(set(labels[:60])) == 3 and -1 not in labels[:60]
+    near = clusters.reduced(frame, 5)
+    assert near.select(F.size("embedding").alias("n")).distinct().collect()[0]["n"] == 5 and [r[1] for r in values(clusters.hdbscan(near), "vec_id", "cluster")][:60] == labels[:60].tolist()
 
 
 def test_cluster_merging_respects_names():
