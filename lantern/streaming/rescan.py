@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from lantern.operators.changes import fingerprint, upsert
-from lantern.session import remove
+from lantern.streaming.ranges import RANGES, change_ranges, fingerprint_of, pointer, read_ranges
 
 
 def listing_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,28 +16,20 @@ def listing_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def keep_catalog(stream: DataFrame, catalog_path: str, keys: list[str], order: str, checkpoint: str, downstream: Callable[[DataFrame], None] | None = None, versions: int = 3) -> StreamingQuery:
-    """Upsert each micro-batch into the Parquet catalog of versions below catalog_path; run downstream only if its fingerprint changed.
+def keep_catalog(stream: DataFrame, catalog_path: str, keys: list[str], order: str, checkpoint: str, downstream: Callable[[DataFrame], None] | None = None, versions: int = 3, ranges: int = RANGES) -> StreamingQuery:
+    """Upsert each micro-batch into the catalog in key ranges at catalog_path; run downstream only if its fingerprint changed.
 
-    Every batch writes a new version folder named after its id and reads the highest one before, so a replayed batch
-    writes the same version again and a lost executor costs a retry. Of the versions the last `versions` (2 at least) stay.
+    A batch rewrites the ranges that it touches, behind one pointer. The catalog goes on from its newest state whatever
+    the checkpoint; a batch that the same checkpoint replays is applied once. The last `versions` states (2 at least) can
+    be read. Read the catalog with ranges.read_ranges().
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        out = f"{catalog_path}/version={batch_id:012d}"
-        if batch_id:
-            old = spark.read.parquet(f"{catalog_path}/version={batch_id - 1:012d}")
-            new = upsert(old, batch.select(old.columns), keys, order)
-        else:
-            old, new = None, upsert(batch.limit(0), batch, keys, order)
-        new.write.mode("overwrite").parquet(out)
-        if downstream is not None:
-            now = spark.read.parquet(out)
-            if old is None or fingerprint(old).head() != fingerprint(now).head():
-                downstream(now)
-        if batch_id >= max(versions, 2):
-            remove(spark, f"{catalog_path}/version={batch_id - max(versions, 2):012d}")
+        before = fingerprint_of(pointer(spark, catalog_path))
+        after = fingerprint_of(change_ranges(batch, catalog_path, keys, order, ranges, versions, [checkpoint, batch_id]))
+        if downstream is not None and before != after:
+            downstream(read_ranges(spark, catalog_path))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
