@@ -22,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.llm.words import free_names
 from lantern.session import written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-NEWTON_STEPS, CLOSE = 40, 1e-9
+NEWTON_STEPS, CLOSE = 200, 1e-9
 RIDGE = 0.01
 BIN_BITS, LEVELS = 12, 2
 PLACES = 62
@@ -106,6 +107,8 @@ def tilted_rates(targets: DataFrame, sized: DataFrame, steps: int = NEWTON_STEPS
         move = (F.col("g") + F.col("c") * F.lit(step)) / F.col("h")
         state = sums.select("source", (F.col("x") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move))).alias("x"))
         b += step
+    else:
+        raise ArithmeticError(f"the rates are not settled after {steps} Newton steps")
     out = targets.alias("t").join(state.select("source", "x").alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left").select("t.*", "s.x")
     rate = F.when(F.col("x").isNotNull(), F.least(F.exp(F.col("x") + F.lit(b) * z), F.lit(most))).when(F.col("target") > 0, F.lit(most)).otherwise(F.lit(0.0))
     return written(out, "tilts"), rate
@@ -165,7 +168,8 @@ def mix(documents: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
 
 def mixed_documents(documents: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of documents as often as mix() takes them; documents that it takes no time are gone. Edge cases as in mix()."""
-    times = mix(documents.select("doc_id", "source", "text"), share, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("copies").alias("_copies")).distinct()
-    keyed = documents.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    same = F.col("_own").eqNullSafe(F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    return keyed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(documents.columns)
+    own, copy, doc, of, key, copies = free_names(documents, "_own", "_copy", "_id", "_source", "_key", "_copies")
+    times = mix(documents.select("doc_id", "source", "text"), share, most).where("copies > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(of), F.col("key").alias(key), F.col("copies").alias(copies)).distinct()
+    keyed = documents.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    same = F.col(own).eqNullSafe(F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(of))
+    return keyed.join(times, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(documents.columns)

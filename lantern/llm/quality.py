@@ -137,6 +137,6 @@ def score_quality(documents: DataFrame, labels: DataFrame, ngram: int = NGRAM, b
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that score_quality() keeps, with their own columns, also those named like a figure."""
     taken = {x.split()[0] for x in BASE_SCHEMA.split(", ")} | {"llr", "kept"}
-    away = {c: f"own_{i}_{c}" for i, c in enumerate(documents.columns) if c in taken}
+    away = {c: f"own_{i}_{c}" for i, c in enumerate(documents.columns) if c.lower() in taken}
     scored = score_quality(documents.withColumnsRenamed(away), labels).where("kept")
     return scored.select(*(F.col(away.get(c, c)).alias(c) for c in documents.columns))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.llm.words import free_names
 from lantern.session import written
 
 SCOPE, RUN = 160, 256
@@ -123,12 +124,18 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents with every reported span of text replaced by [secret]; overlapping spans become one; null text stays null."""
+    """documents with every reported span of text replaced by [secret]; overlapping spans become one; null text stays null.
+
+    Repeated rows are changed alike; an empty table gives an empty one; all other columns stay, whatever their names.
+    """
     text = F.col("text").cast("string")
+    row, doc, hits, own = free_names(documents, "_row", "_doc", "_spans", "_own")
     found = written(parts(documents), "secrets")
-    extra = linked(found).select(F.col("row_key").alias("_row"), F.col("weak").alias("_weak"))
-    hit = found.where(F.size("base") > 0).select(F.col("row_key").alias("_row"), F.col("base").alias("_base")).dropDuplicates(["_row"])
-    spans = written(hit.join(extra, "_row", "full").select("_row", F.array_sort(F.concat(F.coalesce("_base", F.array().cast(PART)), F.coalesce("_weak", F.array().cast(PART)))).alias("_spans")), "redact")
+    extra = linked(found).select(F.col("row_key").alias(row), F.col("weak").alias("_weak"))
+    none = F.array().cast(PART)
+    all_spans = F.array_sort(F.concat("base", F.coalesce("_weak", none)))
+    spans = found.withColumnRenamed("row_key", row).join(extra, row, "left").select(row, F.col("doc_id").alias(doc), all_spans.alias(hits)).where(F.size(hits) > 0)
+    spans = written(spans.dropDuplicates([row, doc]), "redact")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -136,7 +143,7 @@ def redact(documents: DataFrame) -> DataFrame:
         piece = F.array(text.substr(state["at"] + F.lit(1), s["start"] - state["at"]), F.lit("[secret]"))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
-    cleaned = F.aggregate("_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + F.lit(1), F.length(text))))
-    keyed = documents.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))))
-    out = keyed.join(spans, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cleaned))
-    return out.select(documents.columns)
+    cleaned = F.aggregate(hits, start, step, lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + F.lit(1), F.length(text))))
+    keyed = documents.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))))
+    out = keyed.join(spans, (F.col(own) == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    return out.withColumn("text", F.when(F.col(hits).isNull(), text).otherwise(cleaned)).select(documents.columns)

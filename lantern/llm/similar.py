@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lantern.operators.components import connected_components
 from lantern.llm.simhash import RADIUS, majority, near_links
-from lantern.llm.words import chunks, prefix_hashes, released, small_batches, span_hashes, word_spans
+from lantern.llm.words import chunks, free_names, prefix_hashes, released, small_batches, span_hashes, word_spans
 from lantern.session import drop_written, written
 
 SHINGLE, PART, OF = 5, 4, 5
@@ -171,8 +171,8 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def _grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (key, doc_id, sig) of keyed documents, and (sig, root, best): each set's group and its least (no doc_id, doc_id, key)."""
-    small_batches(documents.sparkSession)
-    rows = written(_prefixes(documents), "prefixes")
+    with small_batches(documents.sparkSession):
+        rows = written(_prefixes(documents), "prefixes")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
     points = written(rows.groupBy("sig").agg(F.min("key").alias("first"), least_row, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")), "points")
     firsts = rows.join(points.select("sig", F.col("first").alias("key")), ["sig", "key"], "left_semi")
@@ -225,8 +225,10 @@ def without_copies(documents: DataFrame) -> DataFrame:
     Repeated rows become one.
     """
     rows, placed = _grouped(keyed(documents))
-    kept = placed.groupBy("root").agg(F.min("best").alias("least")).select(F.col("least.key").alias("_key"))
-    out = documents.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, "_key", "left_semi")
-    if rows.count() > rows.select("key").distinct().count():
-        out = out.dropDuplicates(["_key"])
+    key, named = free_names(documents, "_key", "_named")
+    kept = placed.groupBy("root").agg(F.min("best").alias("least")).select(F.col("least.key").alias(key), F.col("least.doc_id").alias(named))
+    own = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(named, F.col("doc_id").cast("long"))
+    out = own.alias("o").join(kept.alias("k"), (F.col(f"o.{key}") == F.col(f"k.{key}")) & F.col(f"o.{named}").eqNullSafe(F.col(f"k.{named}")), "left_semi")
+    if rows.count() > rows.select("key", "doc_id").distinct().count():
+        out = out.dropDuplicates([key, named])
     return out.select(documents.columns)

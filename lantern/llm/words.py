@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
@@ -81,10 +82,27 @@ def joined(texts: list[bytes], separator: bytes = b"\n") -> tuple[bytes, np.ndar
     return b"".join(x for t in texts for x in (t, separator)), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let the session send texts by BATCH_ROWS rows where it has Spark's default of 10,000: both sides hold a whole batch."""
-    if spark.conf.get(BATCH) == "10000":
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Send texts by BATCH_ROWS rows where the session has Spark's default of 10,000, in what is written inside; both sides hold a whole batch."""
+    before = spark.conf.get(BATCH)
+    if before == "10000":
         spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column is called so in any case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def released() -> None:
