@@ -115,3 +115,11 @@ def test_scan_carries_over_partitions(spark):
             assert (r["pos"], r["size"], r["total"], r["seen"]) == (k, len(mine), total, seen)
             assert r["prev"] == (mine[k - 1][2] if k else None) and r["next"] == (mine[k + 1][2] if k + 1 < len(mine) else None)
     assert ordered.scanned(df.where("false"), [], [F.col("t")], sums={"total": F.col("i")}).count() == 0
+
+
+def test_query_over_all_embeddings(spark, sf_dir):
+    from lantern.plans.catalogue import QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    got = dict(map(tuple, QUERIES["density_clusters"](spark, sf_dir).collect()))
+    assert got == brute(np.array([r["embedding"] for r in rows], float), [r["vec_id"] for r in rows], 4)
