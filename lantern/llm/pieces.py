@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lantern.llm.words import chunks, mixed, prefix_hashes, span_hashes
 
 ZIPF = 10.0
-MOST_EDGES = 3_900_000
+MOST_EDGES = 7_000_000
 NOISE = 23.0  # above -log(-log(u)) for the largest u below 1 that uniform() gives
 MARGIN = 3.0
 DECODED = 1 << 16
@@ -205,9 +205,10 @@ def build_lattice(units: list[bytes], vocabulary: Vocabulary) -> Lattice:
 
 
 class LatticeCache:
-    """The lattices of the units met so far in a task, in growing arrays; begun anew beyond MOST_EDGES."""
+    """The lattices of the units met so far in a task, in growing arrays; begun anew beyond `most_edges`."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_edges: int = MOST_EDGES) -> None:
+        self.most_edges = most_edges
         self.clear()
 
     def clear(self) -> None:
@@ -225,7 +226,7 @@ class LatticeCache:
 
     def starts(self, joined_text: bytes, data: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """The lattice position at which each unit of the text starts; new units are built and kept."""
-        if self.edges > MOST_EDGES:
+        if self.edges > self.most_edges:
             self.clear()
         keys = span_hashes(prefix_hashes(data), at[:-1], at[1:]) | np.uint64(1)
         known, value = self.units.find(keys)
@@ -410,19 +411,20 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     return joined_pieces(ids, vocabulary)[0][1:]
 
 
-def encode_samples(documents: DataFrame, model: str, k: int = SAMPLES, seed: int = 0) -> DataFrame:
+def encode_samples(documents: DataFrame, model: str, k: int = SAMPLES, seed: int = 0, most_edges: int = MOST_EDGES) -> DataFrame:
     """(doc_id, sample, ids, n_pieces, log_prob, inclusion, round_trip).
 
     Up to k rows per document, sample 1 .. k by falling perturbed value; fewer where the lattice has fewer paths. Null
     and empty texts have one sample without pieces. The row key is doc_id (null: 0), so repeated rows get equal samples.
     An empty table gives an empty result; other columns are ignored. `model` is the path of a SentencePiece file, read by
     the driver. Equal perturbed values, which need equal hashes, are taken in the order of their nodes.
+    `most_edges` bounds the lattices that a task keeps, some 30 bytes each; it changes time and memory, no result.
     """
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model))  # the vocabulary file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, lattice = shared.value, LatticeCache()
+        vocabulary, lattice = shared.value, LatticeCache(most_edges)
         for batch, texts in chunks(batches, most=1 << 18):
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             keys = mixed(np.array(doc_id.fill_null(0).to_pylist(), np.int64).view(np.uint64), seed)
