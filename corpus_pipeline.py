@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every row; copies of a document give equal rows."""
-    return encode_samples(docs, TOKENIZER)
+    return encode_samples(docs, TOKENIZER, most_edges=3_900_000)
 
 
 STAGES = [("quality_rules", quality), ("simhash_dedup", near_dedup), ("secret_scan", secrets), ("source_mixing", mixing), ("piece_encoding", encoding)]
