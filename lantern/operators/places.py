@@ -153,7 +153,7 @@ def topojson_polygons(spark: SparkSession, path: str, object_name: str, name: st
     spots = F.when(quantised, F.aggregate("steps", start, lambda s, d: F.when(F.size(s) == 0, F.array(F.array(d[0], d[1]))).otherwise(step(s, d)))).otherwise(F.col("steps"))
     decoded = arcs.select("arc", F.transform(spots, lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y"))).alias("points"))
     shapes = top.select(F.posexplode(F.col("objects")[object_name]["geometries"]).alias("place", "g"))
-    shapes = shapes.select("place", F.from_json("g", f"type string, properties map<string,string>, arcs string").alias("g")).select("place", F.col("g.type").alias("type"), F.col("g.properties")[name].alias("name"), F.col("g.arcs").alias("arcs"))
+    shapes = shapes.select("place", F.from_json("g", "type string, properties map<string,string>, arcs string").alias("g")).select("place", F.col("g.type").alias("type"), F.col("g.properties")[name].alias("name"), F.col("g.arcs").alias("arcs"))
     rings = shapes.select("place", "name", F.when(F.col("type") == "Polygon", F.from_json("arcs", "array<array<int>>")).when(F.col("type") == "MultiPolygon", F.flatten(F.from_json("arcs", "array<array<array<int>>>"))).alias("rings"))
     parts = rings.select("place", "name", F.posexplode("rings").alias("ring", "arcs")).select("place", "name", "ring", F.posexplode("arcs").alias("nth", "i"))
     joined = parts.withColumn("arc", F.when(F.col("i") < 0, -F.col("i") - 1).otherwise(F.col("i"))).join(decoded, "arc")

@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lantern.operators import duplicates, places, vectors
 
@@ -155,4 +154,3 @@ def test_topojson(spark, tmp_path):
     (tmp_path / "plain.json").write_text(json.dumps({"arcs": [[[0, 0], [2, 0], [2, 2], [0, 0]]], "objects": {"o": {"geometries": [{"type": "Polygon", "properties": {}, "arcs": [[0]]}]}}}))
     one = places.topojson_polygons(spark, str(tmp_path / "plain.json"), "o").first()
     assert one["name"] is None and [(p["x"], p["y"]) for p in one["rings"][0]] == [(0, 0), (2, 0), (2, 2), (0, 0)]
-    assert F is not None
