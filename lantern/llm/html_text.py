@@ -2,9 +2,11 @@
 
 1. Markup is stripped into lines, one per block-level element. Elements that HTML or their class, id or role set apart
    (scripts, styles, menus, headers and footers of the page, sidebars, forms, notices, adverts, reader comments) leave
-   blank lines in their place: `window` of them at the page's top level, one inside a container. Outside <article> and
-   <main> every edge of a container leaves one too; where a page has an <article> or <main> with text, all else is blank.
-2. Each line weighs its characters outside links; a block is the sum over a window of `window` lines from its first.
+   blank lines in their place: `window` of them at the page's top level, one inside a container (a single one for a run of
+   them inside an article, which is never cut there). The id of a paragraph, heading or list item is an anchor and names
+   nothing. Outside <article> and <main> every edge of a container leaves one too; where a page has an <article> or <main> with text, all else is blank.
+2. Each line weighs its characters outside links, or all of them in an article at least half of which is no link; a block
+   is the sum over a window of `window` lines from its first.
 3. Stretches are parted by zero blocks. A stretch counts if its largest block reaches `surge` (or the page's largest
    block does not, and it has that one). Its surge point is the first line whose block reaches `surge` and a fifth of
    the stretch's largest block, with the lines that stand right above it; its dive point is the next zero block.
@@ -45,6 +47,7 @@ MARKED = frozenset(
     "comment comments commentlist respond replies reply disqus pager pagination toolbar search skip copyright legal disclaimer complementary contentinfo".split()
 )
 HOLDERS = frozenset("area banner bar block box container content form group inner item items link links list outer panel region row section slot top bottom unit wrap wrapper".split())
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
 NAME = re.compile(r"[^a-z0-9]+")
 ATTRIBUTES = r"(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>"
 TOKEN = re.compile(
@@ -52,18 +55,20 @@ TOKEN = re.compile(
     rf"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>{ATTRIBUTES}|[^>]*+(?:>|\Z))",  # the second form: a quote is not closed
     re.S | re.I,
 )
-MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARKS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
 def _marked(tag: str, rest: str, inside: bool) -> bool:
     """Whether class, id or role mark the element as no article text: a name ends with a marked word, holders aside.
 
-    Inside an article its own header stays.
+    Inside an article its own header stays. Ids of text-level elements are anchors: they name a topic, not a role.
     """
     if "=" not in rest or tag in ("html", "body", "article", "main"):
         return False
-    for a, b, c in MARKS.findall(rest):
+    for attribute, a, b, c in MARKS.findall(rest):
+        if tag in TEXT_LEVEL and attribute.lower() == "id":
+            continue
         for name in (a or b or c).lower().split():
             words = [w for w in NAME.split(name) if w]
             while len(words) > 1 and words[-1] in HOLDERS:
@@ -94,6 +99,8 @@ def page_lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
     def gap() -> None:
         """Blank lines for a dropped element: enough to part stretches at the page's top level, one inside a container."""
         close_line()
+        if inside and lines and lines[-1] == ("", 0, True):
+            return
         nested = len(stack) > still_open["html"] + still_open["body"]
         lines.extend([("", 0, inside > 0)] * (1 if nested else window))
 
@@ -183,6 +190,12 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not lines:
         return ""
     weights = np.array([n for _, n, _ in lines])
+    inside = np.array([x for _, _, x in lines])
+    lengths = np.array([len(text) for text, _, _ in lines])
+    bounds = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    for a, b in zip(bounds[0::2], bounds[1::2], strict=True):  # an article's lists of links are text, a card of links is none
+        if 2 * weights[a:b].sum() >= lengths[a:b].sum():
+            weights[a:b] = lengths[a:b]
     sums = np.convolve(weights, np.ones(window, int))[window - 1 :]  # block i: lines i .. i + window - 1
     edges = np.flatnonzero(np.diff(np.concatenate(([False], sums > 0, [False])).view(np.int8)))
     stretches = list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))

@@ -133,6 +133,14 @@ def test_surge_and_dive_find_articles_without_names(sf_dir):
 def test_broken_markup_and_names_inside_articles():
     assert html_text.main_text('<p><a href="x>broken</a> and <b class=\'y>more</b> text</p>') == "broken and more text"
     assert html_text.main_text('<article><h2 class="alert-title">T</h2><section class="related-work"><p>some words</p></section><div class="ad-box">buy</div></article>') == "T\nsome words"
+    linked = '<li><a href="#">linked</a></li>' * 6
+    body = "x" * 95
+    page = f"<article><h1>T</h1><p>{body}</p><ul>{linked}</ul><p>Short end.</p></article>"
+    assert html_text.main_text(page) == "\n".join(["T", body, *["linked"] * 6, "Short end."])  # no cut at links
+    assert html_text.main_text(f"<article><p>{body}</p></article><article><h2><a href='#'>Another headline</a></h2></article>") == body
+    assert html_text.main_text(f"<article><p>{body}</p>{'<form>x</form>' * 4}<p>Short end.</p></article>") == f"{body}\nShort end."
+    named = f"<article><p>{body}</p><p id='section-notice'>Notice period.</p><h2 id=search>Search</h2><p class='notice'>gone</p><p data-id='ad'>stays</p></article>"
+    assert html_text.main_text(named) == f"{body}\nNotice period.\nSearch\nstays"
     assert html_text.main_text("<div>" * 30_000 + "deep" + "</div>" * 60_000) == "deep"
 
 
