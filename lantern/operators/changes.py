@@ -73,6 +73,12 @@ def merged_persons(faces: DataFrame, source: int, target: int) -> DataFrame:
     return faces.withColumn("person_id", F.when(F.col("person_id") == source, F.lit(target)).otherwise(F.col("person_id")))
 
 
+def reset_persons(faces: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """faces without persons and without a source of assignment, and no person; detections and vectors stay."""
+    empty = {c: F.lit(None).cast(faces.schema[c].dataType) for c in ("person_id", "assign_src")}
+    return faces.withColumns(empty), persons.limit(0)
+
+
 def scan_diff(catalog: DataFrame, listing: DataFrame, completed: bool = True) -> DataFrame:
     """(volume_id, rel_path, file_id, change): new, changed, incomplete, resurrected, unchanged or gone.
 

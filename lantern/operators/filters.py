@@ -134,6 +134,17 @@ def under_path(path: Column, prefix: Column) -> Column:
     return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
+def searched_places(places: DataFrame, needle: str) -> DataFrame:
+    """places(country, count, cities, ...) that a search finds: countries by name whole, others with the cities that match, recounted."""
+    if not needle.strip():
+        return places
+    whole = contains_text(F.col("country"), needle)
+    cities = F.filter("cities", lambda c: contains_text(c["city"], needle))
+    count = F.aggregate(cities, F.lit(0).cast("long"), lambda n, c: n + c["count"])
+    found = places.where(whole | (F.size(cities) > 0))
+    return found.withColumns({"count": F.when(whole, F.col("count")).otherwise(count), "cities": F.when(whole, F.col("cities")).otherwise(cities)})
+
+
 def contains_text(column: Column, needle: str) -> Column:
     """Case-insensitive substring search, the needle trimmed."""
     return F.lower(column).contains(needle.strip().lower())

@@ -81,6 +81,18 @@ def export_totals(files: DataFrame, chosen: DataFrame, online: DataFrame) -> Dat
     return f.agg(F.count_if(F.col("_on").isNotNull()).alias("count"), F.coalesce(F.sum(F.when(F.col("_on").isNotNull(), F.col("size_bytes"))), F.lit(0)).alias("bytes"), F.count_if(F.col("_on").isNull()).alias("offline"))
 
 
+def full_detail(files: DataFrame, places: DataFrame, faces: DataFrame, persons: DataFrame, metadata: DataFrame, motion: DataFrame, volumes: DataFrame) -> DataFrame:
+    """file_detail's columns, with metadata and volume as structs and motion_file_id, the movie of a live photo.
+
+    metadata(file_id, ...), motion(file_id, video_file_id), volumes(volume_id, label, last_mount_path, is_online): each
+    key at most once. What a file lacks is null.
+    """
+    known = metadata.select("file_id", F.struct(*(c for c in metadata.columns if c != "file_id")).alias("metadata"))
+    movie = motion.select("file_id", F.col("video_file_id").alias("motion_file_id"))
+    kept = volumes.select("volume_id", F.struct("label", "last_mount_path", "is_online").alias("volume"))
+    return file_detail(files, places, faces, persons).join(known, "file_id", "left").join(movie, "file_id", "left").join(kept, "volume_id", "left")
+
+
 def file_detail(files: DataFrame, places: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
     """files with place as a struct and persons as a sorted array of (person_id, name)."""
     who = faces.where("person_id is not null").select("file_id", "person_id").distinct().join(persons, "person_id").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("person_id", "name"))).alias("persons"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,5 +192,14 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame | list[tuple[str,
     return own.join(first, F.col("id") == F.col("_id"), "left").select("id", "lat", "lon", "name")
 
 
+def visible_pins(points: DataFrame, lat: float, lon: float) -> DataFrame:
+    """points(lat, lon, n, ...) on the near side of a globe seen from above (lat, lon), with radius by count and fade near the rim."""
+    away = haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) / EARTH_KM
+    largest = points.agg(F.greatest(F.lit(1), F.max("n")).alias("_largest"))  # one row
+    rows = points.withColumn("_away", away).crossJoin(largest).where(F.col("_away") <= math.pi / 2 - 0.03)
+    fade = F.least(F.lit(1.0), F.greatest(F.lit(0.15), (math.pi / 2 - F.col("_away")) / 0.4))
+    return rows.select(*points.columns, pin_radius(F.col("n"), F.col("_largest")).alias("radius"), fade.alias("fade"))
+
+
 def pin_radius(count: Column, largest: Column) -> Column:
     return F.lit(3.5) + F.sqrt(count / largest) * 9

@@ -70,6 +70,14 @@ def latest_per(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
 
 
+def latest_jobs(history: DataFrame, live: DataFrame) -> DataFrame:
+    """The job of the largest id of each kind; of a job both finished and live, the live row counts. Both have (id, kind, ...)."""
+    rows = history.withColumn("_live", F.lit(False)).unionByName(live.withColumn("_live", F.lit(True)))
+    rest = [c for c in history.columns if c != "id"]
+    current = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "_live").alias("x")).select("id", "x.*")  # the live row may have another kind
+    return latest_per(current, "kind", "id").select(history.columns)
+
+
 def evictions(cache: DataFrame, budget: int, target: float = 0.9) -> DataFrame:
     """The oldest cache entries to drop so that the rest fits target * budget; none while the total is within the budget.
 

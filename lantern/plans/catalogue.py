@@ -570,6 +570,6 @@ def adopt_noise(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.col("nearest_label").cast("int").alias("nearest_label"))
 
 
-from lantern.plans import exports, more, wide  # noqa: E402, F401  they register their queries
+from lantern.plans import exports, more, whole, wide  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -92,10 +92,10 @@ def timeline_page_after(spark: SparkSession, d: str) -> DataFrame:
     return timeline.page_after(seen, F.lit("2024-01-10 12:00:00").cast("timestamp_ntz"), F.lit(5000), 150)
 
 
-@query(f"WITH {FILES_SQL}, b AS (SELECT DISTINCT CAST(taken_at AS DATE) AS day FROM visible WHERE extract(day FROM taken_at) % 4 = 1) SELECT arg_min(day, (abs(day - DATE '2024-01-11'), day)) AS day FROM b")
+@query(f"WITH {FILES_SQL}, b AS (SELECT DISTINCT CAST(taken_at AS DATE) AS day FROM visible) SELECT arg_min(day, (abs(day - DATE '2024-03-11'), day)) AS day FROM b")
 def nearest_bucket(spark: SparkSession, d: str) -> DataFrame:
-    buckets = timeline.day_buckets(filters.visible_files(event_files(spark, d), event_locked(spark, d)).where(F.dayofmonth("taken_at") % 4 == 1))
-    return timeline.nearest_bucket(buckets, F.to_date(F.lit("2024-01-11")))
+    buckets = timeline.day_buckets(filters.visible_files(event_files(spark, d), event_locked(spark, d)))
+    return timeline.nearest_bucket(buckets, F.to_date(F.lit("2024-03-11")))
 
 
 @query(
@@ -135,10 +135,10 @@ def cascade_set_null(spark: SparkSession, d: str) -> DataFrame:
     return changes.cascade_delete(doomed, {}, {"persons": (persons, "cover")})["persons"]
 
 
-@query("SELECT c_custkey AS person_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 2 = 1")
+@query("SELECT c_custkey AS person_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey % 5 <> 0) AND c_custkey % 2 = 1")
 def orphan_persons(spark: SparkSession, d: str) -> DataFrame:
     persons = table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"))
-    return changes.orphans(persons, table(spark, d, "orders").select(F.col("o_custkey").alias("person_id")), unnamed_only=True)
+    return changes.orphans(persons, table(spark, d, "orders").select(F.when((F.col("o_orderkey") % 3 != 0) & (F.col("o_custkey") % 5 != 0), F.col("o_custkey")).alias("person_id")), unnamed_only=True)
 
 
 @query("SELECT o_orderkey AS face_id, CASE WHEN o_custkey = 5 THEN 7 ELSE o_custkey END AS person_id FROM orders")

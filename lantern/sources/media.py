@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions.dates import filename_datetime, iso6709, video_datetime
 from lantern.functions.images import exif_fields, perceptual_hash, sharpness, shrunk
-from lantern.functions.names import basename
+from lantern.functions.names import basename, media_type
 
 STREAM = "struct<codec_type:string,codec_name:string,width:bigint,height:bigint,tags:map<string,string>,side_data_list:array<struct<rotation:string>>>"
 PROBE = f"format struct<duration:string,tags:map<string,string>>, streams array<{STREAM}>"
@@ -147,6 +147,32 @@ def folder_children(listing: DataFrame, folder: str = "") -> DataFrame:
     return inside.where(F.size(rest) > 1).groupBy(F.element_at(rest, 1).alias("name")).agg(F.count("*").alias("files"))
 
 
+def browse(listing: DataFrame, folder: str = "", zips: bool = False) -> DataFrame:
+    """(kind, name, path, size, sort_key) of what stands right in `folder`: its folders, and its ZIP archives if asked for.
+
+    listing(rel_path, size_bytes) has a row per file; folders are those that hold a file at any depth, size null. Names
+    with a dot in front are left out. Sort by (kind, sort_key, name): whatever the case.
+    """
+    top = folder.strip("/")
+    inside = listing.where(F.col("rel_path").startswith(top + "/")) if top else listing
+    rest = F.split(F.substring("rel_path", F.lit(len(top) + 2 if top else 1), F.length("rel_path")), "/")
+    shown = inside.select(rest.alias("rest"), "size_bytes").where(~F.col("rest")[0].startswith("."))
+    path = F.concat(F.lit(top + "/" if top else ""), F.col("rest")[0])
+    rows = shown.where(F.size("rest") > 1).select(F.lit("dir").alias("kind"), F.col("rest")[0].alias("name"), path.alias("path"), F.lit(None).cast("long").alias("size")).distinct()
+    if zips:
+        packed = shown.where((F.size("rest") == 1) & F.lower(F.col("rest")[0]).endswith(".zip"))
+        rows = rows.unionByName(packed.select(F.lit("zip").alias("kind"), F.col("rest")[0].alias("name"), path.alias("path"), F.col("size_bytes").cast("long").alias("size")))
+    return rows.withColumn("sort_key", F.lower("name"))
+
+
+def media_here(listing: DataFrame, folder: str = "") -> DataFrame:
+    """One row: media_count, the photos and videos right in `folder`, hidden ones aside."""
+    top = folder.strip("/")
+    name = F.substring("rel_path", F.lit(len(top) + 2 if top else 1), F.length("rel_path"))
+    here = (F.col("rel_path").startswith(top + "/") if top else F.lit(True)) & ~name.contains("/") & ~name.startswith(".")
+    return listing.agg(F.count_if(here & media_type(name).isNotNull()).alias("media_count"))
+
+
 def settings(table: DataFrame, defaults: dict[str, str]) -> dict[str, str]:
     """The named settings of table(key, value), defaults where it has none; only these few rows are read."""
     return defaults | {r["key"]: r["value"] for r in table.where(F.col("key").isin(list(defaults))).select("key", "value").collect() if r["value"] is not None}

@@ -294,3 +294,20 @@ def test_rail_ticks_keep_their_distance(spark):
     assert got[0] < 0.05 and all(b - a >= 0.045 for a, b in zip(got, got[1:], strict=False)) and len(got) > 10
     months = spark.sql("select explode(sequence(date'2024-01-15', date'2024-06-01', interval 1 day)) as day")
     assert [r["label"] for r in timeline.rail_ticks(months).orderBy("frac").collect()] == ["Jun", "May", "Apr", "Mar", "Feb", "Jan"]
+
+
+def test_labels_of_six_digits(spark):
+    values = [None, 0.0, 0.4, 0.004, 1.0, 1.3, 30.0, 123.4567891, 999999.5, 1e6, 1234567.0, 100000.0, 9.9999996, -2.5]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(dates.exposure_label(F.col("v")).alias("x")).collect()]
+    assert got == [None if v is None else f"1/{round(1 / v)}" if 0 < v < 1 else f"{v:g}" for v in values]
+
+
+def test_live_jobs_win_and_empty_searches_keep_all(spark):
+    history = spark.createDataFrame([(1, "scan", "done"), (2, "scan", "done"), (3, "faces", "failed")], "id long, kind string, status string")
+    live = spark.createDataFrame([(2, "scan", "running"), (4, "faces", "running")], history.schema)
+    assert {tuple(r) for r in relations.latest_jobs(history, live).collect()} == {(2, "scan", "running"), (4, "faces", "running")}
+    assert {tuple(r) for r in relations.latest_jobs(history, live.limit(0)).collect()} == {(2, "scan", "done"), (3, "faces", "failed")}
+    summary = spark.createDataFrame([("Spain", 5, [("Cadiz", 3, 1)]), ("Chad", 2, None)], "country string, count long, cities array<struct<city:string,count:long,cover:long>>")
+    assert filters.searched_places(summary, "  ").count() == 2
+    assert [(r["country"], r["count"]) for r in filters.searched_places(summary, "cad").collect()] == [("Spain", 3)]
+    assert [(r["country"], r["count"]) for r in filters.searched_places(summary, "CHA").collect()] == [("Chad", 2)]
