@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.names import SIDECAR_SUFFIXES, VIDEO_EXTENSIONS, basename, container, extension, is_year_bucket, photos_root, safe_component, without_sidecar_suffix
-from lantern.session import written
+from lantern.session import drop_written, written
 
 
 def _folder(name: Column) -> Column:
@@ -21,7 +21,7 @@ def sidecar_cascade(media: DataFrame, sidecars: DataFrame) -> DataFrame:
 
     Rules 1-3: the exact name and a suffix. 4-6: the same, whatever the case. 7-9: "a(1).jpg" as "a.jpg(1)" and a
     suffix. 10: the only sidecar in the folder whose stem of 12 letters or more begins the name. Equi-joins on whole
-    names, or on the folder with one stem length at a time for the prefix rule.
+    names, or on the folder and a beginning of the name, of the lengths that stems of that folder have, for the prefix rule.
     """
     suffix = F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(s).alias("suffix")) for i, s in enumerate(SIDECAR_SUFFIXES, 1))))
     m = media.select("name").distinct().withColumn("_s", suffix)
@@ -37,7 +37,9 @@ def sidecar_cascade(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     stem = without_sidecar_suffix(basename(F.col("sidecar")))
     stems = s.select("sidecar", _folder(F.col("sidecar")).alias("folder"), F.lower(stem).alias("stem")).where(F.length("stem") >= 12)
     heads = media.select("name").distinct().select("name", _folder(F.col("name")).alias("folder"), F.lower(basename(F.col("name"))).alias("_b"))
-    heads = heads.where(F.length("_b") >= 12).select("name", "folder", F.explode(F.transform(F.sequence(F.lit(12), F.length("_b")), lambda n: F.substring("_b", F.lit(1), n))).alias("stem"))
+    lengths = stems.groupBy("folder").agg(F.collect_set(F.length("stem")).alias("_lengths"))  # as many as a name has letters
+    heads = heads.join(lengths, "folder").select("name", "folder", "_b", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length("_b"))
+    heads = heads.select("name", "folder", F.substring("_b", F.lit(1), F.col("_n")).alias("stem"))
     only = heads.join(stems, ["folder", "stem"]).groupBy("name").agg(F.count("*").alias("n"), F.min("sidecar").alias("sidecar")).where("n = 1").select("name", F.lit(10).alias("rule"), "sidecar")
     return by_name.unionByName(by_case).unionByName(only).groupBy("name").agg(F.min_by("sidecar", "rule").alias("sidecar"), F.min("rule").alias("rule"))
 
@@ -90,10 +92,13 @@ def unique_names(files: DataFrame, key: str, name: str, order: str) -> DataFrame
         taken = done.select(F.lower("unique_name").alias("_low"), F.lit(True).alias("_taken")).distinct()
         first = F.row_number().over(Window.partitionBy("_low").orderBy(order, key)) == 1
         tried = written(tried.join(taken, "_low", "left").withColumn("_ok", first & F.col("_taken").isNull()), "names")
+        kept_so_far, still = done, left
         done = written(done.unionByName(tried.where("_ok").select(key, "unique_name")), "named")
         again = tried.where("not _ok").withColumn("_k", F.row_number().over(w))
         last = tried.groupBy(F.lower(name).alias("_own")).agg(F.max("_n").alias("_last"))
         left = written(again.join(last, F.lower(name) == F.col("_own")).select(*kept, (F.col("_last") + F.col("_k")).alias("_n")), "names")
+        for old in (kept_so_far, still, tried):  # both new tables are written
+            drop_written(files.sparkSession, old)
     return files.join(done, key)
 
 
