@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.llm.words import chunks
-from lantern.session import written
+from lantern.session import drop_written, written
 
 MARK = re.compile(r"^(?:[ \t]*>)+ ?")
 WRITES = re.compile(r"\b(?:wrote|writes|schrieb|schreibt|escribió|escribe|écrit|scritto|scrive|escreveu|escreve|skrev|schreef|napisał|napisała)\b", re.I)
@@ -149,8 +149,8 @@ def _windows(text: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, WINDOW)))))
 
 
-def _by_windows(known: DataFrame, linked: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, level, at) of the passages that are not in linked, by the windows of words that they share.
+def _by_windows(known: DataFrame, linked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(conv_id, turn, pos, level, at) of the passages that are not in linked, by the windows of words that they share, and the tables that it reads.
 
     Of each window only the latest earlier turn of the conversation that has it counts, and the earliest message of all.
     """
@@ -169,7 +169,7 @@ def _by_windows(known: DataFrame, linked: DataFrame) -> DataFrame:
     shares = near.select(*passage, "n", "hash", "at").unionByName(far.select(*passage, "n", "hash", "at")).groupBy(*passage, "n", "at").agg(F.count("*").alias("shared"))
     inner = F.col("at.conv_id") == F.col("conv_id")
     best = F.struct("shared", inner, F.when(inner, F.col("at.turn")), -F.col("at.conv_id"), -F.col("at.turn"))
-    return shares.where(F.col("shared") * 2 > F.col("n")).groupBy(*passage).agg(F.max_by("at", best).alias("at"))
+    return shares.where(F.col("shared") * 2 > F.col("n")).groupBy(*passage).agg(F.max_by("at", best).alias("at")), [asked, own]
 
 
 def link_quotes(conversations: DataFrame, least_chars: int = 0) -> DataFrame:
@@ -200,8 +200,9 @@ def link_quotes(conversations: DataFrame, least_chars: int = 0) -> DataFrame:
     inner = F.col("at.conv_id") == F.col("conv_id")
     best = F.struct("whole", F.when(F.col("whole"), 0).otherwise(F.col("chars")), inner, F.when(inner, F.col("at.turn")), -F.col("at.conv_id"), -F.col("at.turn"))
     linked = shares.groupBy("conv_id", "turn", "pos", "level").agg(F.max_by("at", best).alias("at"))
-    linked = written(linked, "linked")
-    linked = linked.unionByName(_by_windows(known, linked.select("conv_id", "turn", "pos", "level")))
+    by_blocks = written(linked, "linked")
+    by_windows, windows = _by_windows(known, by_blocks.select("conv_id", "turn", "pos", "level"))
+    linked = by_blocks.unionByName(by_windows)
     links = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min_by("at", F.struct("level", "pos")).alias("quoted"))
     turns = known.groupBy("conv_id", "turn").agg(F.max(F.size("quotes")).alias("n_quotes"))
     turns = earlier_turns(turns.withColumn("has", F.lit(True)), ["conv_id"])
@@ -215,7 +216,10 @@ def link_quotes(conversations: DataFrame, least_chars: int = 0) -> DataFrame:
         )
     )
     nodes = written(nodes, "nodes")
+    for table in (quotes, own, by_blocks, *windows):
+        drop_written(conversations.sparkSession, table)
     placed = _roots(nodes)
+    drop_written(conversations.sparkSession, nodes)
     return (
         rows.join(placed, ["conv_id", "turn"], "left")
         .select(
@@ -240,7 +244,7 @@ def _roots(nodes: DataFrame) -> DataFrame:
     A node whose pointer is at a root (or past it) is done and is never joined again, only looked up.
     """
     start = nodes.select("conv_id", "turn", "n_linked", "parent", F.coalesce("parent", F.struct("conv_id", "turn")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    start = written(start.withColumn("done", F.col("parent").isNull()), "pointers")
+    start = written(start.withColumn("done", F.col("parent").isNull()), "pointers")  # nodes is read here only
     finished, moving = start.where("done"), start.where(~F.col("done"))
     while True:
         at = F.struct("conv_id", "turn").alias("root")
