@@ -6,11 +6,14 @@
    check are joined to components, which spares step 3 most pairs of a large group. Pairs of a large group that stay
    below 4/5 are not spared.
 3. In any fixed order of the shingles, two sets of n shingles or more with a coefficient of 4/5 share one of the first
-   n - ceil(4n/5) + 1 of each. All pairs of such a prefix list that are not yet in one component, and that have
-   enough in common there to reach 4/5 at all, get the exact check, so no pair is lost. The order puts shingles that are frequent in a sample of the documents last, FREQUENT of
-   them at most: the sample only shortens lists.
+   n - ceil(4n/5) + 1 of each. All pairs of such a prefix list that are not yet in one component get the exact check,
+   so no pair is lost. The order puts shingles that are frequent in a sample of the documents last, FREQUENT of them at
+   most: the sample only shortens lists.
+   Two long texts share many lists, so a list leaves a pair out where its members have one of their BEFORE lists before
+   it in common: the first list that they share never does.
    The join itself leaves out pairs whose parity bits differ in more places than the sets may: a bit is the parity of
    the number of shingles that fall on it, so two sets differ in at least as many shingles as bits, and no pair is lost.
+   1,024 bits are too few for long texts; what the join makes, and all proposals, meet as many bits as shingles next.
 4. The components of all pairs that passed are the groups.
 """
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.components import connected_components
@@ -31,7 +34,7 @@ from lantern.session import drop_written, written
 
 SHINGLE, PART, OF = 5, 4, 5
 SAMPLED, IN_SAMPLE, FREQUENT = 32, 3, 1 << 21
-PARITY_LONGS = 16
+PARITY_LONGS, BEFORE = 16, 4
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -50,9 +53,15 @@ def signature(own: np.ndarray) -> int:
 
 
 def parity(own: np.ndarray) -> np.ndarray:
-    """64 * PARITY_LONGS bits as longs: each the parity of the number of shingles whose hash falls on it."""
-    at = (own % np.uint64(64 * PARITY_LONGS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * PARITY_LONGS) & 1).astype(np.uint8)).view(np.int64)
+    """A power of two of bits as longs, PARITY_LONGS of them or as many bits as shingles: parities of the number of hashes on each."""
+    size = max(64 * PARITY_LONGS, 1 << (len(own) - 1).bit_length())
+    at = (own % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(wide: np.ndarray) -> np.ndarray:
+    """The first PARITY_LONGS longs that parity() gives with that size, from those of a larger one."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, PARITY_LONGS), axis=0)
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -78,7 +87,7 @@ def _sets(documents: DataFrame) -> DataFrame:
 
 
 def _prefixes(documents: DataFrame) -> DataFrame:
-    """(key, doc_id, sig, fp, n, bits, heads) per row of documents (key, doc_id, text): n shingles, of which heads are the prefix."""
+    """(key, doc_id, sig, fp, n, bits, wide, heads) per row of documents (key, doc_id, text): n shingles, of which heads are the prefix."""
     spark = documents.sparkSession
     n = documents.count()
     part = F.pmod("key", F.lit(max(1, min(SAMPLED, n // 4096)))) == 0
@@ -95,6 +104,7 @@ def _prefixes(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             sets = [shingle_set(t) for t in texts]
+            wide = [parity(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -102,13 +112,14 @@ def _prefixes(documents: DataFrame) -> DataFrame:
                     pa.array([signature(x) for x in sets], pa.int64()),
                     pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([parity(x) for x in sets], pa.list_(pa.int64())),
+                    pa.array([folded(x) for x in wide], pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                     pa.array([prefix(x, *order.value).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ],
-                names=["key", "doc_id", "sig", "fp", "n", "bits", "heads"],
+                names=["key", "doc_id", "sig", "fp", "n", "bits", "wide", "heads"],
             )
 
-    return documents.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, sig long, fp long, n long, bits array<long>, heads array<long>")
+    return documents.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, sig long, fp long, n long, bits array<long>, wide array<long>, heads array<long>")
 
 
 def _shared(lists: DataFrame, n: int) -> DataFrame:
@@ -148,9 +159,27 @@ def _alike(n: Column, m: Column, x: Column, y: Column) -> Column:
     return apart * (PART + OF) <= (n + m) * (OF - PART)
 
 
+def _halved(wide: Column, other: Column) -> Column:
+    """Longs of parity bits folded once where `other` has fewer; sizes of sets that may have the coefficient differ by one fold at most."""
+    half = F.floor(F.size(wide) / 2).cast("int")
+    once = F.zip_with(F.slice(wide, F.lit(1), half), F.slice(wide, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(wide) > F.size(other), once).otherwise(wide)
+
+
+def _widely_alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and all their parity bits leave."""
+    for side in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+    n, m, x, y = (F.col(c) for c in ("n_a", "n_b", "wide_a", "wide_b"))
+    differing = F.zip_with(_halved(x, y), _halved(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differing, F.lit(0), lambda total, bits: total + bits)
+    return pairs.where((n * OF >= m * PART) & (m * OF >= n * PART)).where(apart * (PART + OF) <= (n + m) * (OF - PART)).select("a", "b")
+
+
 def _checked(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) of signatures whose sets have the coefficient."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(_widely_alike(pairs, points), "pairs")
     used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     ids = written(points.join(used, "sig", "left_semi").select(F.col("first").alias("key"), "sig"), "ids")
     wanted = documents.join(ids.select("key"), "key", "left_semi")
@@ -174,7 +203,7 @@ def _grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     with small_batches(documents.sparkSession):
         rows = written(_prefixes(documents), "prefixes")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
-    points = written(rows.groupBy("sig").agg(F.min("key").alias("first"), least_row, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")), "points")
+    points = written(rows.groupBy("sig").agg(F.min("key").alias("first"), least_row, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "points")
     firsts = rows.join(points.select("sig", F.col("first").alias("key")), ["sig", "key"], "left_semi")
     size = rows.agg(F.sum(F.size("heads"))).head()[0] or 0
     lists = written(_shared(firsts.select(F.explode("heads").alias("s"), "sig"), size), "lists")
@@ -195,12 +224,12 @@ def _grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(connected_components(links), "roots").select(F.col("node").alias("sig"), "root")
     named = written(lists.select("s", "sig").join(found, "sig", "left").select("s", "sig", F.coalesce("root", "sig").alias("root")), "lists")
     mixed = named.groupBy("s").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("s")
-    left = written(named.join(mixed, "s", "left_semi").join(points.select("sig", "n", "bits"), "sig"), "lists")
+    before = F.collect_list("s").over(Window.partitionBy("sig").orderBy("s").rowsBetween(-BEFORE, -1))
+    left = written(named.join(mixed, "s", "left_semi").join(points.select("sig", "n", "bits"), "sig").withColumn("before", before), "lists")
     x, y = left.alias("x"), left.alias("y")
     near = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") * OF >= F.col("y.n") * PART) & (F.col("y.n") * OF >= F.col("x.n") * PART)
-    near = near & _alike(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & near).groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(F.count("*").alias("common"))
-    rest = rest.where(_possible(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    near = near & ~F.arrays_overlap("x.before", "y.before") & _alike(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
     roots = written(connected_components(links.unionByName(_checked(rest, documents, points))), "roots").select(F.col("node").alias("sig"), "root")
     placed = written(points.join(roots, "sig", "left").select("sig", "best", F.coalesce("root", "sig").alias("root")), "placed")
     for old in (points, lists, prints, found, named, left, links):
