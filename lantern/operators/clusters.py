@@ -2,7 +2,8 @@
 
 Vectors are packed into blocks around pivots. Core distances come from the own block, then from the other blocks that
 the bound of centres and radii leaves. The minimum spanning tree of all pairs lies in the union of the trees of every
-two blocks together, since an edge that is no tree edge among few points is none among all; a task builds one of them.
+block and the forests between every two, since an edge that is no tree edge among few is none among all. Two groups of
+blocks are dealt to a task of their own, which keeps the forest of what its pairs of blocks have found.
 Boruvka rounds contract that union until `most` edges are left, which one task finishes. The merge tree is made by
 halves: the lighter edges fall into components that are trees of their own, the heavier ones join what these contract to,
 until no half has more than `most` edges. Sizes, births and masses are aggregates over the merge tree.
@@ -12,27 +13,29 @@ Weights tie often: edges are ordered by (weight, smaller id, larger id), so tree
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lantern.operators.components import connected_components
 from lantern.operators.ordered import scanned
 from lantern.session import drop_written, written
 
-BLOCK, MOST, PIVOTS = 1024, 1_000_000, 256
+BLOCK, MOST, PIVOTS, SIDE, GROUPS = 1024, 1_000_000, 256, 8, 16
+EDGES = 1 << 18  # that a task holds before it keeps their forest only
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows, the same to the last bit for the same two vectors in whatever blocks they are."""
     out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 21) // max(1, b.size))
+    step = max(1, (1 << 17) // max(1, b.size))
     for i in range(0, len(a), step):
         gap = a[i : i + step, None, :] - b[None]
-        out[i : i + step] = np.sqrt((gap * gap).sum(axis=-1))
+        out[i : i + step] = np.sqrt(np.square(gap, out=gap).sum(axis=-1))
     return out
 
 
@@ -54,6 +57,32 @@ def tree_edges(reach: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0].astype(np.int64), out[1].astype(np.int64), out[2]
 
 
+def cross_edges(reach: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight), a < b, of the minimum spanning tree of the edges between rows p and columns q, in the order of tree_edges()."""
+    n, m = reach.shape
+    rows, columns = slice(0, n), slice(n, n + m)
+    back = np.ascontiguousarray(reach.T)
+    near, lo, hi = np.full(n + m, np.inf), np.zeros(n + m, np.int64), np.zeros(n + m, np.int64)
+    out_a, out_b, out_w = np.empty(n + m - 1, np.int64), np.empty(n + m - 1, np.int64), np.empty(n + m - 1)
+    free, at = np.ones(n + m, bool), 0
+    for step in range(n + m - 1):
+        free[at], near[at] = False, np.inf
+        side, w, own, ids = (columns, reach[at], p[at], q) if at < n else (rows, back[at - n], q[at - n], p)
+        a, b, held = np.minimum(own, ids), np.maximum(own, ids), near[side]
+        better = w < held
+        same = w == held
+        if same.any():
+            better |= same & ((a < lo[side]) | ((a == lo[side]) & (b < hi[side])))
+        better &= free[side]
+        held[better], lo[side][better], hi[side][better] = w[better], a[better], b[better]
+        at = int(near.argmin())
+        tied = np.flatnonzero(near == near[at])
+        if len(tied) > 1:
+            at = int(tied[np.lexsort((hi[tied], lo[tied]))[0]])
+        out_a[step], out_b[step], out_w[step] = lo[at], hi[at], near[at]
+    return out_a, out_b, out_w
+
+
 # -- blocks
 
 
@@ -92,6 +121,31 @@ def packed(vectors: DataFrame, column: str, rows: int = BLOCK) -> DataFrame:
     return out
 
 
+def dealt(blocks: DataFrame, n_blocks: int, work: Callable[[list[dict], list[dict] | None], pa.Table], schema: str) -> DataFrame:
+    """work(rows of one group of blocks, rows of another one or None) for every two groups, and for each group alone; a task each.
+
+    A group has SIDE blocks, fewer where there would be fewer than GROUPS groups. The number of tasks is given, since
+    small rows that make long work would be put together by their bytes.
+    """
+    side = max(1, min(SIDE, -(-n_blocks // GROUPS)))
+    groups = -(-n_blocks // side)
+    own, other = F.floor(F.col("block") / side).cast("int"), F.col("_other")
+    rows = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_p", F.least(own, other)).withColumn("_q", F.greatest(own, other)).drop("_other")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        p, q = (k.as_py() for k in key)
+        packed = table.drop_columns(["_p", "_q"]).sort_by("block").to_pylist()  # 2 * SIDE blocks at most
+        left, right = ([r for r in packed if r["block"] // side == g] for g in (p, q))
+        return work(left, None if p == q else right)
+
+    return rows.repartition(groups * (groups + 1), "_p", "_q").groupBy("_p", "_q").applyInArrow(run, schema)
+
+
+def two_by_two(left: list[dict], right: list[dict] | None) -> Iterator[tuple[dict, dict]]:
+    """Every two different blocks of a group, or of two groups."""
+    return combinations(left, 2) if right is None else product(left, right)
+
+
 def block_pairs(summaries: DataFrame, blocks: int) -> DataFrame:
     """(a, b) with a < b, each with the summaries' columns as a_ and b_: the grid is counted out, not joined."""
     names = [c for c in summaries.columns if c != "block"]
@@ -125,57 +179,83 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def cored(blocks: DataFrame, n_blocks: int, least: int) -> DataFrame:
     """blocks with `cores`, the distance of each one's least-th nearest vector (the own one being the first), in order of the ids; written."""
+    kinds = pa.schema([("block", pa.int32()), ("near", pa.list_(pa.float64()))])
 
-    def nearest(d: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
+    def nearest(d: np.ndarray) -> np.ndarray:
+        """The `least` smallest distances of each row, infinite where there are fewer."""
         k = min(least, d.shape[1])
-        best = np.partition(d, k - 1, axis=1)[:, :k]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(best.size, block, np.int32)), pa.array(np.repeat(ids, k)), pa.array(best.ravel())], names=["block", "vec_id", "d"])
+        return np.pad(np.partition(d, k - 1, axis=1)[:, :k], ((0, 0), (0, least - k)), constant_values=np.inf)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            ids, x = unpack(r["ids"], r["x"])
-            yield nearest(distances(x, x), ids, r["block"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in rows_of(batches):
-            (p, x), (q, y) = unpack(r["a_ids"], r["a_x"]), unpack(r["b_ids"], r["b_x"])
-            d = distances(x, y)
-            yield nearest(d, p, r["a"])
-            yield nearest(d.T, q, r["b"])
-
-    schema = "block int, vec_id long, d double"
+            x = unpack(r["ids"], r["x"])[1]
+            yield pa.RecordBatch.from_pylist([{"block": r["block"], "near": nearest(distances(x, x)).ravel()}], schema=kinds)
+
+    def others(left: list[dict], right: list[dict] | None) -> pa.Table:
+        rows = {r["block"]: r for r in [*left, *(right or [])]}
+        near = {k: np.array(r["near"]).reshape(-1, least) for k, r in rows.items()}
+        found = set()
+        for a, b in two_by_two(left, right):
+            i, j = a["block"], b["block"]
+            # what a block can still gain is bounded by its own worst core distance, infinite where it is too small for one
+            apart = np.sqrt(((np.array(a["centre"]) - np.array(b["centre"])) ** 2).sum()) - a["radius"] - b["radius"]
+            if apart * (1 - 1e-9) - 1e-9 > max(near[i][:, -1].max(), near[j][:, -1].max()):
+                continue
+            d = distances(unpack(a["ids"], a["x"])[1], unpack(b["ids"], b["x"])[1])
+            # what is in the own block already comes with the own row, and counts once
+            for k, more in ((i, nearest(d)), (j, nearest(d.T))):
+                rows[k].setdefault("gained", np.full_like(more, np.inf))
+                rows[k]["gained"] = np.sort(np.concatenate((rows[k]["gained"], more), axis=1), axis=1)[:, :least]
+                near[k] = np.sort(np.concatenate((near[k], more), axis=1), axis=1)[:, :least]
+                found.add(k)
+        return pa.Table.from_pylist([{"block": k, "near": rows[k]["gained"].ravel()} for k in sorted(found)], schema=kinds)
+
+    def least_of_all(table: pa.Table) -> pa.Table:
+        every = np.concatenate([np.array(v).reshape(-1, least) for v in table["near"].to_pylist()], axis=1)
+        every.partition(least - 1, axis=1)
+        cores = every[:, :least].copy()
+        cores[np.isinf(cores)] = -np.inf  # fewer vectors than `least` in all
+        return pa.table({"block": table["block"][:1], "cores": [cores.max(axis=1)]}, schema=pa.schema([("block", pa.int32()), ("cores", pa.list_(pa.float64()))]))
+
+    schema = "block int, near array<double>"
     found = written(blocks.mapInArrow(own, schema), "near")
     if n_blocks > 1:
-        # what a block can still gain is bounded by its own worst core distance, infinite where it is too small for one
-        reached = found.groupBy("block", "vec_id").agg(F.when(F.count("*") < least, F.lit(float("inf"))).otherwise(F.max("d")).alias("d"))
-        pairs = block_pairs(blocks.select("block", "centre", "radius").join(reached.groupBy("block").agg(F.max("d").alias("worst")), "block"), n_blocks)
-        apart = F.sqrt(F.aggregate(F.zip_with("a_centre", "b_centre", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)) - F.col("a_radius") - F.col("b_radius")
-        near = both(pairs.where(apart * (1 - 1e-9) - 1e-9 <= F.greatest("a_worst", "b_worst")), blocks)
-        found = found.unionByName(near.mapInArrow(others, schema))
-    place = F.row_number().over(Window.partitionBy("block", "vec_id").orderBy("d"))
-    core = found.withColumn("_n", place).where(F.col("_n") <= least).groupBy("block", "vec_id").agg(F.max("d").alias("core"))
-    cores = core.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "core"))), lambda s: s["core"]).alias("cores"))  # a block's rows
+        found = found.unionByName(dealt(blocks.join(found, "block"), n_blocks, others, schema))
+    cores = found.groupBy("block").applyInArrow(least_of_all, "block int, cores array<double>")  # a row a group of blocks
     return written(blocks.join(cores, "block"), "cored")
 
 
 def spanning_tree(blocks: DataFrame, n_blocks: int, most: int = MOST) -> DataFrame:
     """(a, b, w) of the minimum spanning tree of cored() blocks by mutual reachability, a < b; written."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in rows_of(batches):
-            (p, x), (q, y) = unpack(r["a_ids"], r["a_x"]), unpack(r["b_ids"] or b"", r["b_x"] or b"") if r["b_ids"] else (np.zeros(0, np.int64), None)
-            ids, x = np.concatenate((p, q)), x if y is None else np.concatenate((x, y))
-            core = np.array(r["a_cores"] + (r["b_cores"] or []))
-            if len(ids) > 1:
-                a, b, w = tree_edges(np.maximum(np.maximum(core[:, None], core[None]), distances(x, x)), ids)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w)], names=["a", "b", "w"])
-
-    schema = "a long, b long, w double"
-    if n_blocks > 1:
-        pairs = both(block_pairs(blocks.select("block"), n_blocks), blocks)
-    else:
-        pairs = blocks.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), F.col("cores").alias("a_cores"), F.lit(None).cast("binary").alias("b_ids"), F.lit(None).cast("binary").alias("b_x"), F.lit(None).cast("array<double>").alias("b_cores"))
-    return least_forest(written(pairs.mapInArrow(local, schema).distinct(), "near-edges"), most)
+    def local(left: list[dict], right: list[dict] | None) -> pa.Table:
+        kept, size = [], 0
+
+        def take(edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            nonlocal kept, size
+            kept.append(edges)
+            size += len(edges[0])
+            if size > EDGES:
+                kept = [forest()]
+                size = len(kept[0][0])
+
+        def forest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b, w = (np.concatenate(c) for c in zip(*kept))
+            at = kruskal(a, b, np.lexsort((b, a, w)))
+            return a[at], b[at], w[at]
+
+        sets = {r["block"]: (*unpack(r["ids"], r["x"]), np.array(r["cores"])) for r in [*left, *(right or [])]}
+        if right is None:
+            for ids, x, core in sets.values():
+                if len(ids) > 1:
+                    take(tree_edges(np.maximum(np.maximum(core[:, None], core[None]), distances(x, x)), ids))
+        for one, two in two_by_two(left, right):
+            (p, x, c), (q, y, e) = sets[one["block"]], sets[two["block"]]
+            take(cross_edges(np.maximum(np.maximum(c[:, None], e[None]), distances(x, y)), p, q))
+        a, b, w = forest() if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": a, "b": b, "w": w})
+
+    return least_forest(written(dealt(blocks.select("block", "ids", "x", "cores"), n_blocks, local, "a long, b long, w double"), "near-edges"), most)
 
 
 def kruskal(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
