@@ -21,7 +21,7 @@ def exact_groups(files: DataFrame, key: str, rank: list[Column], size: str) -> D
     return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), best.alias("keeper"), (F.sum(size) - kept).alias("reclaimable")).where("n > 1")
 
 
-WIDE, BLOCK = 12, 4096
+WIDE, BLOCK, TASKS = 12, 4096, 4096
 
 
 def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
@@ -72,6 +72,8 @@ def _blocked(known: DataFrame, threshold: int, work: Callable, schema: str) -> D
     packed = written(packed, "hash-blocks")
     left = packed.select(F.col("block").alias("a"), F.col("hs").alias("p")).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))))
     pairs = left.join(packed.select(F.col("block").alias("b"), F.col("hs").alias("q")), "b").select("a", "b", "p", "q")
+    # small rows that make long work: tasks of a given number, which Spark would else put together by their bytes
+    pairs = pairs.repartition(min(TASKS, blocks * (blocks + 1)), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +81,9 @@ def _blocked(known: DataFrame, threshold: int, work: Callable, schema: str) -> D
                 one = batch.slice(i, 1)
                 p, q = (one.column(c).flatten().to_numpy() for c in (2, 3))
                 same = one.column(0)[0].as_py() == one.column(1)[0].as_py()
-                near = np.bitwise_count((p[:, None] ^ q[None]).view(np.uint64))  # of signed numbers it would count the absolute value's bits
+                near = np.empty((len(p), len(q)), np.uint8)
+                for at in range(0, len(p), 32):  # as much as stays near the processor
+                    near[at : at + 32] = np.bitwise_count((p[at : at + 32, None] ^ q[None]).view(np.uint64))  # of signed numbers it would count the absolute value's bits
                 out = work(p, q, near, near <= threshold, same)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -98,19 +102,23 @@ def _block_counts(p: np.ndarray, q: np.ndarray, distance: np.ndarray, near: np.n
 
 
 def _block_forest(p: np.ndarray, q: np.ndarray, distance: np.ndarray, near: np.ndarray, same: bool) -> tuple:
-    """Each hash and the smallest place that it reaches inside the two blocks."""
-    rows, columns = np.arange(len(p)), np.arange(len(q)) if same else np.arange(len(p), len(p) + len(q))
-    while True:
-        least = np.minimum(rows, np.where(near, columns[None], len(p) + len(q)).min(axis=1, initial=len(p) + len(q)))
-        back = np.minimum(columns, np.where(near, least[:, None], len(p) + len(q)).min(axis=0, initial=len(p) + len(q)))
-        if same:
-            least = back = np.minimum(least, back)
-        if (least == rows).all() and (back == columns).all():
-            break
-        rows, columns = least, back
-    both, place = (p, rows) if same else (np.concatenate((p, q)), np.concatenate((rows, columns)))
-    moved = np.flatnonzero(place != np.arange(len(both)))
-    return both[moved], both[place[moved]]
+    """Each hash and the first hash of those that it reaches inside the two blocks; a row of `near` is looked at once."""
+    rows, columns = np.full(len(p), -1), np.full(len(q), -1)
+    linked = near.sum(axis=1) > same  # in one block a hash is near itself
+    for start in np.flatnonzero(linked).tolist():
+        if rows[start] >= 0:
+            continue
+        rows[start] = start
+        front = np.array([start])
+        while len(front):
+            reached = np.flatnonzero(near[front].any(axis=0) & (columns < 0))
+            columns[reached] = start
+            front = reached[rows[reached] < 0] if same else np.flatnonzero(near[:, reached].any(axis=1) & (rows < 0))
+            rows[front] = start
+    moved, other = np.flatnonzero((rows >= 0) & (rows != np.arange(len(p)))), np.flatnonzero(columns >= 0)
+    if same:
+        return p[moved], p[rows[moved]]
+    return np.concatenate((p[moved], q[other])), np.concatenate((p[rows[moved]], p[columns[other]]))
 
 
 def near_groups(files: DataFrame, threshold: int, dismissed: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.operators import duplicates, places, vectors
 
@@ -44,6 +45,39 @@ def test_near_joins_of_nothing(spark):
     assert all(f(none, t).count() == 0 for f in (duplicates.near_pairs, duplicates.near_counts, duplicates.near_links) for t in (3, 20))
 
 
+def test_blocks_of_hashes_are_dealt_out(spark, monkeypatch):
+    # tasks are dealt by number: small rows that make long work had been put into one task
+    monkeypatch.setattr(duplicates, "BLOCK", 10)
+    known = spark.createDataFrame([(h,) for h in near_hashes()], "h long")
+    count = lambda p, q, distance, near, same: ([int(near.size)],)
+    sizes = [r["n"] for r in duplicates._blocked(known, 17, count, "n long").groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    n = known.count()
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 8 and sum(sizes) >= n * (n + 1) // 2
+
+
+def test_block_forest_joins_what_is_near():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        p, q = rng.permutation(40)[: rng.integers(1, 14)], 50 + rng.permutation(40)[: rng.integers(1, 14)]
+        same = seed % 3 == 0
+        near = rng.random((len(p), len(p) if same else len(q))) < 0.1
+        if same:
+            near |= near.T | np.eye(len(p), dtype=bool)
+            q = p
+        group = {int(x): int(x) for x in np.concatenate((p, q))}
+
+        def merge(pairs, group):
+            group = dict(group)
+            for a, b in pairs:
+                old, new = group[int(a)], group[int(b)]
+                group = {k: new if v == old else v for k, v in group.items()}
+            return {frozenset(k for k in group if group[k] == v) for v in group.values()}
+
+        a, b = duplicates._block_forest(p, q, near, near, same)
+        i, j = np.nonzero(near)
+        assert len(a) < len(group) and merge(zip(a, b), group) == merge(zip(p[i], q[j]), group)
+
+
 def test_similar_centroids_by_blocks(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(c, 0.2, (15, 6)) for c in rng.normal(0, 1, (6, 6))])
