@@ -21,15 +21,16 @@ def exact_groups(files: DataFrame, key: str, rank: list[Column], size: str) -> D
     return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), best.alias("keeper"), (F.sum(size) - kept).alias("reclaimable")).where("n > 1")
 
 
-WIDE, BLOCK, TASKS = 12, 4096, 4096
+WIDE, BLOCK, TASKS = 8, 4096, 4096
 
 
 def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """(a, b, distance), a < b, of distinct 64-bit hashes (column h) within the Hamming threshold; nothing is missed.
 
     Below WIDE by four indexes of 16 bits, one of which differs by a quarter of the threshold at most: one side asks with
-    all keys of that small ball, so a key has few partners and Spark may split a hot one. From WIDE on such balls hold
-    most keys: blocks of hashes are compared with each other by their bits. Equal hashes are one row here.
+    all keys of that small ball, so a key has few partners and Spark may split a hot one. From WIDE on a ball has hundreds
+    of keys, and hashes that lie near each other share most of them: blocks of hashes are compared with each other by
+    their bits, which costs less than a row for each shared key. Equal hashes are one row here.
     """
     known = hashes.select("h").where("h is not null").distinct()
     if threshold >= WIDE:
@@ -42,7 +43,8 @@ def near_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     asked = known.select(F.col("h").alias("a"), F.explode(F.array(*(F.struct(F.lit(i).alias("part"), k.alias("own"), F.array(*map(F.lit, ball)).alias("ball")) for i, (k, ball) in enumerate(zip(keys, balls)) if ball))).alias("x"))
     asked = asked.select("a", "x.part", F.explode(F.transform("x.ball", lambda m: m.bitwiseXOR(F.col("x.own")))).alias("key"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
-    return asked.join(held, ["part", "key"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
+    # Spark's estimate doesn't know how many rows a ball makes: neither side is broadcast
+    return asked.hint("merge").join(held, ["part", "key"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def _ball(radius: int) -> list[int]:

@@ -55,6 +55,13 @@ def test_blocks_of_hashes_are_dealt_out(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes) < sum(sizes) / 8 and sum(sizes) >= n * (n + 1) // 2
 
 
+@pytest.mark.parametrize("threshold", [7, 10])
+def test_no_exploded_hashes_are_broadcast(spark, threshold):
+    plan = duplicates.near_pairs(spark.range(100).selectExpr("id as h"), threshold)._jdf.queryExecution().executedPlan().toString()
+    balls = plan.count("Generate")
+    assert "Broadcast" not in plan if threshold < duplicates.WIDE else balls == 1  # from 8 on no row for each key of a ball
+
+
 def test_block_forest_joins_what_is_near():
     for seed in range(30):
         rng = np.random.default_rng(seed)
