@@ -6,7 +6,7 @@
 3. A segment's task adds the counts up, quantises them on a log scale, q = 1 + floor(log_b c), and sets the bits of the
    events (key, 1) .. (key, q) in its part of the filter. An event's bits lie in one 64-bit word (a register-blocked
    filter). The task then probes (key, 1), (key, 2), ... up to the first miss for every key it was asked for.
-4. The answers, one byte a key, go back to their blocks, which score their texts with the probed counts only:
+4. The answers, a packed byte a key, go back to their blocks, which score their texts with the probed counts only:
    P_1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), P_n(w|h) = (c(hw) + STRENGTH * P_(n-1)(w|h')) / (c(h) + STRENGTH).
 
 The filter grows with the corpus, so no worker gets it whole: each part meets its questions in one task, which holds
@@ -151,6 +151,16 @@ def unpacked(sizes: pa.Scalar, blob: pa.Scalar) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as a cell: counts and levels are mostly small, so their bytes take a fraction."""
+    return np.int64(values.nbytes).tobytes() + pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def numbers(cell: bytes, kind: type) -> np.ndarray:
+    """The numbers of a packed() cell."""
+    return np.frombuffer(pa.decompress(cell[8:], int(np.frombuffer(cell[:8], np.int64)[0]), "zstd", asbytes=True), kind)
+
+
 def in_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_id, held_out, sizes, blob) of docs (doc_id, text, held_out): a row for about `most` bytes of text, one document at least."""
 
@@ -176,7 +186,7 @@ def in_blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 
 
 def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
-    """(segment, block, words, word_counts, grams, gram_counts): each block's distinct keys in order, as packed numbers."""
+    """(segment, block, words, word_counts, grams, gram_counts): each block's distinct keys in order as their bytes, and packed() counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +200,7 @@ def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
                 rows = []
                 for at in np.flatnonzero(np.diff(cuts) + np.diff(gram_cuts)):
                     w, g = slice(cuts[at], cuts[at + 1]), slice(gram_cuts[at], gram_cuts[at + 1])
-                    rows.append((int(at), block.as_py(), words[w].tobytes(), counts[w].tobytes(), five[g].tobytes(), gram_counts[g].tobytes()))
+                    rows.append((int(at), block.as_py(), words[w].tobytes(), packed(counts[w]), five[g].tobytes(), packed(gram_counts[g])))
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["segment", "block", "words", "word_counts", "grams", "gram_counts"])
 
@@ -198,7 +208,7 @@ def asked_counts(blocks: DataFrame, segments: int, order: int) -> DataFrame:
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """(block, segment, exact, levels, gram_levels, n_tokens, n_words): each question's answers; a segment's sums are in a row without a block."""
+    """(block, segment, exact, levels, gram_levels, n_tokens, n_words): each question's answers, packed(); a segment's sums are in a row without a block."""
 
     def added(table: pa.Table, keys: str, counts: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, their counts, each asked key's place among them, and where each block's begin."""
@@ -207,7 +217,7 @@ def answered(asked: DataFrame) -> DataFrame:
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :width] = raw
         distinct, index = np.unique(wide.reshape(-1).view("<u8"), return_inverse=True)
-        weights = np.frombuffer(b"".join(table.column(counts).to_pylist()), np.uint32)
+        weights = np.concatenate([numbers(c, np.uint32) for c in table.column(counts).to_pylist()])
         return distinct, np.bincount(index, weights, len(distinct)).astype(np.int64), index, np.concatenate(([0], np.cumsum([len(c) // width for c in cells])))
 
     def run(table: pa.Table) -> pa.Table:
@@ -220,7 +230,7 @@ def answered(asked: DataFrame) -> DataFrame:
         rows = [(None, segment, None, None, None, int(counts.sum()), int((counts > 0).sum()))]
         for i, block in enumerate(table.column("block").to_pylist()):
             w, g = slice(cuts[i], cuts[i + 1]), slice(gram_cuts[i], gram_cuts[i + 1])
-            rows.append((block, segment, exact[w].tobytes(), levels[w].tobytes(), gram_levels[g].tobytes(), 0, 0))
+            rows.append((block, segment, packed(exact[w]), packed(levels[w]), packed(gram_levels[g]), 0, 0))
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["block", "segment", "exact", "levels", "gram_levels", "n_tokens", "n_words"])
 
@@ -250,9 +260,9 @@ def score_documents(documents: DataFrame, order: int = ORDER, strength: float =
             for ids, held, sizes, blob, parts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out", "sizes", "blob", "parts")), strict=True):
                 row, words, index, grams, gram_index = block_keys(unpacked(sizes, blob), order)
                 parts = sorted(parts.as_py(), key=lambda p: p["segment"])
-                exact = np.frombuffer(b"".join(p["exact"] for p in parts), np.int64)
-                count = middle[np.frombuffer(b"".join(p["levels"] for p in parts), np.uint8)]
-                gram_count = middle[np.frombuffer(b"".join(p["gram_levels"] for p in parts), np.uint8)][gram_index].reshape(order - 1, -1)
+                exact = np.concatenate([numbers(p["exact"], np.int64) for p in parts])
+                count = middle[np.concatenate([numbers(p["levels"], np.uint8) for p in parts])]
+                gram_count = middle[np.concatenate([numbers(p["gram_levels"], np.uint8) for p in parts])][gram_index].reshape(order - 1, -1)
                 starts = np.flatnonzero(np.diff(row, prepend=-1))
                 context = count[index]
                 p = (context + 0.1) * scale
