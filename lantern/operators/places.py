@@ -45,7 +45,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-LEAF = 64
+LEAF, STEP, SPREAD = 64, 4096, 20_000
 
 
 def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -54,53 +54,80 @@ def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 
 class BallTree:
-    """Cities in leaves of LEAF at most, each inside a ball of unit vectors; leaves are halved along their widest axis."""
+    """Cities in leaves of LEAF at most, each inside a ball of unit vectors; nodes are halved along their widest axis.
+
+    A node's children are `first` and `first` + 1; a leaf has none (0) and its place in `members`.
+    """
 
     def __init__(self, ids: np.ndarray, at: np.ndarray):
         self.ids, self.at = ids, at
         spots = unit_vectors(at[:, 0], at[:, 1])
-        leaves, todo = [], [np.arange(len(ids))] if len(ids) else []
-        while todo:
-            own = todo.pop()
+        nodes, first, leaf, leaves = [np.arange(len(ids))] if len(ids) else [], [], [], []
+        centres, radii = [], []
+        for own in nodes:  # which grows
+            centres.append(spots[own].mean(axis=0))
+            radii.append(np.sqrt(((spots[own] - centres[-1]) ** 2).sum(axis=1)).max())
             if len(own) <= LEAF:
-                leaves.append(np.sort(own))
+                first.append(0)
+                leaf.append(len(leaves))
+                leaves.append(np.resize(np.sort(own), LEAF))  # short ones repeat
                 continue
             axis = np.ptp(spots[own], axis=0).argmax()
             own = own[np.argsort(spots[own, axis], kind="stable")]
-            todo += [own[: len(own) // 2], own[len(own) // 2 :]]
-        self.centres = np.array([spots[x].mean(axis=0) for x in leaves]).reshape(-1, 3)
-        self.radii = np.array([np.sqrt(((spots[x] - c) ** 2).sum(axis=1)).max() for x, c in zip(leaves, self.centres)])
-        self.members = np.array([np.resize(x, LEAF) for x in leaves], int).reshape(-1, LEAF)  # short ones repeat
+            first.append(len(nodes))
+            leaf.append(-1)
+            nodes += [own[: len(own) // 2], own[len(own) // 2 :]]
+        self.centres, self.radii = np.array(centres).reshape(-1, 3), np.array(radii)
+        self.first, self.leaf = np.array(first, int), np.array(leaf, int)
+        self.members = np.array(leaves, int).reshape(-1, LEAF)
 
     def nearest(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         """The nearest city's place for each point, the smallest id of equal distances to 15 places."""
         out = np.zeros(len(lat), int)
-        step = max(1, (1 << 20) // max(1, len(self.radii)))
-        for i in range(0, len(lat), step):
-            out[i : i + step] = self._block(lat[i : i + step], lon[i : i + step])
+        for i in range(0, len(lat), STEP):
+            out[i : i + STEP] = self._block(lat[i : i + STEP], lon[i : i + STEP])
         return out
 
+    def _low(self, spots: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """A lower bound of the squared half chord, which is the haversine's inside, from each spot to its node's cities."""
+        gap = np.sqrt(((spots - self.centres[nodes]) ** 2).sum(axis=1)) - self.radii[nodes]
+        return np.square(np.maximum(gap, 0) / 2) - 1e-12
+
     def _block(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        low = np.sqrt(((unit_vectors(lat, lon)[:, None] - self.centres[None]) ** 2).sum(axis=2)) - self.radii
-        low = np.square(np.maximum(low, 0) / 2) - 1e-12  # of the squared half chord, which is the haversine's inside
-        order = np.argsort(low, axis=1)
+        spots, p, q = unit_vectors(lat, lon), np.radians(lat), np.radians(lon)
         best, place = np.full(len(lat), np.inf), np.zeros(len(lat), int)
-        p, q = np.radians(lat), np.radians(lon)
-        for k in range(len(self.radii)):
-            leaf = order[:, k]
-            rows = np.flatnonzero(low[np.arange(len(lat)), leaf] <= best)
-            if not len(rows):
-                break
-            members = self.members[leaf[rows]]
+
+        def look(rows: np.ndarray, nodes: np.ndarray) -> None:
+            """Compare points, each once, with the cities of a leaf each."""
+            members = self.members[self.leaf[nodes]]
             c_lat, c_lon = np.radians(self.at[members]).transpose(2, 0, 1)
             apart = np.sin((c_lat - p[rows, None]) / 2) ** 2 + np.cos(p[rows, None]) * np.cos(c_lat) * np.sin((c_lon - q[rows, None]) / 2) ** 2
             apart = np.round(apart, 15)
             value = apart.min(axis=1)
             ids = np.where(apart == value[:, None], self.ids[members], np.iinfo(np.int64).max)
-            first = ids.argmin(axis=1)
-            found = members[np.arange(len(rows)), first]
+            found = members[np.arange(len(rows)), ids.argmin(axis=1)]
             better = (value < best[rows]) | ((value == best[rows]) & (self.ids[found] < self.ids[place[rows]]))
             best[rows[better]], place[rows[better]] = value[better], found[better]
+
+        # down to one leaf by the nearer centre, for a bound; then down all branches that the bound leaves, level by level
+        node = np.zeros(len(lat), int)
+        while (inner := np.flatnonzero(self.first[node])).size:
+            child = self.first[node[inner]]
+            right = ((spots[inner] - self.centres[child + 1]) ** 2).sum(axis=1) < ((spots[inner] - self.centres[child]) ** 2).sum(axis=1)
+            node[inner] = child + right
+        look(np.arange(len(lat)), node)
+        rows, nodes = np.arange(len(lat)), np.zeros(len(lat), int)
+        while len(rows):
+            kept = self._low(spots[rows], nodes) <= best[rows]
+            rows, nodes = rows[kept], nodes[kept]
+            end = self.first[nodes] == 0
+            at, leaves = rows[end], nodes[end]
+            while len(at):  # a point's leaves one after another
+                _, once = np.unique(at, return_index=True)
+                look(at[once], leaves[once])
+                at, leaves = np.delete(at, once), np.delete(leaves, once)
+            rows, nodes = rows[~end], self.first[nodes[~end]]
+            rows, nodes = np.concatenate((rows, rows)), np.concatenate((nodes, nodes + 1))
         return place
 
 
@@ -108,13 +135,17 @@ def nearest_city(points: DataFrame, cities: DataFrame, most_bytes: int = 64 << 2
     """(id, city_id, km): the nearest city of each point, exact, the smallest city_id on ties.
 
     points(id, lat, lon), cities(city_id, lat, lon); rows without a place take no part, an empty gazetteer gives an
-    empty result. One Arrow pass over the points for every `most_bytes` of the gazetteer, whose ball tree is broadcast:
-    a leaf is looked into only while its ball may hold a nearer city.
+    empty result. Cities of one place count as the smallest of them, and a place that many points share is asked for once.
+    One Arrow pass over these for every `most_bytes` of the gazetteer, whose ball tree is broadcast: branches are
+    followed only while their ball may hold a nearer city. About SPREAD places are a task.
     """
     spark = points.sparkSession
     grid = cities.where("lat is not null and lon is not null").select(F.col("city_id").cast("long").alias("city_id"), F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon"))
-    asked = points.where("lat is not null and lon is not null").select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    grid = written(grid.groupBy("c_lat", "c_lon").agg(F.min("city_id").alias("city_id")), "gazetteer")
+    located = points.where("lat is not null and lon is not null").select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     parts = max(1, -(-grid.count() * 24 // most_bytes))
+    asked = written(located.select("lat", "lon").distinct(), "asked-places")
+    asked = asked.repartition(max(1, -(-asked.count() // SPREAD)))
     best = None
     for part in range(parts):
         rows = grid.where(F.pmod(F.xxhash64("city_id"), F.lit(parts)) == part).orderBy("city_id", "c_lat", "c_lon").toPandas()  # `most_bytes` or so
@@ -125,14 +156,15 @@ def nearest_city(points: DataFrame, cities: DataFrame, most_bytes: int = 64 << 2
             grown = BallTree(ids, at)
             for batch in batches:
                 if len(ids) and batch.num_rows:
-                    k = grown.nearest(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[k]), pa.array(at[k, 0]), pa.array(at[k, 1])], names=["id", "lat", "lon", "city_id", "c_lat", "c_lon"])
+                    k = grown.nearest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[k]), pa.array(at[k, 0]), pa.array(at[k, 1])], names=["lat", "lon", "city_id", "c_lat", "c_lon"])
 
-        found = asked.mapInArrow(run, "id long, lat double, lon double, city_id long, c_lat double, c_lon double")
+        found = asked.mapInArrow(run, "lat double, lon double, city_id long, c_lat double, c_lon double")
         km = haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-        found = found.select("id", F.struct(F.round(km, 6).alias("_near"), "city_id", km.alias("km")).alias("best"))
+        found = found.select("lat", "lon", F.struct(F.round(km, 6).alias("_near"), "city_id", km.alias("km")).alias("best"))
         best = found if best is None else best.unionByName(found)
-    return best.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.city_id", "best.km")
+    best = best.groupBy("lat", "lon").agg(F.min("best").alias("best"))
+    return located.join(best, ["lat", "lon"]).groupBy("id").agg(F.min("best").alias("best")).select("id", "best.city_id", "best.km")
 
 
 POLYGONS = "place int, name string, rings array<array<struct<x:double,y:double>>>"

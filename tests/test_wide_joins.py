@@ -152,6 +152,28 @@ def test_nearest_city_of_many(spark):
         assert all(math.isclose(got[i][1], 2 * places.EARTH_KM * math.asin(math.sqrt(h[i].min())), abs_tol=1e-6) for i in expected)
 
 
+def test_nearest_city_of_shared_places(spark):
+    # 200 cities at each of 30 places, 50 points at each of 20, and an id that has two places
+    rng = np.random.default_rng(3)
+    city, spot = ([(float(a), float(b)) for a, b in zip(rng.uniform(-80, 80, n), rng.uniform(-180, 180, n))] for n in (30, 20))
+    cities = spark.createDataFrame([(i, *city[i % 30]) for i in range(6_000)], "city_id long, lat double, lon double")
+    points = spark.createDataFrame([(i, *spot[i % 20]) for i in range(1_000)] + [(7, *city[4])], "id long, lat double, lon double")
+    km = lambda p, c: 2 * places.EARTH_KM * math.asin(math.sqrt(math.sin(math.radians(c[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(c[0])) * math.sin(math.radians(c[1] - p[1]) / 2) ** 2))
+    expected = {i: min((round(km(spot[i % 20], c), 6), k) for k, c in enumerate(city))[1] for i in range(1_000)} | {7: 4}
+    got = [tuple(r) for r in places.nearest_city(points, cities).select("id", "city_id").collect()]
+    assert len(got) == 1_000 and dict(got) == expected
+
+
+def test_far_branches_of_cities_are_not_looked_at():
+    rng = np.random.default_rng(5)
+    n = 40_000
+    tree = places.BallTree(np.arange(n), np.stack((np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)), axis=1))
+    seen, own = [], tree._low
+    tree._low = lambda spots, nodes: seen.append(len(nodes)) or own(spots, nodes)
+    tree.nearest(rng.uniform(-80, 80, 500), rng.uniform(-180, 180, 500))
+    assert sum(seen) < 500 * 100  # a bound for each of 1,024 leaves before
+
+
 def inside(x, y, rings):
     odd = False
     for r in rings:
