@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.functions.names import shard
 from lantern.plans.bindings import table
 from lantern.plans.registry import query
 from lantern.session import remove, shared_dir
@@ -57,8 +58,10 @@ def ranged_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Quick and whole hashes of all texts as files; equal hashes are equal texts."""
     at = f"{shared_dir(spark)}/lantern-clips-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
-    zips.write_tree(docs.select(F.format_string("%d.mov", "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), at)
-    clips = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select("path")
+    path = F.concat_ws("/", shard(F.col("doc_id")), F.format_string("%d.mov", "doc_id"))
+    zips.write_tree(docs.select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), at)
+    # by the names given: Spark's file source would list the folder on the driver and make a task of every 32 files
+    clips = sources.spread(docs.select(F.concat(F.lit(f"{at}/"), path).alias("path")))
     both = sources.fingerprints(clips).unionByName(sources.full_fingerprints(clips))
     kind = F.when(F.col("content_hash").startswith("q:"), "q").otherwise("full")
     return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("different"))
