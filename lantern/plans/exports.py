@@ -33,10 +33,12 @@ def zip_directory(spark: SparkSession, d: str) -> DataFrame:
 def extracted_tree(spark: SparkSession, d: str) -> DataFrame:
     at, paths = _archives(spark, d)
     root = f"{shared_dir(spark)}/lantern-tree-{uuid.uuid4().hex}"
-    zips.extract(zips.import_plan(zips.archive_entries(spark, paths)), root)
+    plan = zips.import_plan(zips.archive_entries(spark, paths))
+    zips.extract(plan, root)
     remove(spark, at)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("dest"), F.col("length").alias("size"), F.md5("content").alias("digest"))
+    # by the plan's places: Spark's file source would list the tree on the driver and make a task of every 32 files
+    found = sources.md5_digests(sources.spread(plan.select(F.concat(F.lit(f"{root}/"), "dest").alias("path"))))
+    return found.where("digest is not null").select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("dest"), "size", "digest")
 
 
 # half of the places are there in full size, a sixth of them too short

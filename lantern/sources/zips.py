@@ -33,7 +33,7 @@ from lantern.operators import archives
 from lantern.session import remove, shared_dir, written
 from lantern.sources.files import PIECE, opened, plain, sidecar
 
-ENTRIES = 4096
+ENTRIES, FILES = 4096, 4096
 ENTRY_SCHEMA = "archive string, name string, size long, crc long, packed long, method int, header_at long, error string"
 ENTRY_TYPES = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
 ENTRY_NAMES = [x.split()[0] for x in ENTRY_SCHEMA.split(", ")]
@@ -438,8 +438,9 @@ def extract(plan: DataFrame, path: str) -> dict[str, int]:
     if missing * SPARE > shutil.disk_usage(root).free:
         raise OSError(f"{missing} bytes needed in {path}, {shutil.disk_usage(root).free} free")
     counts: Counter = Counter(dict.fromkeys(("written", "skipped", "linked", "repaired", "undated", "errors", "bytes"), 0))
-    counts.update(_sent(left.where("link_to is null").repartitionByRange("archive", "header_at"), Extraction, path))
-    counts.update(_sent(left.where("link_to is not null").repartition("link_to"), Extraction, path))
+    tasks = max(1, -(-left.count() // FILES))  # by number: rows of few bytes that each stand for a file's work
+    counts.update(_sent(left.where("link_to is null").repartitionByRange(tasks, "archive", "header_at"), Extraction, path))
+    counts.update(_sent(left.where("link_to is not null").repartition(tasks, "link_to"), Extraction, path))
     return dict(counts)
 
 
