@@ -145,3 +145,57 @@ def test_cross_edges_equal_kruskal():
         a, b = np.minimum(p[:, None], q[None]).ravel(), np.maximum(p[:, None], q[None]).ravel()
         at = clusters.kruskal(a, b, np.lexsort((b, a, w.ravel())))
         assert sorted(zip(*(c.tolist() for c in clusters.cross_edges(w, p, q)))) == sorted(zip(a[at].tolist(), b[at].tolist(), w.ravel()[at].tolist()))
+
+
+def test_product_leaves_out_no_pair():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1.0, 0.0), (1.0, 1e6), (1e-9, 3.0), (1e-30, 0.0), (1e25, 0.0)):
+        x = np.concatenate((rng.normal(size=(150, 24)), rng.normal(size=(60, 24)) * 1e-4)) * scale + shift
+        y = np.concatenate((rng.normal(size=(131, 24)), x[:40], x[150:180] + 1e-7 * scale))
+        d = clusters.distances(x, y)
+        upto_x, upto_y = rng.choice([-1.0, 0.0, 2e-4, 4.5], 210) * scale, rng.choice([-1.0, 0.0, 4.5, 5.0], 201) * scale
+        wanted = d <= np.maximum(upto_x[:, None], upto_y)
+        i, j = clusters.within(x, y, upto_x, upto_y, {})
+        found = np.zeros(d.shape, bool)
+        found[i, j] = True
+        assert found.sum() == len(i) and not (wanted & ~found).any() and (clusters.apart(x, y, i, j) == d[i, j]).all()
+        if shift == 0 and scale == 1:
+            assert wanted.sum() < found.sum() * 1.5 < d.size / 2
+
+
+def test_gaps_in_leaf_order_are_the_heaviest_edges(spark):
+    rng = np.random.default_rng(12)
+    n = 40
+    ids = rng.permutation(n) * 5 - 40
+    edges = sorted((float(rng.integers(0, 9)), *sorted((int(ids[k]), int(ids[rng.integers(0, k)])))) for k in range(1, n))
+    tree = clusters.merge_tree(spark.createDataFrame([(a, b, w) for w, a, b in edges], "a long, b long, w double"), 25)
+    order = clusters.in_leaf_order(tree).orderBy("pos").collect()
+    assert [r["pos"] for r in order] == list(range(n)) and sorted(r["id"] for r in order) == sorted(ids.tolist())
+    assert [edges[r["rank"]] for r in order[1:]] == [(r["w"], r["a"], r["b"]) for r in order[1:]]
+    joined = {i: {i} for i in ids.tolist()}
+    at = {r["id"]: r["pos"] for r in order}
+    for rank, (_, a, b) in enumerate(edges):
+        for p in joined[a]:
+            for q in joined[b]:
+                assert max(r["rank"] for r in order[min(at[p], at[q]) + 1 : max(at[p], at[q]) + 1]) == rank
+        whole = joined[a] | joined[b]
+        joined.update(dict.fromkeys(whole, whole))
+
+
+def test_tree_keeps_few_pairs_of_blocks(spark, monkeypatch):
+    # every pair of blocks, or group of them, had given a forest of its own, measured pair by pair
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    x[580:] = x[:20]
+    ids = np.random.default_rng(7).permutation(600) * 3
+    blocks = clusters.packed(frame(spark, x, ids), "embedding", 16)
+    filled = clusters.cored(blocks, blocks.count(), 4)
+    kept, forest = [], clusters.least_forest
+    monkeypatch.setattr(clusters, "least_forest", lambda edges, most=clusters.MOST: kept.append(edges.count()) or forest(edges, most))
+    got = clusters.spanning_tree(filled, 16).collect()
+    assert kept[-1] < 2 * len(ids)
+    d = clusters.distances(x, x)
+    core = np.partition(d, 3, axis=1)[:, 3]
+    i, j = np.triu_indices(600, 1)
+    w, a, b = np.maximum(np.maximum(core[i], core[j]), d[i, j]), np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    at = clusters.kruskal(a, b, np.lexsort((b, a, w)))
+    assert sorted(map(tuple, got)) == sorted(zip(a[at].tolist(), b[at].tolist(), w[at].tolist()))
